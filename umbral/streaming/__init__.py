@@ -1,0 +1 @@
+"""Survey waves arrive as finished tables, so no streaming operator is offered."""
