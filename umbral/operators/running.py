@@ -48,7 +48,8 @@ def running_totals(
     neighbour: str | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of each column of ``sums`` along ``order``, as ``cum_<column>``.
+    """Inclusive running sum of each column of ``sums`` along ``order``, as ``cum_<column>``,
+    and its grand total as ``all_<column>``.
 
     ``order`` must be unique within ``by``: aggregate per value first. ``neighbour``
     names an extra column that receives the order value of the next row.
@@ -73,6 +74,7 @@ def running_totals(
         *keys,
         "__range",
         *[F.coalesce(F.sum(f"__total_{s}").over(before), F.lit(0)).alias(f"__before_{s}") for s in sums],
+        *[F.sum(f"__total_{s}").over(Window.partitionBy(*keys)).alias(f"all_{s}") for s in sums],
         F.lead("__first").over(across).alias("__next_first"),
     )
     if by:
@@ -101,14 +103,14 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     ).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     counts = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
     ordered = running_totals(counts, "value", ["n"], by="name", neighbour="next_value")
-    sizes = F.broadcast(counts.groupBy("name").agg(F.sum("n").alias("total")))
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability")
-    targets = sizes.select("name", "total", wanted).withColumn(
-        "position", (F.col("total") - 1) * F.col("probability")
-    ).withColumn("lower", F.floor("position").cast("bigint"))
     # The value at 0-based rank r is the one whose count range covers r.
-    inside = (F.col("lower") >= F.col("cum_n") - F.col("n")) & (F.col("lower") < F.col("cum_n"))
-    hit = ordered.join(F.broadcast(targets), "name").filter(inside)
-    upper = F.when(F.col("lower") + 1 < F.col("cum_n"), F.col("value")).otherwise(F.coalesce("next_value", "value"))
-    quantile = F.col("value") + (F.col("position") - F.col("lower")) * (upper - F.col("value"))
-    return hit.select("name", "probability", quantile.alias("quantile"))
+    wanted = []
+    for p in probabilities:
+        position = (F.col("all_n") - 1) * F.lit(float(p))
+        rank = F.floor(position).cast("bigint")
+        upper = F.when(rank + 1 < F.col("cum_n"), F.col("value")).otherwise(F.coalesce("next_value", "value"))
+        quantile = F.col("value") + (position - rank) * (upper - F.col("value"))
+        covered = (rank >= F.col("cum_n") - F.col("n")) & (rank < F.col("cum_n"))
+        wanted.append(F.when(covered, F.struct(F.lit(float(p)).alias("probability"), quantile.alias("quantile"))))
+    hits = F.filter(F.array(*wanted), lambda x: x.isNotNull())
+    return ordered.select("name", F.inline(hits))
