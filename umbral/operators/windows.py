@@ -49,7 +49,7 @@ def explode_codes(df: DataFrame, bits: str, name: str) -> DataFrame:
         F.sequence(F.lit(0), F.lit(LARGEST_CODE + 1)),
         lambda c: F.call_function("shiftright", F.col(bits), c).bitwiseAND(F.lit(1).cast("bigint")) == 1,
     )
-    return df.withColumn(name, F.explode(codes)).withColumn(name, F.nullif(F.col(name), F.lit(LARGEST_CODE + 1))).drop(bits)
+    return df.withColumn(name, F.explode(codes)).withColumn(name, F.nullif(quoted(name), F.lit(LARGEST_CODE + 1))).drop(bits)
 
 
 def rollup_distinct(df: DataFrame, key: str, aggregates: dict[str, Column], codes: list[str] = ()) -> DataFrame:
