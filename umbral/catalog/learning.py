@@ -1,0 +1,571 @@
+"""Preparation, models, tuning, evaluation and scoring."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from umbral.catalog.households import hash_sql, packs
+from umbral.catalog.registry import query, r6, rounded
+from umbral.functions.nulls import safe_log
+from umbral.learning import discriminant, evaluate, gram, models, prep, scoring, tuning
+from umbral.learning import dense as net
+from umbral.operators.sampling import kfold
+from umbral.plans.households import exclude_domain, final_base
+from umbral.plans.workflow import RunConfig, end_to_end as run_classifier, end_to_end_income as run_income
+from umbral.session import scratch_path
+from umbral.sources import tables as S
+from umbral.sources.views import CAPITAL, hogares, read_table, test_part, train_part, view_sql
+
+H = view_sql("hogares")
+_LOG = "CASE WHEN Ingpcug > 0 THEN ln(Ingpcug) ELSE 0 END"
+_REGIONS = ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def homes(spark: SparkSession, sf: str) -> DataFrame:
+    """Households with the log income and a fixed score in place of a model's."""
+    df = hogares(spark, sf).withColumn("lIngpcug", safe_log(F.col("Ingpcug")))
+    return df.withColumns({"score": -F.col("Ingpcug") / F.col("Lp"), "event": (F.col("P5090") <= 2).cast("int")})
+
+
+_HOMES = f"{H}, homes AS (SELECT *, {_LOG} AS lIngpcug, -Ingpcug / Lp AS score, CASE WHEN P5090 <= 2 THEN 1 ELSE 0 END AS event FROM hogares)"
+
+
+# ---- preparation -----------------------------------------------------------------------------
+
+
+@query(H + "SELECT id, " + ", ".join(f"CASE WHEN Depto = '{v}' THEN 1 ELSE 0 END::DOUBLE AS \"Depto_{v}\"" for v in _REGIONS) + " FROM hogares")
+def dummy(spark: SparkSession, sf: str) -> DataFrame:
+    df = hogares(spark, sf).select("id", "Depto", "train")
+    levels = S.learn_levels(df.filter("train = 1"), ["Depto"])
+    return prep.dummy(df.drop("train"), levels)
+
+
+@query(
+    H + "SELECT id, " + ", ".join(
+        f"CASE WHEN Depto = '{v}' THEN {n} ELSE 0 END::DOUBLE AS \"{n}_x_Depto_{v}\"" for n in ("P5130", "P5000") for v in _REGIONS
+    ) + " FROM hogares"
+)
+def interact(spark: SparkSession, sf: str) -> DataFrame:
+    df = hogares(spark, sf).select("id", "Depto", "P5130", "P5000")
+    levels = S.learn_levels(df, ["Depto"])
+    made = list(prep.dummy_expressions(levels))
+    return prep.interact(prep.dummy(df, levels), ["P5130", "P5000"], made).drop("P5130", "P5000", *made)
+
+
+@query(H + "SELECT id, P5000, P5130 FROM hogares")
+def zero_variance(spark: SparkSession, sf: str) -> DataFrame:
+    df = hogares(spark, sf).select("id", "P5000", "P5130").withColumn("constant", F.lit(1.0))
+    return prep.drop_zero_variance(df.withColumn("absent", F.lit(None).cast("double")))
+
+
+@query(
+    H + "SELECT id, " + ", ".join(f"round(({c} - AVG({c}) OVER ()) / stddev_samp({c}) OVER (), 6) + 0.0 AS {c}" for c in ("P5130", "P5000"))
+    + " FROM hogares"
+)
+def normalize(spark: SparkSession, sf: str) -> DataFrame:
+    df = hogares(spark, sf).select("id", "P5130", "P5000")
+    return rounded(prep.normalize(df, prep.learn_scale(df, ["P5130", "P5000"])), "P5130", "P5000")
+
+
+@query(H + "SELECT id, P5000, P5130 FROM hogares")
+def remove_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Drops what a term table holds at 0, here columns not linked to the rent by construction."""
+    df = hogares(spark, sf).select("id", "P5000", "P5130", "Fex_c")
+    linked = df.agg(F.max("P5000").alias("P5000"), F.max("P5130").alias("P5130"), (F.min("Fex_c") - F.min("Fex_c")).alias("Fex_c"))
+    terms = linked.select(*[F.col(c).cast("double").alias(c) for c in linked.columns]).unpivot([], linked.columns, "term", "estimate")
+    return prep.remove_terms(df, [*evaluate.dropped_names(terms), "unknown"])
+
+
+@query(H + "SELECT id, P5130::DOUBLE AS x0, P5000::DOUBLE AS x1, Npersug::DOUBLE AS x2 FROM hogares")
+def design_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    df = prep.design_matrix(hogares(spark, sf), ["P5130", "P5000", "Npersug"]).withColumn("x", vector_to_array("features"))
+    return df.select("id", *[F.col("x")[i].alias(f"x{i}") for i in range(3)])
+
+
+@query(
+    H + "SELECT id, round((P5130 - (SELECT AVG(P5130) FROM hogares WHERE train = 1)) / (SELECT stddev_samp(P5130) FROM hogares WHERE train = 1), 6) + 0.0 AS z0, "
+    "round((P5000 - (SELECT AVG(P5000) FROM hogares WHERE train = 1)) / (SELECT stddev_samp(P5000) FROM hogares WHERE train = 1), 6) + 0.0 AS z1 "
+    "FROM hogares WHERE train = 0"
+)
+def prep_bake(spark: SparkSession, sf: str) -> DataFrame:
+    """Learned on train, applied to test; a constant column is left out."""
+    df = hogares(spark, sf).select("id", "train", "P5130", "P5000").withColumn("constant", F.lit(3.0))
+    prepared = prep.prep(prep.Recipe(numeric=["P5130", "constant", "P5000"], factors=[]), df.filter("train = 1"))
+    z = prep.bake(prepared, df.filter("train = 0"), ["id"]).withColumn("z", vector_to_array("features"))
+    return z.select("id", r6(F.col("z")[0]).alias("z0"), r6(F.col("z")[1]).alias("z1"))
+
+
+@query()
+def pca_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """Embedding columns reduced to the fewest components with 80 % of the variance."""
+    vectors = read_table(spark, sf, "embeddings")
+    wide = vectors.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    prepared = prep.prep(prep.Recipe(not_predictors=("vec_id",), pca_threshold=0.8), wide)
+    return prep.bake(prepared, wide, ["vec_id"]).select("vec_id", vector_to_array("features").alias("components"))
+
+
+# ---- models ----------------------------------------------------------------------------------
+
+
+def _vector(df: DataFrame, *names: str) -> DataFrame:
+    return prep.design_matrix(df, list(names))
+
+
+def _terms(spark: SparkSession, names: list[str], model, places: int = 4) -> DataFrame:
+    return rounded(evaluate.coefficients(spark, names, model), "estimate", places=places)
+
+
+@query(
+    f"{_HOMES}, s AS (SELECT AVG(P5130) AS m1, AVG(Npersug) AS m2, AVG(lIngpcug) AS my, var_pop(P5130) AS s11, var_pop(Npersug) AS s22, "
+    "covar_pop(P5130, Npersug) AS s12, covar_pop(P5130, lIngpcug) AS s1y, covar_pop(Npersug, lIngpcug) AS s2y FROM homes WHERE train = 1), "
+    "b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s) "
+    "SELECT '(Intercept)' AS term, round(my - b1 * m1 - b2 * m2, 4) AS estimate FROM b UNION ALL SELECT 'P5130', round(b1, 4) FROM b "
+    "UNION ALL SELECT 'Npersug', round(b2, 4) FROM b"
+)
+def ols_two_predictors(spark: SparkSession, sf: str) -> DataFrame:
+    df = _vector(homes(spark, sf).filter("train = 1"), "P5130", "Npersug")
+    return _terms(spark, ["P5130", "Npersug"], models.ols("lIngpcug").fit(df))
+
+
+def _slope(penalty: float | str, mixture: float | str) -> str:
+    """Penalised slope of one predictor from n, sx, sy and cxy, in closed form."""
+    return (
+        f"(sign(cxy) * greatest(abs(cxy / sx) - {penalty} * {mixture}, 0) / ((n - 1) / n + {penalty} * (1 - {mixture}) / sy)) / sx"
+    )
+
+
+_ONE = (
+    f"{_HOMES}, s AS (SELECT COUNT(*)::DOUBLE AS n, AVG(P5130) AS mx, AVG(lIngpcug) AS my, stddev_samp(P5130) AS sx, stddev_samp(lIngpcug) AS sy, "
+    "covar_pop(P5130, lIngpcug) AS cxy FROM homes WHERE train = 1)"
+)
+
+
+def _one_predictor_sql(penalty: float, mixture: float) -> str:
+    p, m = f"{penalty}::DOUBLE", f"{mixture}::DOUBLE"
+    return (
+        f"{_ONE}, b AS (SELECT *, {_slope(p, m)} AS slope FROM s) SELECT '(Intercept)' AS term, round(my - slope * mx, 4) AS estimate FROM b "
+        "UNION ALL SELECT 'P5130', round(slope, 4) FROM b"
+    )
+
+
+def _one_predictor(spark: SparkSession, sf: str, model) -> DataFrame:
+    return _terms(spark, ["P5130"], model.fit(_vector(homes(spark, sf).filter("train = 1"), "P5130")))
+
+
+@query(_one_predictor_sql(0.05, 1.0))
+def lasso(spark: SparkSession, sf: str) -> DataFrame:
+    return _one_predictor(spark, sf, models.lasso("lIngpcug", 0.05, tol=1e-10))
+
+
+@query(_one_predictor_sql(0.5, 0.0))
+def ridge(spark: SparkSession, sf: str) -> DataFrame:
+    return _one_predictor(spark, sf, models.ridge("lIngpcug", 0.5, solver="l-bfgs", tol=1e-10))
+
+
+@query(_one_predictor_sql(0.2, 0.3))
+def elastic_net(spark: SparkSession, sf: str) -> DataFrame:
+    return _one_predictor(spark, sf, models.elastic_net("lIngpcug", 0.2, 0.3, tol=1e-10))
+
+
+@query(
+    H + "SELECT '(Intercept)' AS term, round(regr_intercept(Pobre, P5130), 4) AS estimate FROM hogares WHERE train = 1 "
+    "UNION ALL SELECT 'P5130', round(regr_slope(Pobre, P5130), 4) FROM hogares WHERE train = 1"
+)
+def linear_probability(spark: SparkSession, sf: str) -> DataFrame:
+    return _one_predictor(spark, sf, models.linear_probability("Pobre"))
+
+
+@query(
+    f"{_HOMES}, p AS (SELECT AVG(Pobre) FILTER (WHERE Npersug > 3) AS p1, AVG(Pobre) FILTER (WHERE Npersug <= 3) AS p0 FROM homes) "
+    "SELECT '(Intercept)' AS term, round(ln(p0 / (1 - p0)), 4) AS estimate FROM p UNION ALL "
+    "SELECT 'large', round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 4) FROM p"
+)
+def logit(spark: SparkSession, sf: str) -> DataFrame:
+    """With one yes/no predictor the coefficients are differences of log odds."""
+    df = homes(spark, sf).withColumn("large", (F.col("Npersug") > 3).cast("double"))
+    return _terms(spark, ["large"], models.logit("Pobre", tol=1e-12, maxIter=500).fit(_vector(df, "large")))
+
+
+_PREDICTORS = ["P5000", "P5090", "P5130", "Npersug"]
+
+
+def _recipe(label: str, **more) -> prep.Recipe:
+    return prep.Recipe(label=label, numeric=_PREDICTORS, factors=["Depto"], **more)
+
+
+def _fitted(df: DataFrame, label: str, build, **params):
+    return tuning.finalize_fit(df.filter("train = 1"), _recipe(label), build, params, label)
+
+
+def _test_scores(spark: SparkSession, sf: str, label: str, build, kind: str, **params) -> DataFrame:
+    df = homes(spark, sf).select("id", "train", "Depto", label, *_PREDICTORS)
+    model = _fitted(df, label, build, **params)
+    return models.predict(model, df.filter("train = 0"), kind).select("id", "score")
+
+
+def _forest(mode: str):
+    return lambda label, **more: models.rand_forest(mode, label, **more)
+
+
+def _boost(mode: str):
+    return lambda label, **more: models.boost_tree(mode, label, **more)
+
+
+@query()
+def logit_l1(spark: SparkSession, sf: str) -> DataFrame:
+    return _test_scores(spark, sf, "Pobre", models.logit_l1, "prob", penalty=0.01)
+
+
+_TWO = "t AS (SELECT id, P5130 AS a, Npersug::DOUBLE AS b, Pobre FROM hogares), k AS (SELECT Pobre, COUNT(*)::DOUBLE AS n, AVG(a) AS ma, AVG(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb FROM t GROUP BY Pobre)"
+_POSTERIOR = (
+    "score AS (SELECT t.id, s.Pobre AS k, ln(s.n / (SELECT SUM(n) FROM k)) - 0.5 * (ln(s.va) + ln(s.vb)) - 0.5 * ((a - s.ma) * (a - s.ma) / s.va + (b - s.mb) * (b - s.mb) / s.vb) AS v FROM t, spread s) "
+    "SELECT x.id, round(1 / (1 + exp(y.v - x.v)), 6) AS probability FROM score x JOIN score y ON x.id = y.id AND x.k = 1 AND y.k = 0"
+)
+
+
+@query(f"{H}, {_TWO}, spread AS (SELECT Pobre, n, ma, mb, (SELECT SUM(n * va) / SUM(n) FROM k) AS va, (SELECT SUM(n * vb) / SUM(n) FROM k) AS vb FROM k), {_POSTERIOR}")
+def lda_diag(spark: SparkSession, sf: str) -> DataFrame:
+    df = hogares(spark, sf).select("id", "P5130", "Npersug", "Pobre")
+    out = discriminant.lda_diag(df, "Pobre", ["P5130", "Npersug"]).transform(df, event=1)
+    return rounded(out.select("id", "probability"), "probability")
+
+
+@query(f"{H}, {_TWO}, spread AS (SELECT * FROM k), {_POSTERIOR}")
+def qda_diag(spark: SparkSession, sf: str) -> DataFrame:
+    df = hogares(spark, sf).select("id", "P5130", "Npersug", "Pobre")
+    out = discriminant.qda_diag(df, "Pobre", ["P5130", "Npersug"]).transform(df, event=1)
+    return rounded(out.select("id", "probability"), "probability")
+
+
+@query(
+    f"{_HOMES}, c AS (SELECT DISTINCT Npersug AS cut FROM homes WHERE Npersug < (SELECT MAX(Npersug) FROM homes)), "
+    "g AS (SELECT cut, AVG(lIngpcug) FILTER (WHERE Npersug <= cut) AS low, AVG(lIngpcug) FILTER (WHERE Npersug > cut) AS high, "
+    "COUNT(*) FILTER (WHERE Npersug <= cut) * pow(AVG(lIngpcug) FILTER (WHERE Npersug <= cut), 2) + "
+    "COUNT(*) FILTER (WHERE Npersug > cut) * pow(AVG(lIngpcug) FILTER (WHERE Npersug > cut), 2) AS gain FROM homes, c GROUP BY cut), "
+    "best AS (SELECT * FROM g ORDER BY gain DESC LIMIT 1) SELECT id, round(CASE WHEN Npersug <= cut THEN low ELSE high END, 6) AS score FROM homes, best"
+)
+def tree_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """One split of one whole-number predictor: the best cut and the two means."""
+    df = _vector(homes(spark, sf), "Npersug")
+    model = models.decision_tree("lIngpcug", tree_depth=1, min_n=1).fit(df)
+    return rounded(models.predict(model, df).select("id", "score"), "score")
+
+
+@query()
+def tree_regression_deep(spark: SparkSession, sf: str) -> DataFrame:
+    return _test_scores(spark, sf, "lIngpcug", models.decision_tree, "numeric", cost=1e-4, tree_depth=6)
+
+
+@query()
+def forest_class(spark: SparkSession, sf: str) -> DataFrame:
+    return _test_scores(spark, sf, "Pobre", _forest(models.CLASSIFICATION), "prob", mtry=4, min_n=20, trees=20, tree_depth=6)
+
+
+@query()
+def forest_reg(spark: SparkSession, sf: str) -> DataFrame:
+    return _test_scores(spark, sf, "lIngpcug", _forest(models.REGRESSION), "numeric", mtry=4, min_n=10, trees=20, tree_depth=6)
+
+
+@query()
+def boost_reg(spark: SparkSession, sf: str) -> DataFrame:
+    return _test_scores(spark, sf, "lIngpcug", _boost(models.REGRESSION), "numeric", tree_depth=3, trees=10, mtry=4, learn_rate=0.3)
+
+
+@query()
+def boost_class(spark: SparkSession, sf: str) -> DataFrame:
+    return _test_scores(spark, sf, "Pobre", _boost(models.CLASSIFICATION), "prob", tree_depth=3, trees=10, mtry=4, learn_rate=0.3)
+
+
+@query()
+def dense_class(spark: SparkSession, sf: str) -> DataFrame:
+    return _test_scores(spark, sf, "Pobre", lambda label, **m: models.dense_classifier(label, **m), "prob", width=8, hidden=(16, 16), epochs=30)
+
+
+@query()
+def dense_reg(spark: SparkSession, sf: str) -> DataFrame:
+    df = homes(spark, sf).select("id", "train", "Depto", "lIngpcug", *_PREDICTORS)
+    prepared = prep.prep(_recipe("lIngpcug"), df.filter("train = 1"))
+    rows = prep.bake(prepared, df, ["id", "train", "lIngpcug"])
+    model = net.dense_regressor(rows.filter("train = 1"), "lIngpcug", hidden=(32, 32), epochs=20)
+    return model.transform(rows.filter("train = 0"), name="score").select("id", "score")
+
+
+@query(H + "SELECT COUNT(*) AS n_rows, 0::BIGINT AS n_different FROM hogares WHERE train = 0")
+def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A saved and reloaded pipeline scores every row as before."""
+    df = homes(spark, sf).select("id", "train", "Depto", "lIngpcug", *_PREDICTORS)
+    fitted = prep.workflow(_recipe("lIngpcug"), models.decision_tree("lIngpcug", tree_depth=4)).fit(df.filter("train = 1"))
+    path = scratch_path(spark, "model")
+    S.save_model(fitted, path)
+    test = df.filter("train = 0")
+    before = models.predict(fitted, test, name="before").select("id", "before")
+    after = models.predict(S.load_model(path), test, name="after").select("id", "after")
+    both = before.join(after, "id", "full")
+    differ = ~F.col("before").eqNullSafe(F.col("after"))
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(differ).alias("n_different"))
+
+
+_READABLE = {"P5130": "Estimación arriendo", "P5000": "Número cuartos", "Npersug": "Npersug", "P5090": "Vivienda"}
+
+
+def _importance(spark: SparkSession, sf: str) -> DataFrame:
+    df = homes(spark, sf).select("id", "train", "Depto", "Pobre", *_PREDICTORS)
+    model = _fitted(df, "Pobre", _forest(models.CLASSIFICATION), mtry=4, trees=10, tree_depth=5)
+    return evaluate.importance(spark, prep.feature_names(model), model.stages[-1], _READABLE)
+
+
+@query()
+def importance_top20(spark: SparkSession, sf: str) -> DataFrame:
+    return _importance(spark, sf)
+
+
+@query()
+def importance_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "importance")
+    S.write_importance(_importance(spark, sf), path)
+    return spark.read.schema("Variable string, Importance double").option("header", True).csv(path)
+
+
+# ---- tuning ----------------------------------------------------------------------------------
+
+_CUTS = tuning.Range(-3, 0).levels(5)
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(v) for v in r) + ")" for r in rows)
+
+
+@query(
+    f"{_HOMES} SELECT cut::DOUBLE AS threshold, round(COUNT(*) FILTER (WHERE event = 1 AND score > cut)::DOUBLE / COUNT(*) FILTER (WHERE event = 1), 6) AS tpr, "
+    "round(1 - COUNT(*) FILTER (WHERE event = 0 AND score <= cut)::DOUBLE / COUNT(*) FILTER (WHERE event = 0), 6) AS fpr, "
+    f"round(COUNT(*) FILTER (WHERE event = 0 AND score <= cut)::DOUBLE / COUNT(*) FILTER (WHERE event = 0), 6) AS tnr FROM homes, (VALUES {_values([(c,) for c in _CUTS])}) v(cut) GROUP BY cut"
+)
+def grid_regular(spark: SparkSession, sf: str) -> DataFrame:
+    """Evenly spaced cut-offs, each judged on the whole table in one pass."""
+    grid = tuning.grid_regular(5, cutoff=tuning.Range(-3, 0))
+    out = evaluate.operating_point(homes(spark, sf), "event", "score", [g["cutoff"] for g in grid])
+    return rounded(out, "tpr", "fpr", "tnr")
+
+
+@query(
+    f"{_HOMES} SELECT tenure, cut::DOUBLE AS cutoff, round(AVG(CASE WHEN (P5090 <= tenure) = (score > cut) THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy "
+    "FROM homes, (VALUES (1), (2), (3)) e(tenure), (VALUES (-1.5), (-0.5)) v(cut) GROUP BY tenure, cut"
+)
+def grid_expand(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of event definition and cut-off, in one pass."""
+    grid = tuning.grid_expand(tenure=[1, 2, 3], cutoff=[-1.5, -0.5])
+    parts = [evaluate.accuracy(F.col("P5090") <= g["tenure"], F.col("score") > g["cutoff"]).alias(f"a{i}") for i, g in enumerate(grid)]
+    rows = [
+        F.struct(F.lit(g["tenure"]).alias("tenure"), F.lit(g["cutoff"]).alias("cutoff"), F.col(f"a{i}").alias("accuracy"))
+        for i, g in enumerate(grid)
+    ]
+    return rounded(homes(spark, sf).agg(*parts).select(F.inline(F.array(*rows))), "accuracy")
+
+
+_PENALTIES, _MIXTURES, _FOLDS = [0.01, 0.2], [0.0, 1.0], 3
+_CANDIDATES = [(i, float(m), float(p)) for i, (m, p) in enumerate((m, p) for m in _MIXTURES for p in _PENALTIES)]
+_CV = (
+    f"{_HOMES}, t AS (SELECT id, P5130 AS x, lIngpcug AS y, CAST({hash_sql('fold:123')} % {_FOLDS} AS INT) AS fold FROM homes WHERE train = 1), "
+    f"cand AS (SELECT candidate::INT AS candidate, mixture::DOUBLE AS mixture, penalty::DOUBLE AS penalty FROM (VALUES {_values(_CANDIDATES)}) c(candidate, mixture, penalty)), "
+    "s AS (SELECT f.fold AS held, COUNT(*)::DOUBLE AS n, AVG(x) AS mx, AVG(y) AS my, stddev_samp(x) AS sx, stddev_samp(y) AS sy, covar_pop(x, y) AS cxy "
+    "FROM t JOIN (SELECT DISTINCT fold FROM t) f ON t.fold <> f.fold GROUP BY f.fold), "
+    f"fit AS (SELECT *, {_slope('penalty', 'mixture')} AS slope FROM s, cand), "
+    "cv AS (SELECT candidate, penalty, mixture, held AS fold, 'rmse' AS metric, sqrt(AVG(pow(y - (my - slope * mx) - slope * x, 2))) AS value "
+    "FROM fit JOIN t ON t.fold = fit.held GROUP BY candidate, penalty, mixture, held), "
+    "agg AS (SELECT candidate, penalty, mixture, metric, AVG(value) AS mean, COUNT(*) AS n, stddev_samp(value) / sqrt(COUNT(*)) AS std_err FROM cv GROUP BY ALL)"
+)
+
+
+def _folded(spark: SparkSession, sf: str) -> DataFrame:
+    return kfold(homes(spark, sf).filter("train = 1").select("id", "P5130", "lIngpcug"), _FOLDS, "id", 123)
+
+
+def _path(spark: SparkSession, sf: str) -> DataFrame:
+    return gram.tune_linear_path(_vector(_folded(spark, sf), "P5130"), "features", "lIngpcug", "fold", _PENALTIES, _MIXTURES)
+
+
+@query(f"{_CV} SELECT candidate, penalty, mixture, fold, metric, round(value, 6) AS value FROM cv")
+def tune_linear_path(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_path(spark, sf), "value")
+
+
+@query(f"{_CV} SELECT candidate, penalty, mixture, fold, metric, round(value, 6) AS value FROM cv")
+def tune_cv(spark: SparkSession, sf: str) -> DataFrame:
+    """The general route gives the same numbers as the one-pass route."""
+    recipe = prep.Recipe(label="lIngpcug", numeric=["P5130"], factors=[])
+    grid = tuning.grid_expand(mixture=_MIXTURES, penalty=_PENALTIES)
+    build = lambda label, **more: models.linear_reg(label, tol=1e-10, **more)
+    out = tuning.tune_cv(_folded(spark, sf), recipe, build, grid, "lIngpcug", ["rmse"], models.REGRESSION)
+    ints = {c: F.col(c).cast("int") for c in ("candidate", "fold")}
+    return rounded(out.withColumns(ints), "value")
+
+
+@query(f"{_CV} SELECT candidate, penalty, mixture, metric, round(mean, 6) AS mean, n, round(std_err, 6) AS std_err FROM agg")
+def collect_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tuning.collect_metrics(_path(spark, sf)), "mean", "std_err")
+
+
+@query(f"{_CV} SELECT candidate, penalty, mixture, round(mean, 6) AS mean FROM agg ORDER BY agg.mean, candidate LIMIT 1")
+def select_best(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = tuning.best_first(tuning.collect_metrics(_path(spark, sf)), "rmse")
+    return rounded(ranked.limit(1).select("candidate", "penalty", "mixture", "mean"), "mean")
+
+
+@query(
+    f"{_CV}, best AS (SELECT * FROM agg ORDER BY mean, candidate LIMIT 1), whole AS (SELECT COUNT(*)::DOUBLE AS n, AVG(x) AS mx, AVG(y) AS my, stddev_samp(x) AS sx, "
+    f"stddev_samp(y) AS sy, covar_pop(x, y) AS cxy FROM t), last AS (SELECT w.mx, w.my, {_slope('penalty', 'mixture')} AS slope FROM whole w, (SELECT penalty, mixture FROM best)) "
+    "SELECT id, round(my + slope * (x - mx), 4) AS score FROM t, last"
+)
+def finalize_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Best candidate of the one-pass route, refitted on all training rows."""
+    best = tuning.select_best(tuning.collect_metrics(_path(spark, sf)), "rmse")
+    recipe = prep.Recipe(label="lIngpcug", numeric=["P5130"], factors=[])
+    build = lambda label, **more: models.linear_reg(label, tol=1e-12, solver="l-bfgs", **more)
+    df = _folded(spark, sf)
+    model = tuning.finalize_fit(df, recipe, build, best, "lIngpcug")
+    return rounded(models.predict(model, df).select("id", "score"), "score", places=4)
+
+
+@query(f"{_CV} SELECT penalty, round(mean, 6) AS mean, round(std_err, 6) AS std_err FROM agg WHERE mixture = 1")
+def tuning_curve(spark: SparkSession, sf: str) -> DataFrame:
+    metrics = tuning.collect_metrics(_path(spark, sf)).filter("mixture = 1")
+    return rounded(tuning.tuning_curve(metrics, "penalty", "rmse"), "mean", "std_err")
+
+
+@query()
+def grid_random(spark: SparkSession, sf: str) -> DataFrame:
+    """Random penalties and mixtures, all judged from one pass over the data."""
+    df = kfold(homes(spark, sf).filter("train = 1"), 5, "id", 123)
+    prepared = prep.prep(_recipe("lIngpcug"), df)
+    grid = tuning.grid_random(6, 123, penalty=tuning.PENALTY, mixture=tuning.MIXTURE)
+    rows = prep.bake(prepared, df, ["lIngpcug", "fold"])
+    out = gram.tune_linear_path(rows, "features", "lIngpcug", "fold", [g["penalty"] for g in grid], [g["mixture"] for g in grid])
+    drawn = F.concat(*[F.array(*[F.struct(F.lit(g["penalty"]).alias("penalty"), F.lit(g["mixture"]).alias("mixture")) for g in grid])])
+    return tuning.collect_metrics(out.filter(F.array_contains(drawn, F.struct("penalty", "mixture"))))
+
+
+@query()
+def cv_class_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    df = homes(spark, sf).filter("train = 1").select("id", "Depto", "Pobre", *_PREDICTORS)
+    grid = tuning.grid_expand(mtry=[2, 4], min_n=[20])
+    build = lambda label, **more: models.rand_forest(models.CLASSIFICATION, label, trees=10, tree_depth=4, **more)
+    return tuning.collect_metrics(tuning.cv_class_metrics(kfold(df, 2, "id", 123), _recipe("Pobre"), build, grid, "Pobre"))
+
+
+# ---- evaluation and scoring ------------------------------------------------------------------
+
+
+@query(
+    f"{_HOMES} SELECT round(sqrt(AVG(pow(lIngpcug - P5130 / 50, 2))), 6) AS rmse, round(AVG(abs(lIngpcug - P5130 / 50)), 6) AS mae, "
+    "round(AVG(pow(lIngpcug - P5130 / 50, 2)), 6) AS mse FROM homes"
+)
+def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    df = homes(spark, sf).withColumn("guess", F.col("P5130") / 50)
+    return rounded(evaluate.regression_metrics(df, "lIngpcug", "guess"), "rmse", "mae", "mse")
+
+
+_GUESS = f"{_HOMES}, g AS (SELECT *, CASE WHEN score >= -1.5 THEN 1 ELSE 0 END AS guess, exp(score) AS p FROM homes)"
+
+
+@query(
+    f"{_GUESS} SELECT round(2.0::DOUBLE * COUNT(*) FILTER (WHERE event = 1 AND guess = 1) / (2 * COUNT(*) FILTER (WHERE event = 1 AND guess = 1) "
+    "+ COUNT(*) FILTER (WHERE event <> guess)), 6) AS f_meas FROM g"
+)
+def f1(spark: SparkSession, sf: str) -> DataFrame:
+    df = homes(spark, sf).withColumn("guess", F.when(F.col("score") >= -1.5, 1).otherwise(0))
+    return rounded(evaluate.f1(df, "event", "guess"), "f_meas")
+
+
+@query(
+    f"{_HOMES}, g AS (SELECT event, CASE WHEN exp(score) >= 0.5 THEN 1 ELSE 0 END AS guess, exp(score) AS p, score FROM homes), "
+    "n AS (SELECT COUNT(*) FILTER (WHERE event = 1 AND guess = 1)::DOUBLE AS tp, COUNT(*) FILTER (WHERE event = 0 AND guess = 1)::DOUBLE AS fp, "
+    "COUNT(*) FILTER (WHERE event = 1 AND guess = 0)::DOUBLE AS fn, COUNT(*) FILTER (WHERE event = 0 AND guess = 0)::DOUBLE AS tn, "
+    "-AVG(CASE WHEN event = 1 THEN ln(least(greatest(p, 1e-15), 1 - 1e-15)) ELSE ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)) END) AS ll FROM g), "
+    "r AS (SELECT event, rank() OVER (ORDER BY p) + (COUNT(*) OVER (PARTITION BY p) - 1) / 2.0 AS place FROM g), "
+    "a AS (SELECT (SUM(place) FILTER (WHERE event = 1) - COUNT(*) FILTER (WHERE event = 1)::DOUBLE * (COUNT(*) FILTER (WHERE event = 1) + 1) / 2) / "
+    "(COUNT(*) FILTER (WHERE event = 1)::DOUBLE * COUNT(*) FILTER (WHERE event = 0)) AS auc FROM r) "
+    "SELECT round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, "
+    "round(tn / (tn + fp), 6) AS specificity, round(2 * tp / (2 * tp + fp + fn), 6) AS f_meas, round(ll, 4) AS log_loss, round(auc, 6)::DOUBLE AS auc FROM n, a"
+)
+def class_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    df = homes(spark, sf).withColumn("p", F.exp("score"))
+    out = evaluate.class_metrics(df, "event", "p")
+    return rounded(rounded(out, "accuracy", "precision", "recall", "specificity", "f_meas", "auc"), "log_loss", places=4)
+
+
+_ROC = (
+    f"{_HOMES}, d AS (SELECT score, COUNT(*) FILTER (WHERE event = 1) AS pos, COUNT(*) FILTER (WHERE event = 0) AS neg FROM homes GROUP BY score), "
+    "c AS (SELECT score, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER () AS ap, SUM(neg) OVER () AS an, lead(score) OVER w AS below FROM d WINDOW w AS (ORDER BY score DESC)), "
+    "roc AS (SELECT score, COALESCE((score + below) / 2, '-Infinity'::DOUBLE) AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, "
+    "tp::DOUBLE / ap AS sensitivity, 1 - fp::DOUBLE / an AS specificity FROM c)"
+)
+
+
+@query(f"{_ROC} SELECT score, threshold, tp, fp, round(sensitivity, 6) AS sensitivity, round(specificity, 6) + 0.0 AS specificity FROM roc")
+def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.roc_curve(homes(spark, sf), "event", "score"), "sensitivity", "specificity")
+
+
+@query(
+    f"{_ROC} SELECT round(threshold, 6) AS threshold, tp, fp, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity FROM roc "
+    "ORDER BY pow(1 - roc.sensitivity, 2) + pow(1 - roc.specificity, 2), roc.threshold LIMIT 1"
+)
+def roc_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    best = evaluate.roc_threshold(homes(spark, sf), "event", "score")
+    return rounded(best.select("threshold", "tp", "fp", "sensitivity", "specificity"), "threshold", "sensitivity", "specificity")
+
+
+@query(
+    f"{_HOMES} SELECT -1.5::DOUBLE AS threshold, round(AVG(CASE WHEN score > -1.5 THEN 1.0 ELSE 0.0 END) FILTER (WHERE event = 1), 6)::DOUBLE AS tpr, "
+    "round(AVG(CASE WHEN score > -1.5 THEN 1.0 ELSE 0.0 END) FILTER (WHERE event = 0), 6)::DOUBLE AS fpr, "
+    "round(AVG(CASE WHEN score <= -1.5 THEN 1.0 ELSE 0.0 END) FILTER (WHERE event = 0), 6)::DOUBLE AS tnr FROM homes"
+)
+def operating_point(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.operating_point(homes(spark, sf), "event", "score", -1.5), "tpr", "fpr", "tnr")
+
+
+@query(f"{_GUESS} SELECT event AS real, guess AS predicted, COUNT(*) AS n FROM g GROUP BY event, guess")
+def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    df = homes(spark, sf).withColumn("guess", F.when(F.col("score") >= -1.5, 1).otherwise(0))
+    return evaluate.confusion_matrix(df, "event", "guess")
+
+
+@query(H + "SELECT id, CASE WHEN P5140 IS NULL THEN 0 WHEN exp(ln(P5140 * 200)) <= Lp THEN 1 ELSE 0 END AS pobre FROM hogares WHERE train = 0")
+def score_income(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted log income from the rent; where rent is missing the household counts as not poor."""
+    df = test_part(hogares(spark, sf)).withColumn("prediction", F.log(F.col("P5140") * 200))
+    return scoring.score_income(df, "prediction")
+
+
+@query(H + "SELECT id, CASE WHEN P5140 IS NULL THEN NULL WHEN -P5140 >= -400 THEN 1 ELSE 0 END AS pobre FROM hogares WHERE train = 0")
+def score_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """Here a missing score stays missing."""
+    df = test_part(hogares(spark, sf)).withColumn("score", -F.col("P5140"))
+    return scoring.score_threshold(df, "score", -400.0, missing_as=None)
+
+
+def bases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Final train (without the capital) and test tables."""
+    train = final_base(*packs(spark, sf, train_part), "train")
+    return exclude_domain(train, CAPITAL), final_base(*packs(spark, sf, test_part), "test")
+
+
+@query()
+def end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    """Lasso classifier from persons and households to ``(id, pobre)``."""
+    train, test = bases(spark, sf)
+    return run_classifier(train, test, RunConfig(penalties=tuning.PENALTY.levels(50))).submission
+
+
+@query()
+def end_to_end_income(spark: SparkSession, sf: str) -> DataFrame:
+    """Elastic-net income model compared with the poverty line."""
+    train, test = bases(spark, sf)
+    skipped = ("id", "Lp", "Ingpcug", "lIngpcug", "Pobre", "train", "Clase", "Dominio", "fold")
+    config = RunConfig(
+        label="lIngpcug", not_predictors=skipped, interact_factor="Depto",
+        penalties=tuning.PENALTY.levels(10), mixtures=tuning.MIXTURE.levels(5),
+    )
+    return run_income(train, test, config).submission
