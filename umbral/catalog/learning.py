@@ -26,10 +26,10 @@ _REGIONS = ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 def homes(spark: SparkSession, sf: str) -> DataFrame:
     """Households with the log income and a fixed score in place of a model's."""
     df = hogares(spark, sf).withColumn("lIngpcug", safe_log(F.col("Ingpcug")))
-    return df.withColumns({"score": -F.col("Ingpcug") / F.col("Lp"), "event": (F.col("P5090") <= 2).cast("int")})
+    return df.withColumns({"score": -F.col("Ingpcug") / F.col("Lp") + 0.0, "event": (F.col("P5090") <= 2).cast("int")})
 
 
-_HOMES = f"{H}, homes AS (SELECT *, {_LOG} AS lIngpcug, -Ingpcug / Lp AS score, CASE WHEN P5090 <= 2 THEN 1 ELSE 0 END AS event FROM hogares)"
+_HOMES = f"{H}, homes AS (SELECT *, {_LOG} AS lIngpcug, -Ingpcug / Lp + 0.0 AS score, CASE WHEN P5090 <= 2 THEN 1 ELSE 0 END AS event FROM hogares)"
 
 
 # ---- preparation -----------------------------------------------------------------------------
@@ -156,17 +156,17 @@ def _one_predictor(spark: SparkSession, sf: str, model) -> DataFrame:
 
 @query(_one_predictor_sql(0.05, 1.0))
 def lasso(spark: SparkSession, sf: str) -> DataFrame:
-    return _one_predictor(spark, sf, models.lasso("lIngpcug", 0.05, tol=1e-10))
+    return _one_predictor(spark, sf, models.lasso("lIngpcug", 0.05, solver="l-bfgs", tol=1e-12))
 
 
 @query(_one_predictor_sql(0.5, 0.0))
 def ridge(spark: SparkSession, sf: str) -> DataFrame:
-    return _one_predictor(spark, sf, models.ridge("lIngpcug", 0.5, solver="l-bfgs", tol=1e-10))
+    return _one_predictor(spark, sf, models.ridge("lIngpcug", 0.5, solver="l-bfgs", tol=1e-12))
 
 
 @query(_one_predictor_sql(0.2, 0.3))
 def elastic_net(spark: SparkSession, sf: str) -> DataFrame:
-    return _one_predictor(spark, sf, models.elastic_net("lIngpcug", 0.2, 0.3, tol=1e-10))
+    return _one_predictor(spark, sf, models.elastic_net("lIngpcug", 0.2, 0.3, solver="l-bfgs", tol=1e-12))
 
 
 @query(
@@ -396,7 +396,7 @@ def tune_cv(spark: SparkSession, sf: str) -> DataFrame:
     """The general route gives the same numbers as the one-pass route."""
     recipe = prep.Recipe(label="lIngpcug", numeric=["P5130"], factors=[])
     grid = tuning.grid_expand(mixture=_MIXTURES, penalty=_PENALTIES)
-    build = lambda label, **more: models.linear_reg(label, tol=1e-10, **more)
+    build = lambda label, **more: models.linear_reg(label, solver="l-bfgs", tol=1e-12, **more)
     out = tuning.tune_cv(_folded(spark, sf), recipe, build, grid, "lIngpcug", ["rmse"], models.REGRESSION)
     ints = {c: F.col(c).cast("int") for c in ("candidate", "fold")}
     return rounded(out.withColumns(ints), "value")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,5 +52,10 @@ def replace_na(df: DataFrame, values: dict) -> DataFrame:
 
 
 def drop_na(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """Keep complete rows only; NaN counts as missing."""
-    return df.dropna("any", subset=subset)
+    """Keep complete rows only; NaN counts as missing.
+
+    One condition per column: they are pushed down one by one, and unlike a single
+    "at least n known" test they do not multiply in the optimizer.
+    """
+    known = [~is_missing(df, c) for c in (subset or df.columns)]
+    return df.filter(reduce(lambda a, b: a & b, known))

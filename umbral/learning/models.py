@@ -9,12 +9,13 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbral.learning.prep import complete_rows
+
 SEED = 123
 MOST_BINS = 64
 CLASSIFICATION, REGRESSION = "classification", "regression"
@@ -99,21 +100,15 @@ def event_probability(column: str = "probability"):
 
 
 def predict(model: Transformer, df: DataFrame, kind: str = "numeric", name: str = "score") -> DataFrame:
-    """Add ``name``: the predicted number, the predicted class, or the event's probability."""
+    """Add ``name``: the predicted number, the predicted class, or the event's probability.
+
+    Every row stays; one with a missing predictor gets a missing score.
+    """
+    complete = complete_rows(model, df) if isinstance(model, PipelineModel) else F.lit(True)
     out = model.transform(df)
     value = event_probability() if kind == "prob" else F.col("prediction")
-    extra = [c for c in ("prediction", "probability", "rawPrediction") if c in out.columns and c != name]
-    return out.withColumn(name, value).drop(*extra)
-
-
-def predict_all(model: PipelineModel, df: DataFrame, kind: str = "numeric", name: str = "score", features: str = "features") -> DataFrame:
-    """``predict`` that keeps rows with a missing predictor and gives them a missing score."""
-    stages = [
-        s.copy({s.handleInvalid: "keep"}) if isinstance(s, VectorAssembler) else s for s in model.stages
-    ]
-    out = predict(PipelineModel(stages), df, kind, name)
-    incomplete = F.exists(vector_to_array(features), F.isnan)
-    return out.withColumn(name, F.when(~incomplete, F.col(name)))
+    added = [c for c in out.columns if c not in df.columns and c != name]
+    return out.withColumn(name, F.when(complete, value)).drop(*added)
 
 
 def fit(estimator: Estimator, df: DataFrame) -> Transformer:

@@ -1,25 +1,29 @@
 """Feature preparation: learned on one table, applied to any.
 
-Each learned step becomes a stock Spark ML stage (``SQLTransformer``, ``VectorAssembler``,
-``VarianceThresholdSelector``, ``StandardScaler``, ``PCA``), so a prepared pipeline is
-saved and loaded like any other.
+Dummies and interactions are expressions of one projection that fills the feature vector
+(``DesignVector``); a wide table of made columns would multiply in the optimizer. What
+follows are stock Spark ML stages, so a prepared pipeline is saved and loaded like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from functools import reduce
+
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
     PCA,
-    SQLTransformer,
     StandardScaler,
     VarianceThresholdSelector,
     VarianceThresholdSelectorModel,
-    VectorAssembler,
     VectorSlicer,
 )
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbral.functions.nulls import is_missing
 from umbral.functions.selectors import all_nominal, all_numeric
 from umbral.operators.columns import drop_cols, quoted
 from umbral.sources.tables import learn_levels
@@ -91,6 +95,34 @@ def remove_terms(df: DataFrame, names: list[str]) -> DataFrame:
     return drop_cols(df, names, strict=False)
 
 
+class DesignVector(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """One vector column from SQL expressions; an entry that is missing is NaN."""
+
+    terms = Param(Params._dummy(), "terms", "names of the entries", TypeConverters.toListString)
+    expressions = Param(Params._dummy(), "expressions", "SQL of the entries", TypeConverters.toListString)
+    sources = Param(Params._dummy(), "sources", "columns the entries are made of", TypeConverters.toListString)
+    output = Param(Params._dummy(), "output", "name of the vector column", TypeConverters.toString)
+
+    def __init__(self, terms: list[str] = (), expressions: list[str] = (), sources: list[str] = (), output: str = "features"):
+        super().__init__()
+        self._set(terms=list(terms), expressions=list(expressions), sources=list(sources), output=output)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        entries = [F.coalesce(F.expr(e), F.lit(float("nan"))) for e in self.getOrDefault(self.expressions)]
+        return df.withColumn(self.getOrDefault(self.output), array_to_vector(F.array(*entries)))
+
+    def complete(self, df: DataFrame) -> Column:
+        """True where every source column is known."""
+        known = [~is_missing(df, c) for c in self.getOrDefault(self.sources)]
+        return reduce(lambda a, b: a & b, known, F.lit(True))
+
+
+def complete_rows(prepared: PipelineModel, df: DataFrame) -> Column:
+    """True where the prepared vector has no missing entry."""
+    tests = [s.complete(df) for s in prepared.stages if isinstance(s, DesignVector)]
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
 class PcaThreshold(Estimator):
     """Principal components, kept up to the fewest that explain ``threshold`` of the variance."""
 
@@ -113,9 +145,8 @@ class PcaThreshold(Estimator):
 class Recipe(Estimator):
     """Declared preparation: dummies, interactions, removed terms, zero variance, scaling, PCA.
 
-    ``predictors`` defaults to every number and text column that has no other role.
-    Rows with a missing predictor are dropped while learning and kept, with no
-    features, never: ``bake`` leaves them out too unless ``keep_invalid`` is set.
+    Without ``numeric`` and ``factors`` every number and text column that has no other
+    role is a predictor. Incomplete rows are not learned from.
     """
 
     def __init__(
@@ -130,55 +161,43 @@ class Recipe(Estimator):
         scale: bool = True,
         pca_threshold: float | None = None,
         output: str = "features",
-        invalid: str = "skip",
     ):
         super().__init__()
         self.label, self.not_predictors = label, tuple(not_predictors)
         self.numeric, self.factors = numeric, factors
         self.interact_numeric, self.interact_factor = tuple(interact_numeric), interact_factor
         self.removed, self.scale, self.pca_threshold = set(removed), scale, pca_threshold
-        self.output, self.invalid = output, invalid
+        self.output = output
 
-    def design(self, df: DataFrame) -> tuple[dict[str, str], list[str]]:
-        """Learned expressions of the made columns, and all predictor columns in order."""
+    def design(self, df: DataFrame, output: str) -> DesignVector:
+        """The vector's entries, with factor levels learned from ``df``."""
         out = [*self.not_predictors, *([self.label] if self.label else [])]
         numeric = list(self.numeric) if self.numeric is not None else all_numeric(df, out)
         factors = list(self.factors) if self.factors is not None else all_nominal(df, out)
-        levels = learn_levels(df, factors)
-        made = dummy_expressions(levels)
-        crossed = {}
+        dummies = dummy_expressions(learn_levels(df, factors))
+        entries = {n: f"CAST({_sql_name(n)} AS DOUBLE)" for n in numeric} | dummies
         if self.interact_factor:
-            own = [d for d in made if d.startswith(f"{self.interact_factor}_")]
-            crossed = interaction_expressions(list(self.interact_numeric), own)
-        names = [n for n in [*numeric, *made, *crossed] if n not in self.removed]
-        return {**made, **crossed}, names
+            own = {d: e for d, e in dummies.items() if d.startswith(f"{self.interact_factor}_")}
+            entries |= {
+                f"{n}{BETWEEN}{d}": f"CAST({_sql_name(n)} AS DOUBLE) * {e}" for n in self.interact_numeric for d, e in own.items()
+            }
+        entries = {n: e for n, e in entries.items() if n not in self.removed}
+        sources = list(dict.fromkeys([*numeric, *factors, *(self.interact_numeric if self.interact_factor else ())]))
+        return DesignVector(list(entries), list(entries.values()), sources, output)
 
     def _fit(self, df: DataFrame) -> PipelineModel:
-        made, names = self.design(df)
-        dummies = {n: e for n, e in made.items() if BETWEEN not in n}
-        crossed = {n: e for n, e in made.items() if BETWEEN in n and n in names}
-        stages = []
-        for group in (dummies, crossed):
-            if group:
-                made_sql = ", ".join(f"{e} AS {_sql_name(n)}" for n, e in group.items())
-                stages.append(SQLTransformer(statement=f"SELECT *, {made_sql} FROM __THIS__"))
-        raw = f"{self.output}_raw"
-        stages.append(VectorAssembler(inputCols=names, outputCol=raw, handleInvalid=self.invalid))
-        wide = PipelineModel(stages)
-        # Made columns are only needed to fill the vector.
-        slim = wide.transform(df).select(raw)
-        varied = f"{self.output}_varied"
-        tail = [VarianceThresholdSelector(varianceThreshold=0.0, featuresCol=raw, outputCol=varied)]
-        last = varied
+        raw, varied = f"{self.output}_raw", f"{self.output}_varied"
+        design = self.design(df, raw)
+        rows = design.transform(df.filter(design.complete(df))).select(raw)
+        tail, last = [VarianceThresholdSelector(varianceThreshold=0.0, featuresCol=raw, outputCol=varied)], varied
         if self.scale:
             last = f"{self.output}_scaled" if self.pca_threshold else self.output
             tail.append(StandardScaler(withMean=True, withStd=True, inputCol=varied, outputCol=last))
         if self.pca_threshold:
             tail.append(PcaThreshold(last, self.output, self.pca_threshold))
-        if not self.scale and not self.pca_threshold:
+        if len(tail) == 1:
             tail[0].setOutputCol(self.output)
-        fitted = Pipeline(stages=tail).fit(slim)
-        return PipelineModel([*stages, *_flatten(fitted.stages)])
+        return PipelineModel([design, *_flatten(Pipeline(stages=tail).fit(rows).stages)])
 
 
 def _flatten(stages: list) -> list:
@@ -190,17 +209,18 @@ def prep(recipe: Recipe, train: DataFrame) -> PipelineModel:
 
 
 def bake(prepared: PipelineModel, df: DataFrame, keep: list[str] | None = None, output: str = "features") -> DataFrame:
-    """Apply learned preparation and keep only the given columns and the feature vector."""
+    """Apply learned preparation to the complete rows; keep the given columns and the vector."""
     keep = [c for c in (keep if keep is not None else df.columns) if c in df.columns]
-    return prepared.transform(df).select(*[quoted(c) for c in keep], output)
+    made = prepared.transform(df.filter(complete_rows(prepared, df)))
+    return made.select(*[quoted(c) for c in keep], output)
 
 
 def feature_names(prepared: PipelineModel) -> list[str]:
     """Names of the vector's entries: columns that vary, or ``PC1..`` after PCA."""
     names: list[str] = []
     for stage in prepared.stages:
-        if isinstance(stage, VectorAssembler):
-            names = stage.getInputCols()
+        if isinstance(stage, DesignVector):
+            names = stage.getOrDefault(stage.terms)
         elif isinstance(stage, VarianceThresholdSelectorModel):
             names = [names[i] for i in stage.selectedFeatures]
         elif isinstance(stage, VectorSlicer):
@@ -209,8 +229,10 @@ def feature_names(prepared: PipelineModel) -> list[str]:
 
 
 def design_matrix(df: DataFrame, names: list[str], output: str = "features") -> DataFrame:
-    """All named columns as one numeric vector, no intercept column."""
-    return VectorAssembler(inputCols=names, outputCol=output, handleInvalid="skip").transform(df)
+    """All named columns of the complete rows as one numeric vector, no intercept column."""
+    entries = [f"CAST({_sql_name(n)} AS DOUBLE)" for n in names]
+    design = DesignVector(names, entries, names, output)
+    return design.transform(df.filter(design.complete(df)))
 
 
 def workflow(recipe: Recipe, model: Estimator) -> Pipeline:

@@ -11,11 +11,12 @@ from pyspark.storagelevel import StorageLevel
 
 from umbral.learning.evaluate import coefficients, roc_threshold
 from umbral.learning.gram import tune_linear_path
-from umbral.learning.models import linear_reg, predict, predict_all
+from umbral.learning.models import linear_reg, predict
 from umbral.learning.prep import Recipe, bake, feature_names, prep
 from umbral.learning.scoring import score_income, score_threshold
 from umbral.learning.tuning import MIXTURE, PENALTY, collect_metrics, select_best
 from umbral.operators.sampling import kfold, split_validation
+from umbral.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -77,14 +78,15 @@ def end_to_end(train: DataFrame, test: DataFrame, config: RunConfig = RunConfig(
     """Classifier run: cut-off from held-out rows, then ``(id, pobre)`` for the test table."""
     fitting, held_out = split_validation(train, config.validation, config.id, config.seed)
     model, terms, metrics, best = _fit_linear(fitting, config)
-    judged = predict(model, held_out).select(F.col(config.label).alias("real"), "score")
+    # The curve reads the scores several times; written once, they are not computed again.
+    judged = cut_lineage(predict(model, held_out).select(F.col(config.label).alias("real"), "score"))
     cutoff = roc_threshold(judged, "real", "score").first()["threshold"]
-    submission = score_threshold(predict_all(model, test), "score", cutoff, config.missing_as)
+    submission = score_threshold(predict(model, test), "score", cutoff, config.missing_as)
     return Run(model, terms, metrics, best, cutoff, submission)
 
 
 def end_to_end_income(train: DataFrame, test: DataFrame, config: RunConfig) -> Run:
     """Income run: no validation rows; predicted income is compared with the poverty line."""
     model, terms, metrics, best = _fit_linear(train, config)
-    submission = score_income(predict_all(model, test), "score", "Lp", config.missing_as)
+    submission = score_income(predict(model, test), "score", "Lp", config.missing_as)
     return Run(model, terms, metrics, best, None, submission)
