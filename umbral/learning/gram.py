@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_FEATURES = 4000
-ROWS_TOLERANCE = 1e-9
+TOLERANCE = 1e-9
+RIDGE = 1e-12
 SWEEPS = 5000
-SWEEPS_BEFORE_DIRECT = 20
 
 
 def rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -132,51 +132,58 @@ def solve_path(s: Standardised, mixture: float, penalties: list[float]) -> dict[
 
 
 def _descend(s: Standardised, b: np.ndarray, l1: float, l2: float) -> np.ndarray:
-    """Coordinate descent over the active columns, closed by a direct solve once signs settle."""
+    """Penalised minimum from a start: active-set steps, or coordinate descent should they not settle."""
+    found = _active_set(s, b.copy(), l1, l2)
+    return found if found is not None else _coordinates(s, b, l1, l2)
+
+
+def _active_set(s: Standardised, b: np.ndarray, l1: float, l2: float) -> np.ndarray | None:
+    """Feature-sign search: solve for the present signs, stop at the first zero crossing,
+    then let in the column that violates the optimality condition most."""
+    slack = TOLERANCE * max(1.0, s.y_sd)
+    signs, refused = np.sign(b), np.zeros(len(b), bool)
+    for _ in range(20 * len(b) + 100):
+        used = np.flatnonzero(signs)
+        if len(used):
+            block = s.gram[np.ix_(used, used)] + (l2 + RIDGE) * np.eye(len(used))
+            target = np.linalg.solve(block, s.cross[used] - l1 * signs[used])
+            crossing = np.sign(target) != signs[used]
+            if crossing.any():
+                start = b[used]
+                way = np.where(crossing, np.abs(start) / np.maximum(np.abs(start - target), 1e-300), 1.0)
+                step = way.min()
+                b[used] = start + step * (target - start)
+                leaving = used[crossing & (way <= step)]
+                b[leaving], signs[leaving] = 0.0, 0.0
+                refused[leaving] |= step == 0
+                continue
+            b[used] = target
+        pull = np.abs(s.cross - s.gram @ b)
+        pull[(signs != 0) | refused] = 0.0
+        j = int(np.argmax(pull)) if len(pull) else 0
+        if not len(pull) or pull[j] <= l1 + slack:
+            return b
+        signs[j] = np.sign(s.cross[j] - s.gram[j] @ b)
+    return None
+
+
+def _coordinates(s: Standardised, b: np.ndarray, l1: float, l2: float) -> np.ndarray:
     gram, rest = s.gram, s.cross - s.gram @ b
-    diagonal = np.diag(gram)
-    slack = ROWS_TOLERANCE * max(1.0, s.y_sd)
-    active = np.flatnonzero(b)
-    for sweep in range(1, SWEEPS + 1):
+    diagonal, slack = np.diag(gram), TOLERANCE * max(1.0, s.y_sd)
+    for _ in range(SWEEPS):
         moved = 0.0
-        for j in active:
+        for j in range(len(b)):
             pull = rest[j] + diagonal[j] * b[j]
-            new = np.sign(pull) * max(abs(pull) - l1, 0.0) / (diagonal[j] + l2)
-            step = new - b[j]
+            step = np.sign(pull) * max(abs(pull) - l1, 0.0) / (diagonal[j] + l2) - b[j]
             if step:
                 rest -= gram[j] * step
-                b[j] = new
+                b[j] += step
                 moved = max(moved, abs(step))
         if moved <= slack:
-            waiting = np.flatnonzero((np.abs(rest) > l1 + slack) & (b == 0))
-            if not len(waiting):
-                return b
-            active = np.union1d(np.flatnonzero(b), waiting)
-        elif sweep % SWEEPS_BEFORE_DIRECT == 0:
-            direct = _direct(s, b, l1, l2)
-            if direct is not None:
-                left = s.cross - gram @ direct
-                waiting = np.flatnonzero((np.abs(left) > l1 + slack) & (direct == 0))
-                if not len(waiting):
-                    return direct
-                b, rest = direct, left
-                active = np.union1d(np.flatnonzero(b), waiting)
+            break
     return b
 
 
-def _direct(s: Standardised, b: np.ndarray, l1: float, l2: float) -> np.ndarray | None:
-    """Exact solution for the present signs, or None if it would change one."""
-    used = np.flatnonzero(b)
-    signs = np.sign(b[used])
-    block = s.gram[np.ix_(used, used)] + l2 * np.eye(len(used))
-    found, *_ = np.linalg.lstsq(block, s.cross[used] - l1 * signs, rcond=1e-12)
-    if np.any(np.sign(found) != signs):
-        return None
-    out = np.zeros_like(b)
-    out[used] = found
-    return out
-
-
 def held_out_rmse(m: np.ndarray, beta: np.ndarray) -> float:
     """RMSE on the rows behind the sums ``m`` of a fit ``beta`` = [intercept, coefficients…]."""
     full = np.append(beta, -1.0)

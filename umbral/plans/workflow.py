@@ -16,7 +16,7 @@ from umbral.learning.prep import Recipe, bake, feature_names, prep
 from umbral.learning.scoring import score_income, score_threshold
 from umbral.learning.tuning import MIXTURE, PENALTY, collect_metrics, select_best
 from umbral.operators.sampling import kfold, split_validation
-from umbral.session import cut_lineage
+from umbral.session import cut_lineage, write_through
 
 
 @dataclass(frozen=True)
@@ -76,6 +76,8 @@ def _fit_linear(train: DataFrame, config: RunConfig) -> tuple[PipelineModel, Dat
 
 def end_to_end(train: DataFrame, test: DataFrame, config: RunConfig = RunConfig()) -> Run:
     """Classifier run: cut-off from held-out rows, then ``(id, pobre)`` for the test table."""
+    # Learning reads the table several times; the joins behind it run once.
+    train = write_through(train, "train")
     fitting, held_out = split_validation(train, config.validation, config.id, config.seed)
     model, terms, metrics, best = _fit_linear(fitting, config)
     # The curve reads the scores several times; written once, they are not computed again.
@@ -87,6 +89,6 @@ def end_to_end(train: DataFrame, test: DataFrame, config: RunConfig = RunConfig(
 
 def end_to_end_income(train: DataFrame, test: DataFrame, config: RunConfig) -> Run:
     """Income run: no validation rows; predicted income is compared with the poverty line."""
-    model, terms, metrics, best = _fit_linear(train, config)
+    model, terms, metrics, best = _fit_linear(write_through(train, "train"), config)
     submission = score_income(predict(model, test), "score", "Lp", config.missing_as)
     return Run(model, terms, metrics, best, None, submission)
