@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from umbral.functions.nulls import safe_divide
 from umbral.functions.recode import rename_values
 from umbral.operators.columns import pull_column
-from umbral.operators.running import running_totals
+from umbral.operators.running import RANGE, place, running_totals
 from umbral.operators.windows import top_k
 
 LOG_FLOOR = 1e-15
@@ -90,17 +90,18 @@ def class_metrics(df: DataFrame, label: str, probability: str, cutoff: float = 0
     return shares.join(area, "__one").drop("__one")
 
 
-def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Events and others per distinct score: the only shuffle of the whole table, combined map-side."""
-    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return known.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
-    )
-
-
 def _points(df: DataFrame, label: str, score: str) -> DataFrame:
-    counts = _score_counts(df, label, score)
-    return running_totals(counts, "score", ["pos", "neg"], descending=True, neighbour="next_score")
+    """Events and others per distinct score, with running totals from the highest score down.
+
+    Counting per score is the only shuffle of the whole table; it combines map-side.
+    """
+    known = df.select(F.col(score).cast("double").alias("score"), F.col(label).alias("label"))
+    known = known.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("label").isNotNull())
+    at = f"{RANGE}_score"
+    counts = place(known, ["score"]).groupBy("score", at).agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
+    )
+    return running_totals(counts, "score", ["pos", "neg"], descending=True, neighbour="next_score", at=at)
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:

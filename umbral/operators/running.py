@@ -7,36 +7,28 @@ the totals of the ranges before it are added from a table with one row per range
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_RANGES = 4096
+RANGE = "__range"
 
 
-def range_bounds(df: DataFrame, order: str, by: str | None, ranges: int) -> dict:
-    """Cut points per ``by`` value: at most ``ranges`` numbers each, used only to balance work."""
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = F.percentile_approx(F.col(order), steps, 10 * ranges).alias("cuts")
-    grouped = df.groupBy(F.col(by) if by else F.lit(None).alias("all")).agg(cuts)
-    rows = grouped.limit(MOST_RANGES + 1).collect()
-    if len(rows) > MOST_RANGES:
-        raise ValueError(f"{by} has more than {MOST_RANGES} values; group by it instead")
-    return {r[0]: sorted(set(r[1] or [])) for r in rows}
-
-
-def _range_number(order: str, by: str | None, bounds: dict) -> Column:
-    def place(cuts: list) -> Column:
-        if not cuts:
-            return F.lit(0)
-        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order)))
+def place(df: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
+    """Add ``__range_<column>``: the number of the value's range, for double columns.
 
-    if not by:
-        return place(next(iter(bounds.values()), []))
-    number = None
-    for value, cuts in bounds.items():
-        test = F.col(by).eqNullSafe(F.lit(value))
-        number = F.when(test, place(cuts)) if number is None else number.when(test, place(cuts))
-    return F.lit(0) if number is None else number
+    The cut points come from one pass with fixed-size sketches and only balance the
+    work. They stand in the plan as plain numbers, so a retried task sees the same ranges.
+    """
+    ranges = ranges or min(MOST_RANGES, max(2, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    steps = [i / ranges for i in range(1, ranges)]
+    found = df.agg(*[F.percentile_approx(F.col(c), steps, 10 * ranges).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    ends = float("-inf"), float("inf")
+    splits = [sorted({ends[0], *(x for x in (found[i] or [0.0]) if x == x), ends[1]}) for i in range(len(columns))]
+    splits = [s if len(s) > 2 else [ends[0], 0.0, ends[1]] for s in splits]
+    names = [f"{RANGE}_{c}" for c in columns]
+    return Bucketizer(inputCols=columns, outputCols=names, splitsArray=splits, handleInvalid="keep").transform(df)
 
 
 def running_totals(
@@ -46,50 +38,46 @@ def running_totals(
     by: str | None = None,
     descending: bool = False,
     neighbour: str | None = None,
-    ranges: int | None = None,
+    at: str | None = None,
 ) -> DataFrame:
     """Inclusive running sum of each column of ``sums`` along ``order``, as ``cum_<column>``,
     and its grand total as ``all_<column>``.
 
-    ``order`` must be unique within ``by``: aggregate per value first. ``neighbour``
-    names an extra column that receives the order value of the next row.
-    The cut points are plain numbers in the plan, so a retried task sees the same ranges.
+    ``order`` must be unique within ``by``: aggregate per value first. ``at`` names the
+    range column of ``place``. ``neighbour`` receives the order value of the next row.
     """
-    spark = df.sparkSession
-    ranges = ranges or min(MOST_RANGES, max(2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = range_bounds(df, order, by, ranges)
+    if at is None:
+        if by:
+            raise ValueError("place the values before grouping them by another column")
+        df, at = place(df, [order]), f"{RANGE}_{order}"
     keys = [by] if by else []
-    placed = df.withColumn("__range", _range_number(order, by, bounds))
-
     direction = F.col(order).desc() if descending else F.col(order).asc()
     first_value = F.max(order) if descending else F.min(order)
-    totals = placed.groupBy(*keys, "__range").agg(
+    group = F.col(by) if by else F.lit(0)
+    totals = df.groupBy(group.alias("__by"), F.col(at).alias("__at")).agg(
         *[F.sum(s).alias(f"__total_{s}") for s in sums], first_value.alias("__first")
     )
-    # One row per range: a bounded table, whatever the size of the data.
-    span = F.col("__range").desc() if descending else F.col("__range").asc()
-    across = Window.partitionBy(*keys).orderBy(span)
+    # One row per range and ``by`` value: a bounded table, whatever the size of the data.
+    across = Window.partitionBy("__by").orderBy(F.col("__at").desc() if descending else F.col("__at").asc())
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
-        "__range",
+        "__by",
+        "__at",
         *[F.coalesce(F.sum(f"__total_{s}").over(before), F.lit(0)).alias(f"__before_{s}") for s in sums],
-        *[F.sum(f"__total_{s}").over(Window.partitionBy(*keys)).alias(f"all_{s}") for s in sums],
+        *[F.sum(f"__total_{s}").over(Window.partitionBy("__by")).alias(f"all_{s}") for s in sums],
         F.lead("__first").over(across).alias("__next_first"),
     )
+    match = F.col(at) == F.col("__at")
     if by:
-        offsets = offsets.withColumnRenamed(by, "__by")
-        match = placed[by].eqNullSafe(offsets["__by"]) & (placed["__range"] == offsets["__range"])
-    else:
-        match = placed["__range"] == offsets["__range"]
-    joined = placed.join(F.broadcast(offsets), match).drop(offsets["__range"]).drop("__by")
+        match &= F.col(by).eqNullSafe(F.col("__by"))
+    joined = df.join(F.broadcast(offsets), match).drop("__at", "__by")
 
-    inside = Window.partitionBy(*keys, "__range").orderBy(direction)
+    inside = Window.partitionBy(*keys, at).orderBy(direction)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     out = joined.withColumns({f"cum_{s}": F.col(f"__before_{s}") + F.sum(s).over(upto) for s in sums})
     if neighbour:
         out = out.withColumn(neighbour, F.coalesce(F.lead(order).over(inside), F.col("__next_first")))
-    return out.drop("__range", "__next_first", *[f"__before_{s}" for s in sums])
+    return out.drop(at, "__next_first", *[f"__before_{s}" for s in sums])
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
@@ -98,11 +86,15 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     Returns ``(name, probability, quantile)``. Values are counted per distinct value
     first, so repeated values cost nothing and no task holds a whole column.
     """
-    long = df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]))
-    ).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-    ordered = running_totals(counts, "value", ["n"], by="name", neighbour="next_value")
+    names = [f"v{i}" for i in range(len(columns))]
+    wide = place(df.select(*[F.col(f"`{c}`").cast("double").alias(v) for c, v in zip(columns, names)]), names)
+    entries = [
+        F.struct(F.lit(c).alias("name"), F.col(v).alias("value"), F.col(f"{RANGE}_{v}").alias(RANGE))
+        for c, v in zip(columns, names)
+    ]
+    long = wide.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = long.groupBy("name", "value", RANGE).agg(F.count(F.lit(1)).alias("n"))
+    ordered = running_totals(counts, "value", ["n"], by="name", neighbour="next_value", at=RANGE)
     # The value at 0-based rank r is the one whose count range covers r.
     wanted = []
     for p in probabilities:
