@@ -1,8 +1,9 @@
 """Feature preparation: learned on one table, applied to any.
 
-Dummies and interactions are expressions of one projection that fills the feature vector
-(``DesignVector``); a wide table of made columns would multiply in the optimizer. What
-follows are stock Spark ML stages, so a prepared pipeline is saved and loaded like any other.
+Dummies and interactions are arrays of one projection that fills the feature vector
+(``DesignVector``): a wide table of made columns would multiply in the optimizer and its
+generated code grows too long to be compiled. What follows are stock Spark ML stages, so a
+prepared pipeline is saved and loaded like any other.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import reduce
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
     PCA,
+    PCAModel,
     StandardScaler,
     VarianceThresholdSelector,
     VarianceThresholdSelectorModel,
@@ -96,20 +98,20 @@ def remove_terms(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 class DesignVector(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """One vector column from SQL expressions; an entry that is missing is NaN."""
+    """One vector column from SQL arrays laid end to end; an entry that is missing is NaN."""
 
     terms = Param(Params._dummy(), "terms", "names of the entries", TypeConverters.toListString)
-    expressions = Param(Params._dummy(), "expressions", "SQL of the entries", TypeConverters.toListString)
+    blocks = Param(Params._dummy(), "blocks", "SQL arrays of doubles", TypeConverters.toListString)
     sources = Param(Params._dummy(), "sources", "columns the entries are made of", TypeConverters.toListString)
     output = Param(Params._dummy(), "output", "name of the vector column", TypeConverters.toString)
 
-    def __init__(self, terms: list[str] = (), expressions: list[str] = (), sources: list[str] = (), output: str = "features"):
+    def __init__(self, terms: list[str] = (), blocks: list[str] = (), sources: list[str] = (), output: str = "features"):
         super().__init__()
-        self._set(terms=list(terms), expressions=list(expressions), sources=list(sources), output=output)
+        self._set(terms=list(terms), blocks=list(blocks), sources=list(sources), output=output)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        entries = [F.coalesce(F.expr(e), F.lit(float("nan"))) for e in self.getOrDefault(self.expressions)]
-        return df.withColumn(self.getOrDefault(self.output), array_to_vector(F.array(*entries)))
+        entries = F.concat(*[F.expr(b) for b in self.getOrDefault(self.blocks)])
+        return df.withColumn(self.getOrDefault(self.output), array_to_vector(entries))
 
     def complete(self, df: DataFrame) -> Column:
         """True where every source column is known."""
@@ -117,6 +119,30 @@ class DesignVector(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return reduce(lambda a, b: a & b, known, F.lit(True))
 
 
+def _known(expression: str) -> str:
+    return f"coalesce({expression}, double('NaN'))"
+
+
+def number_block(names: list[str]) -> str:
+    return "array(" + ", ".join(_known(f"CAST({_sql_name(n)} AS DOUBLE)") for n in names) + ")"
+
+
+def _is_level(factor: str, levels: list[str], times: str = "") -> str:
+    texts = ", ".join(_sql_text(v) for v in levels[1:])
+    entry = _known(f"{times}CAST(__level = CAST({_sql_name(factor)} AS STRING) AS DOUBLE)")
+    return f"transform(array({texts}), __level -> {entry})"
+
+
+def dummy_block(factor: str, levels: list[str]) -> str:
+    """Indicators of all levels but the first."""
+    return _is_level(factor, levels)
+
+
+def interaction_block(numbers: list[str], factor: str, levels: list[str]) -> str:
+    """Every number times every indicator, number by number."""
+    return f"flatten(transform({number_block(numbers)}, __number -> {_is_level(factor, levels, '__number * ')}))"
+
+
 def complete_rows(prepared: PipelineModel, df: DataFrame) -> Column:
     """True where the prepared vector has no missing entry."""
     tests = [s.complete(df) for s in prepared.stages if isinstance(s, DesignVector)]
@@ -174,30 +200,36 @@ class Recipe(Estimator):
         out = [*self.not_predictors, *([self.label] if self.label else [])]
         numeric = list(self.numeric) if self.numeric is not None else all_numeric(df, out)
         factors = list(self.factors) if self.factors is not None else all_nominal(df, out)
-        dummies = dummy_expressions(learn_levels(df, factors))
-        entries = {n: f"CAST({_sql_name(n)} AS DOUBLE)" for n in numeric} | dummies
-        if self.interact_factor:
-            own = {d: e for d, e in dummies.items() if d.startswith(f"{self.interact_factor}_")}
-            entries |= {
-                f"{n}{BETWEEN}{d}": f"CAST({_sql_name(n)} AS DOUBLE) * {e}" for n in self.interact_numeric for d, e in own.items()
-            }
-        entries = {n: e for n, e in entries.items() if n not in self.removed}
-        sources = list(dict.fromkeys([*numeric, *factors, *(self.interact_numeric if self.interact_factor else ())]))
-        return DesignVector(list(entries), list(entries.values()), sources, output)
+        levels = {f: v for f, v in learn_levels(df, factors).items() if len(v) > 1}
+        terms = [*numeric, *dummy_expressions(levels)]
+        blocks = [number_block(numeric)] if numeric else []
+        blocks += [dummy_block(f, v) for f, v in levels.items()]
+        crossed = list(self.interact_numeric) if self.interact_factor in levels else []
+        if crossed:
+            own = levels[self.interact_factor]
+            terms += interaction_expressions(crossed, list(dummy_expressions({self.interact_factor: own})))
+            blocks.append(interaction_block(crossed, self.interact_factor, own))
+        return DesignVector(terms, blocks, list(dict.fromkeys([*numeric, *factors, *crossed])), output)
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         raw, varied = f"{self.output}_raw", f"{self.output}_varied"
         design = self.design(df, raw)
-        rows = design.transform(df.filter(design.complete(df))).select(raw)
-        tail, last = [VarianceThresholdSelector(varianceThreshold=0.0, featuresCol=raw, outputCol=varied)], varied
+        terms = design.getOrDefault(design.terms)
+        kept = [i for i, t in enumerate(terms) if t not in self.removed]
+        made = [design]
+        if len(kept) < len(terms):
+            made.append(VectorSlicer(inputCol=raw, outputCol=f"{raw}_kept", indices=kept))
+        last = f"{raw}_kept" if len(made) > 1 else raw
+        rows = PipelineModel(made).transform(df.filter(design.complete(df))).select(last)
+        tail = [VarianceThresholdSelector(varianceThreshold=0.0, featuresCol=last, outputCol=varied)]
         if self.scale:
             last = f"{self.output}_scaled" if self.pca_threshold else self.output
             tail.append(StandardScaler(withMean=True, withStd=True, inputCol=varied, outputCol=last))
         if self.pca_threshold:
-            tail.append(PcaThreshold(last, self.output, self.pca_threshold))
+            tail.append(PcaThreshold(last if self.scale else varied, self.output, self.pca_threshold))
         if len(tail) == 1:
             tail[0].setOutputCol(self.output)
-        return PipelineModel([design, *_flatten(Pipeline(stages=tail).fit(rows).stages)])
+        return PipelineModel([*made, *_flatten(Pipeline(stages=tail).fit(rows).stages)])
 
 
 def _flatten(stages: list) -> list:
@@ -223,15 +255,16 @@ def feature_names(prepared: PipelineModel) -> list[str]:
             names = stage.getOrDefault(stage.terms)
         elif isinstance(stage, VarianceThresholdSelectorModel):
             names = [names[i] for i in stage.selectedFeatures]
+        elif isinstance(stage, PCAModel):
+            names = [f"PC{i + 1}" for i in range(stage.getK())]
         elif isinstance(stage, VectorSlicer):
-            names = [f"PC{i + 1}" for i in stage.getIndices()]
+            names = [names[i] for i in stage.getIndices()]
     return names
 
 
 def design_matrix(df: DataFrame, names: list[str], output: str = "features") -> DataFrame:
     """All named columns of the complete rows as one numeric vector, no intercept column."""
-    entries = [f"CAST({_sql_name(n)} AS DOUBLE)" for n in names]
-    design = DesignVector(names, entries, names, output)
+    design = DesignVector(names, [number_block(names)], names, output)
     return design.transform(df.filter(design.complete(df)))
 
 
