@@ -16,9 +16,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from umbral.learning.gram import rows_of
+from umbral.session import kept
 
 CHUNK = 4096
 SEED = 12
@@ -89,8 +89,7 @@ def dense_regressor(
 ) -> DenseModel:
     """Squared-error network with relu layers; ``history`` holds the loss before each step."""
     rows = df.select(F.col(label).cast("double").alias("y"), vector_to_array(features).alias("x"))
-    rows = rows.filter("y IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(rows.filter("y IS NOT NULL")) as rows:
         count, mean = rows.agg(F.count(F.lit(1)), F.avg("y")).first()
         if not count:
             raise ValueError("no rows to learn from")
@@ -108,8 +107,6 @@ def dense_regressor(
             history.append(float(loss))
             speed = DECAY * speed + (1 - DECAY) * gradient**2
             flat = flat - learn_rate * gradient / (np.sqrt(speed) + EPSILON)
-    finally:
-        rows.unpersist()
     return DenseModel(layers, flat, history)
 
 

@@ -12,11 +12,11 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from umbral.learning import evaluate
 from umbral.learning.models import CLASSIFICATION, event_probability
 from umbral.learning.prep import Recipe, bake, prep
+from umbral.session import kept
 
 
 @dataclass(frozen=True)
@@ -134,24 +134,19 @@ def tune_cv(
     for k in folds:
         train, held = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
         prepared = prep(recipe, train)
-        a = bake(prepared, train, [label]).persist(StorageLevel.MEMORY_AND_DISK)
-        b = bake(prepared, held, [label]).persist(StorageLevel.MEMORY_AND_DISK)
-
-        def try_one(numbered):
-            i, params = numbered
-            model = build(label=label, **params).fit(a)
-            return [
-                {"candidate": i, **params, "fold": int(k), "metric": m, "value": v if v is None else float(v)}
-                for m, v in measure(model.transform(b), label, metrics, kind).items()
-            ]
-
-        try:
+        with kept(bake(prepared, train, [label])) as a, kept(bake(prepared, held, [label])) as b:
+
+            def try_one(numbered):
+                i, params = numbered
+                model = build(label=label, **params).fit(a)
+                return [
+                    {"candidate": i, **params, "fold": int(k), "metric": m, "value": v if v is None else float(v)}
+                    for m, v in measure(model.transform(b), label, metrics, kind).items()
+                ]
+
             with ThreadPool(parallelism) as pool:
                 for found in pool.map(try_one, list(enumerate(grid))):
                     rows += found
-        finally:
-            a.unpersist()
-            b.unpersist()
     return df.sparkSession.createDataFrame(rows)
 
 
@@ -188,11 +183,8 @@ def finalize_fit(df: DataFrame, recipe: Recipe, build: Callable[..., Estimator],
     """Refit preparation and the chosen candidate on the whole training table."""
     params = {k: v for k, v in best.items() if k != "candidate"}
     prepared = prep(recipe, df)
-    rows = bake(prepared, df, [label]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(bake(prepared, df, [label])) as rows:
         model = build(label=label, **params).fit(rows)
-    finally:
-        rows.unpersist()
     return PipelineModel([*prepared.stages, model])
 
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from umbral.learning.evaluate import coefficients, roc_threshold
 from umbral.learning.gram import tune_linear_path
@@ -16,7 +15,7 @@ from umbral.learning.prep import Recipe, bake, feature_names, prep
 from umbral.learning.scoring import score_income, score_threshold
 from umbral.learning.tuning import MIXTURE, PENALTY, collect_metrics, select_best
 from umbral.operators.sampling import kfold, split_validation
-from umbral.session import cut_lineage, write_through
+from umbral.session import cut_lineage, kept, write_through
 
 
 @dataclass(frozen=True)
@@ -62,14 +61,11 @@ def _fit_linear(train: DataFrame, config: RunConfig) -> tuple[PipelineModel, Dat
     )
     folded = kfold(train, config.folds, config.id, config.seed)
     prepared = prep(recipe, folded)
-    rows = bake(prepared, folded, [config.label, "fold"]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(bake(prepared, folded, [config.label, "fold"])) as rows:
         result = tune_linear_path(rows, "features", config.label, "fold", config.penalties, config.mixtures)
         metrics = spark.createDataFrame(collect_metrics(result).collect())
         best = select_best(metrics, "rmse")
         model = linear_reg(config.label, best["penalty"], best["mixture"]).fit(rows)
-    finally:
-        rows.unpersist()
     terms = coefficients(spark, feature_names(prepared), model)
     return PipelineModel([*prepared.stages, model]), terms, metrics, best
 

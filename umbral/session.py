@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 
 def local_session(app: str = "umbral", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -52,8 +55,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, tasks: int) -> DataFrame:
+    """Deal rows out when there are fewer tasks than cores (few or unsplittable files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if tasks >= cores else df.repartition(cores)
+
+
 def write_through(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a columnar table in the shared folder: a job boundary readers can prune."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    return spread(back, back.rdd.getNumPartitions())
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Rows an iterative fit reads many times, held in memory or on disk while it runs.
+
+    Lost blocks are computed again from the plan.
+    """
+    first = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(first, first.rdd.getNumPartitions())
+    if rows is not first:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+        first.unpersist()
