@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbral.session import apply_settings
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -19,7 +21,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if fn.__name__ in QUERIES:
             raise ValueError(f"{fn.__name__} is registered twice")
-        QUERIES[fn.__name__] = fn
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(apply_settings(spark), sf_dir)
         if sql is not None:
             ORACLES[fn.__name__] = sql
         return fn

@@ -85,9 +85,8 @@ def class_metrics(df: DataFrame, label: str, probability: str, cutoff: float = 0
         specificity(event, called).alias("specificity"),
         f_measure(event, called).alias("f_meas"),
         log_loss(event, F.col(probability)).alias("log_loss"),
-    ).withColumn("__one", F.lit(1))
-    area = auc(df, label, probability).withColumn("__one", F.lit(1))
-    return shares.join(area, "__one").drop("__one")
+    )
+    return shares.withColumn("auc", auc(df, label, probability).scalar())
 
 
 def _points(df: DataFrame, label: str, score: str) -> DataFrame:
