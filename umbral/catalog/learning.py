@@ -129,6 +129,24 @@ def ols_two_predictors(spark: SparkSession, sf: str) -> DataFrame:
     return _terms(spark, ["P5130", "Npersug"], models.ols("lIngpcug").fit(df))
 
 
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS population, term, estimate FROM ({_HOMES}, t AS (SELECT * FROM homes WHERE train = 1 AND {where}) "
+        "SELECT '(Intercept)' AS term, round(regr_intercept(lIngpcug, P5130), 4) AS estimate FROM t UNION ALL "
+        "SELECT 'P5130', round(regr_slope(lIngpcug, P5130), 4) FROM t)"
+        for name, where in (("all", "TRUE"), ("without the capital", f"Dominio <> '{CAPITAL}'"))
+    )
+)
+def coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark regression on both populations."""
+    train = homes(spark, sf).filter("train = 1")
+    tables = []
+    for name, df in (("all", train), ("without the capital", exclude_domain(train, CAPITAL))):
+        fitted = models.ols("lIngpcug").fit(_vector(df, "P5130"))
+        tables.append(_terms(spark, ["P5130"], fitted).withColumn("population", F.lit(name)))
+    return tables[0].unionByName(tables[1])
+
+
 def _slope(penalty: float | str, mixture: float | str) -> str:
     """Penalised slope of one predictor from n, sx, sy and cxy, in closed form."""
     return (
@@ -307,13 +325,10 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(differ).alias("n_different"))
 
 
-_READABLE = {"P5130": "Estimación arriendo", "P5000": "Número cuartos", "Npersug": "Npersug", "P5090": "Vivienda"}
-
-
 def _importance(spark: SparkSession, sf: str) -> DataFrame:
     df = homes(spark, sf).select("id", "train", "Depto", "Pobre", *_PREDICTORS)
     model = _fitted(df, "Pobre", _forest(models.CLASSIFICATION), mtry=4, trees=10, tree_depth=5)
-    return evaluate.importance(spark, prep.feature_names(model), model.stages[-1], _READABLE)
+    return evaluate.importance(spark, prep.feature_names(model), model.stages[-1])
 
 
 @query()

@@ -13,6 +13,30 @@ from umbral.operators.windows import top_k
 
 LOG_FLOOR = 1e-15
 
+# Readable names of the strongest variables.
+READABLE = {
+    "pensionados": "Pensionados",
+    "P5130": "Estimación arriendo",
+    "prop_pet": "Propor. PET",
+    "Npersug": "Npersug",
+    "Educ_avg": "Educ_avg",
+    "tasa_ocupados": "Tasa ocupados",
+    "tamano_empresa": "Tamaño empresa",
+    "pensiones": "Pensiones",
+    "horas_trabajadas": "Horas trabajadas",
+    "prima_servicios": "Prima_servicios",
+    "edad_pet": "Edad_PET",
+    "P5140": "Valor arriendo",
+    "tasa_inactivos": "Tasa inactivos",
+    "P5090_5": "Vivienda_es",
+    "remesas_internas": "Remesas_internas",
+    "ayuda_instituciones": "Aux_instituciones",
+    "P5000": "Número cuartos",
+    "Educ_jefe": "Educ_jefe",
+    "ingresos_trabajo": "Ingresos_trabajo",
+    "Dominio_RURAL": "Dominio:RURAL",
+}
+
 
 def rmse(label: Column, prediction: Column) -> Column:
     return F.sqrt(mse(label, prediction))
@@ -173,7 +197,7 @@ def dropped_names(terms: DataFrame) -> list[str]:
     return pull_column(selected_terms(terms, kept=False), "term")
 
 
-def importance(spark, names: list[str], model, readable: dict[str, str] | None = None, k: int = 20) -> DataFrame:
+def importance(spark, names: list[str], model, readable: dict[str, str] = READABLE, k: int = 20) -> DataFrame:
     """Impurity importance of the ``k`` strongest variables, under readable names."""
     values = model.featureImportances.toArray()
     table = spark.createDataFrame(

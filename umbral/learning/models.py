@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -109,7 +109,3 @@ def predict(model: Transformer, df: DataFrame, kind: str = "numeric", name: str
     value = event_probability() if kind == "prob" else F.col("prediction")
     added = [c for c in out.columns if c not in df.columns and c != name]
     return out.withColumn(name, F.when(complete, value)).drop(*added)
-
-
-def fit(estimator: Estimator, df: DataFrame) -> Transformer:
-    return estimator.fit(df)

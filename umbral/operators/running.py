@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_RANGES = 4096
+MOST_RANGES = 20_000
 RANGE = "__range"
 
 
@@ -23,7 +23,7 @@ def place(df: DataFrame, columns: list[str], ranges: int | None = None) -> DataF
     """
     ranges = ranges or min(MOST_RANGES, max(2, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     steps = [i / ranges for i in range(1, ranges)]
-    found = df.agg(*[F.percentile_approx(F.col(c), steps, 10 * ranges).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    found = df.agg(*[F.percentile_approx(F.col(c), steps, 5 * ranges).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     ends = float("-inf"), float("inf")
     splits = [sorted({ends[0], *(x for x in (found[i] or [0.0]) if x == x), ends[1]}) for i in range(len(columns))]
     splits = [s if len(s) > 2 else [ends[0], 0.0, ends[1]] for s in splits]
