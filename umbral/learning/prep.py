@@ -42,7 +42,7 @@ def _sql_name(name: str) -> str:
 
 
 def dummy_expressions(levels: dict[str, list[str]]) -> dict[str, str]:
-    """``{factor_level: SQL}``; the first sorted level is the reference and gets no column.
+    """``{factor_level: SQL}``; the first sorted level is the base and gets no column.
 
     A level never seen in training is 0 everywhere; a missing value stays missing.
     """
