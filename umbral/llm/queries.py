@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbral.catalog.registry import query as register
+from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import with_repetition
 from umbral.llm.text import BATCH_ROWS
 from umbral.sources.views import read_table
@@ -33,3 +34,9 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query()
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces of sequences of 2,048 tokens."""
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_packing())
