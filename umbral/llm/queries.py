@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbral.catalog.registry import query as register
+from umbral.llm.decontaminate import decontaminate
 from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import with_repetition
 from umbral.llm.text import BATCH_ROWS
@@ -40,3 +41,9 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of sequences of 2,048 tokens."""
     return pack_documents(read_table(spark, sf_dir, "documents"), public_packing())
+
+
+@query()
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items."""
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
