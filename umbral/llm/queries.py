@@ -9,6 +9,7 @@ from umbral.catalog.registry import query as register
 from umbral.llm.decontaminate import decontaminate
 from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import with_repetition
+from umbral.llm.simhash import near_copies
 from umbral.llm.text import BATCH_ROWS
 from umbral.sources.views import read_table
 
@@ -47,3 +48,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of benchmark items."""
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the least document its fingerprint reaches."""
+    return near_copies(read_table(spark, sf_dir, "documents"))

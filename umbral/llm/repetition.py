@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbral.llm.text import SPACED, U64, Tokens, byte_class, mix, rolling, span_hashes, sums, tokens, within_texts
+from umbral.llm.text import SPACED, U64, Tokens, byte_class, mix, rolling, slices, span_hashes, sums, tokens, within_texts
 
 SYMBOLS = byte_class(lambda b: chr(b) in "#*$%&|<>")
 FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, line_share double, gram_shares array<double>, base_failed boolean, kept boolean"
@@ -111,9 +111,12 @@ def repetition(text: Column | str, rules: Rules = Rules()) -> Column:
 
     @F.arrow_udf(FIELDS)
     def run(texts: pa.Array) -> pa.Array:
-        found = judge(texts, rules)
-        columns = [pa.array(found[k], pa.list_(pa.float64())) if k == "gram_shares" else pa.array(found[k]) for k in found]
-        return pa.StructArray.from_arrays(columns, names=list(found))
+        parts = []
+        for low, high in slices(texts):
+            found = judge(texts[low:high], rules)
+            columns = [pa.array(found[k], pa.list_(pa.float64())) if k == "gram_shares" else pa.array(found[k]) for k in found]
+            parts.append(pa.StructArray.from_arrays(columns, names=list(found)))
+        return pa.concat_arrays(parts)
 
     # Otherwise a filter on the result would be pushed down and every text judged twice.
     return run.asNondeterministic()(text)

@@ -132,3 +132,26 @@ def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def no_nulls(texts: pa.Array) -> list[str]:
     return ["" if x is None else x for x in texts.to_pylist()]
+
+
+def slices(texts: pa.Array, most_bytes: int = 1 << 22) -> list[tuple[int, int]]:
+    """Ranges of rows with about ``most_bytes`` of text each (or one longer text), so that working arrays stay small."""
+    sizes = np.cumsum(np.diff(text_bytes(texts)[1]))
+    out, low = [], 0
+    while low < len(texts):
+        base = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, base + most_bytes, side="right")))
+        out.append((low, high))
+        low = high
+    return out
+
+
+def joined_words(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words with one space after each, and where each begins and ends there."""
+    sizes = t.end - t.start + 1
+    stop = np.cumsum(sizes)
+    begin = stop - sizes
+    source = np.arange(stop[-1] if len(stop) else 0) + np.repeat(t.start - begin, sizes)
+    out = np.r_[t.data, np.uint8(32)][np.minimum(source, len(t.data))]
+    out[stop - 1] = 32
+    return out, begin, stop - 1
