@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from umbral.catalog.registry import query as register
 from umbral.llm.decontaminate import decontaminate
+from umbral.llm.language import fit_languages, identify
 from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import with_repetition
 from umbral.llm.simhash import near_copies
@@ -54,3 +56,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the least document its fingerprint reaches."""
     return near_copies(read_table(spark, sf_dir, "documents"))
+
+
+def fold(parts: int):
+    """Remainder of the CRC-32 of the document's number as text; -1 without a number."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts, F.lit(-1))
+
+
+@query()
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(4) == 2)
+    model = fit_languages(docs.filter(~F.col("held_out")))
+    return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
