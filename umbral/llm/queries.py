@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from umbral.catalog.registry import query as register
+from umbral.llm.brown import fit_brown, score
 from umbral.llm.decontaminate import decontaminate
 from umbral.llm.language import fit_languages, identify
 from umbral.llm.packing import pack_documents, public_packing
@@ -69,3 +70,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(4) == 2)
     model = fit_languages(docs.filter(~F.col("held_out")))
     return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document by word classes, next to that by single words."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (fold(10) == 0).alias("held_out"))
+    model, rare = fit_brown(docs.filter(~F.col("held_out")))
+    return score(docs, model, rare, also=["held_out"])
