@@ -14,6 +14,7 @@ from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import with_repetition
 from umbral.llm.simhash import near_copies
 from umbral.llm.text import BATCH_ROWS
+from umbral.llm.toxicity import fit_toxicity, with_toxicity
 from umbral.sources.views import read_table
 
 
@@ -78,3 +79,11 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (fold(10) == 0).alias("held_out"))
     model, rare = fit_brown(docs.filter(~F.col("held_out")))
     return score(docs, model, rare, also=["held_out"])
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (fold(3) == 1).alias("held_out"))
+    labels = read_table(spark, sf_dir, "labels").filter(fold(3) != 1)
+    return with_toxicity(docs, fit_toxicity(docs, labels)).select("doc_id", "held_out", "score", "predicted")
