@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from umbral.catalog.registry import query as register
 from umbral.llm.brown import fit_brown, score
 from umbral.llm.decontaminate import decontaminate
+from umbral.llm.importance import resample
 from umbral.llm.language import fit_languages, identify
 from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import with_repetition
@@ -87,3 +88,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (fold(3) == 1).alias("held_out"))
     labels = read_table(spark, sf_dir, "labels").filter(fold(3) != 1)
     return with_toxicity(docs, fit_toxicity(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document and whether the sample takes it."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resample(docs, read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "log_weight", "sample_value", "kept")
