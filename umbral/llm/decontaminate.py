@@ -76,7 +76,7 @@ class BitMap:
             F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")
         )
         words = np.zeros(1 << (log_bits - 6), np.int64)
-        found = word.toPandas()
+        found = word.toArrow().to_pandas()
         words[found["at"].to_numpy()] = found["bits"].to_numpy(np.int64)
         return cls(log_bits, words.view(U64))
 

@@ -71,7 +71,7 @@ def bucket_counts(texts: DataFrame, buckets: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    found = texts.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out = np.zeros(buckets)
     out[found["at"].to_numpy(np.int64)] = found["n"].to_numpy()
     return out
@@ -161,7 +161,7 @@ def resample(
     path = scratch_path(spark, "weights")
     valued.select(F.col(key).alias("__key"), "log_weight", "sample_value").write.parquet(path)
     stored = spark.read.parquet(path)
-    seen = stored.join(sample, F.col("__key") == F.col("__labelled")).select("log_weight", "__label").toPandas()
+    seen = stored.join(sample, F.col("__key") == F.col("__labelled")).select("log_weight", "__label").toArrow().to_pandas()
     good = seen["__label"].to_numpy() == 1
     least = None
     if good.any() and not good.all():

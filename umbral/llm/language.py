@@ -144,7 +144,7 @@ def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text",
                 break
         bounds.append((g, size, least, sum(n * keys for n, keys in held)))
     bounds = rows.sparkSession.createDataFrame(bounds or [("", 0, 0, 0)], "lang string, size int, least bigint, total bigint")
-    table = both.join(F.broadcast(bounds), ["lang", "size"]).filter("n >= least").select("lang", "size", "term", "n", "total").toPandas()
+    table = both.join(F.broadcast(bounds), ["lang", "size"]).filter("n >= least").select("lang", "size", "term", "n", "total").toArrow().to_pandas()
 
     languages = sorted(counts)
     place = {g: k for k, g in enumerate(languages)}

@@ -227,7 +227,7 @@ def learn_voters(rows: DataFrame, how: ToxicityFit) -> Voters:
             .filter(F.col("odds") >= how.least_log_odds)
             .orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term")
             .limit(how.most_terms)
-            .toPandas()
+            .toArrow().to_pandas()
         )
         for kind in ("word", *how.beginnings):
             own = found[found["term"].map(lambda t, k=kind: (not t.endswith("-")) if k == "word" else t.endswith("-") and len(t) == k + 1)]
@@ -260,7 +260,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             )
 
     # One row of a few dozen numbers for each of the bounded sample's texts.
-    seen = rows.mapInArrow(run, "votes array<int>, counts array<double>, label int").toPandas()
+    seen = rows.mapInArrow(run, "votes array<int>, counts array<double>, label int").toArrow().to_pandas()
     y = seen["label"].to_numpy(np.int64) if len(seen) else np.zeros(0, np.int64)
     if not (0 < y.sum() < len(y)):
         weights = np.zeros(voters.width + 1)
