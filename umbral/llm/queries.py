@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from umbral.catalog.registry import query as register
 from umbral.llm.brown import fit_brown, score
 from umbral.llm.decontaminate import decontaminate
+from umbral.llm.html_tree import extract
 from umbral.llm.importance import resample
 from umbral.llm.language import fit_languages, identify
 from umbral.llm.packing import pack_documents, public_packing
@@ -16,6 +17,7 @@ from umbral.llm.repetition import with_repetition
 from umbral.llm.simhash import near_copies
 from umbral.llm.text import BATCH_ROWS
 from umbral.llm.toxicity import fit_toxicity, with_toxicity
+from umbral.llm.url_rules import ALLOW, BLOCK, ListedRule, judge, mine, with_listed_verdict
 from umbral.sources.views import read_table
 
 
@@ -96,3 +98,27 @@ def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = resample(docs, read_table(spark, sf_dir, "labels"))
     return found.select("doc_id", "log_weight", "sample_value", "kept")
+
+
+#: The listed rules of the URL query.
+LISTED = [
+    ListedRule("org", "/", ALLOW),
+    ListedRule("example.org", "/es/", BLOCK),
+    ListedRule("example.org", "/en/1", BLOCK),
+    ListedRule("com", "/fr/", ALLOW),
+    ListedRule("com", "/de/", BLOCK),
+]
+
+
+@query()
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page: listed rules, and rules mined from the pages these decide."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    mined = mine(with_listed_verdict(pages, LISTED), "url", "label")
+    return judge(pages, mined, LISTED).select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
+
+
+@query()
+def op1_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
