@@ -15,7 +15,7 @@ from umbral.llm.language import fit_languages, identify
 from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import with_repetition
 from umbral.llm.simhash import near_copies
-from umbral.llm.text import BATCH_ROWS
+from umbral.llm.text import small_batches
 from umbral.llm.toxicity import fit_toxicity, with_toxicity
 from umbral.llm.url_rules import ALLOW, BLOCK, ListedRule, judge, mine, with_listed_verdict
 from umbral.sources.views import read_table
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+            small_batches(spark)
             return fn(spark, sf_dir)
 
         run.__name__ = fn.__name__

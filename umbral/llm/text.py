@@ -18,6 +18,12 @@ _MASKS = np.array([0, *[(1 << (8 * k)) - 1 for k in range(1, 8)], (1 << 64) - 1]
 #: Rows of a batch that goes to Python: texts have no bound, so batches are counted in few rows.
 BATCH_ROWS = 256
 
+
+def small_batches(spark) -> None:
+    """Let tasks hand texts to Python in batches of ``BATCH_ROWS`` rows; this is a setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
