@@ -143,10 +143,8 @@ def kth_largest(df: DataFrame, value: str, k: int) -> float | None:
     return known / float(1 << 31) - float(1 << 20)
 
 
-def resample(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", how: Importance = Importance()
-) -> DataFrame:
-    """``docs`` with ``log_weight``, ``sample_value`` (weight and noise) and ``kept``; columns of those names are replaced."""
+def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, how: Importance) -> DataFrame:
+    """``docs`` with ``__weight``, ``__value`` and ``__kept``."""
     spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     sample = F.broadcast(_sample(labels, key, label, how))
@@ -156,21 +154,29 @@ def resample(
     ratio = np.log((target + how.smoothing) / (target.sum() + how.smoothing * how.buckets))
     ratio -= np.log((raw + how.smoothing) / (raw.sum() + how.smoothing * how.buckets))
 
-    weighed = docs.withColumn("log_weight", log_weight(F.col(text).cast("string"), ratio, how, spark))
-    valued = weighed.withColumn("sample_value", F.col("log_weight") + gumbel(F.col(key), how.seed))
+    weighed = docs.withColumn("__weight", log_weight(F.col(text).cast("string"), ratio, how, spark))
+    valued = weighed.withColumn("__value", F.col("__weight") + gumbel(F.col(key), how.seed))
     path = scratch_path(spark, "weights")
-    valued.select(F.col(key).alias("__key"), "log_weight", "sample_value").write.parquet(path)
+    valued.select(F.col(key).alias("__key"), "__weight", "__value").write.parquet(path)
     stored = spark.read.parquet(path)
-    seen = stored.join(sample, F.col("__key") == F.col("__labelled")).select("log_weight", "__label").toArrow().to_pandas()
+    seen = stored.join(sample, F.col("__key") == F.col("__labelled")).select("__weight", "__label").toArrow().to_pandas()
     good = seen["__label"].to_numpy() == 1
     least = None
     if good.any() and not good.all():
-        cut = _cut(seen["log_weight"].to_numpy(), good, how.loss)
-        least = kth_largest(stored, "sample_value", stored.filter(F.col("log_weight") >= cut).count())
-    kept = F.lit(True) if least is None else F.col("sample_value") >= least
-    return valued.withColumn("kept", kept)
+        cut = _cut(seen["__weight"].to_numpy(), good, how.loss)
+        least = kth_largest(stored, "__value", stored.filter(F.col("__weight") >= cut).count())
+    return valued.withColumn("__kept", F.lit(True) if least is None else F.col("__value") >= least)
+
+
+def resample(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", how: Importance = Importance()
+) -> DataFrame:
+    """``docs`` with ``log_weight``, ``sample_value`` (weight and noise) and ``kept``; columns of those names are replaced."""
+    found = _sampled(docs, labels, key, text, label, how)
+    names = {"log_weight": "__weight", "sample_value": "__value", "kept": "__kept"}
+    return found.withColumns({n: F.col(c) for n, c in names.items()}).drop(*names.values())
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", how: Importance = Importance()) -> DataFrame:
     """Rows of the sample; the columns of ``docs`` are unchanged."""
-    return resample(docs, labels, key, text, how=how).filter("kept").select(*docs.columns)
+    return _sampled(docs, labels, key, text, "quality", how).filter("__kept").select(*docs.columns)

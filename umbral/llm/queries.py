@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from umbral.catalog.registry import query as register
+from umbral.llm import oracles
 from umbral.llm.brown import fit_brown, score
 from umbral.llm.decontaminate import decontaminate
 from umbral.llm.html_tree import extract
@@ -36,7 +37,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query(oracles.REPETITION)
 def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base rules and the verdict by repetition coverage, for every document."""
     found = with_repetition(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -51,7 +52,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_packing())
 
 
-@query()
+@query(oracles.DECONTAMINATION)
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of benchmark items."""
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
