@@ -122,13 +122,16 @@ def gumbel(key: Column, seed: int) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def kth_largest(df: DataFrame, value: str, k: int) -> float | None:
-    """The k-th largest number of a column without sorting it: its bits, 12 at a time, by counting."""
+def value_step(value: Column) -> Column:
+    """Numbers in [-2^20, 2^20) as whole steps of 2^-31, which order as they do."""
+    return F.floor((value + float(1 << 20)) * float(1 << 31)).cast("bigint")
+
+
+def kth_largest(df: DataFrame, value: str, k: int) -> int | None:
+    """Step of the k-th largest number of a column, without sorting: its bits, at most 12 at a time, by counting."""
     if k <= 0:
         return None
-    # Numbers in [-2^20, 2^20) as whole steps of 2^-31, which order as they do.
-    step = F.floor((F.col(value) + float(1 << 20)) * float(1 << 31)).cast("bigint")
-    rows, known, left = df.select(step.alias("step")), 0, k
+    rows, known, left = df.select(value_step(F.col(value)).alias("step")), 0, k
     for shift in (40, 28, 16, 4, 0):
         digit = F.shiftright(F.col("step"), shift)
         counts = sorted(((r[0], r[1]) for r in rows.groupBy(digit).count().collect()), reverse=True)
@@ -140,7 +143,7 @@ def kth_largest(df: DataFrame, value: str, k: int) -> float | None:
         else:
             return None
         rows = rows.filter(digit == known)
-    return known / float(1 << 31) - float(1 << 20)
+    return known
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, how: Importance) -> DataFrame:
@@ -165,7 +168,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     if good.any() and not good.all():
         cut = _cut(seen["__weight"].to_numpy(), good, how.loss)
         least = kth_largest(stored, "__value", stored.filter(F.col("__weight") >= cut).count())
-    return valued.withColumn("__kept", F.lit(True) if least is None else F.col("__value") >= least)
+    return valued.withColumn("__kept", F.lit(True) if least is None else value_step(F.col("__value")) >= least)
 
 
 def resample(
