@@ -100,8 +100,12 @@ def test_rollup_keeps_every_code(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("a", None, 7), ("b", 62, 1)], "id string, c int, x int")
     got = sorted(((r.id, r.c, r.s) for r in rollup_distinct(df, "id", {"s": F.sum("x")}, codes=["c"]).collect()), key=str)
     assert got == sorted([("a", 1, 18), ("a", 2, 18), ("a", None, 18), ("b", 62, 1)], key=str)
-    with pytest.raises(Exception, match="code outside"):
-        rollup_distinct(spark.createDataFrame([("a", 63)], "id string, c int"), "id", {"n": F.count(F.lit(1))}, codes=["c"]).collect()
+
+
+def test_rollup_keeps_combinations_not_their_product(spark):
+    df = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("a", 1, 1), ("b", 0, None)], "id string, c int, d int")
+    got = [tuple(r) for r in rollup_distinct(df, "id", {"n": F.count(F.lit(1))}, codes=["c", "d"]).collect()]
+    assert sorted(got, key=str) == sorted([("a", 0, 0, 3), ("a", 1, 1, 3), ("b", 0, None, 1)], key=str)
 
 
 def test_final_base_roles(spark):

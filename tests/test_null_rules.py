@@ -93,3 +93,23 @@ def test_strict_and_lenient_selects(spark):
 def test_later_expression_sees_earlier(spark):
     df = spark.createDataFrame([(1,)], "a int")
     assert C.mutate(df, a=F.col("a") + 1, b=F.col("a") * 10).first().b == 20
+
+
+def test_listed_missing_stays_missing_in_maps_of_any_size(spark):
+    for size in (2, 40):
+        table = {1: None, **{k: k * 10 for k in range(2, size)}, size: 5}
+        got = spark.createDataFrame([(1,), (size,), (99,), (None,)], "c int").select(R.recode(F.col("c"), table, -1)).collect()
+        assert [r[0] for r in got] == [None, 5, -1, -1]
+
+
+def test_scores_that_are_no_numbers_are_no_calls(spark):
+    from umbral.learning import evaluate, tuning
+    from umbral.learning.models import CLASSIFICATION
+
+    rows = [(1, 0.9), (0, 0.2), (1, 0.4), (0, 0.3), (1, float("nan")), (0, float("nan")), (0, None), (None, 0.8)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    m = evaluate.class_metrics(df, "y", "s").first()
+    assert (m.recall, m.specificity, m.precision, m.auc) == (0.5, 1.0, 1.0, 1.0)
+    assert tuple(evaluate.operating_point(df, "y", "s", 0.5).first()) == (0.5, 0.5, 0.0, 1.0)
+    found = tuning.measure(df.withColumnRenamed("s", "prediction"), "y", ["roc_auc", "sens", "precision", "log_loss"], CLASSIFICATION)
+    assert found["roc_auc"] == 1.0 and found["sens"] == 0.5 and found["precision"] == 1.0 and 0 < found["log_loss"] < 1

@@ -39,6 +39,15 @@ def test_downsample_is_exact(ids, parts, monkeypatch):
     assert {r.id for r in out} == {r.id for r in K.downsample(ids, "y", "id", 3).collect()}
 
 
+def test_downsample_without_labels_and_below_one_row(spark):
+    rows = [(i, "a") for i in range(10)] + [(100 + i, "b") for i in range(15)] + [(200 + i, None) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, y string")
+    counts = {r[0]: r[1] for r in K.downsample(df, "y", "id", 3, under_ratio=1.0).groupBy("y").count().collect()}
+    assert counts == {"a": 10, "b": 10}
+    lone = spark.createDataFrame([(0, "a"), *[(i, "b") for i in range(1, 101)]], "id int, y string")
+    assert K.downsample(lone, "y", "id", 3, under_ratio=0.5).count() == 0
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals(spark, descending):
     rng = random.Random(4)

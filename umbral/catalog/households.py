@@ -91,8 +91,9 @@ def bonus_rollup(spark: SparkSession, sf: str) -> DataFrame:
     "RIGHT JOIN (SELECT id, nivel_educ FROM clean WHERE P6050 = 1) h ON r.id = h.id"
 )
 def head_education(spark: SparkSession, sf: str) -> DataFrame:
-    people, rolled = _rolled(spark, sf)
-    heads = H.head_of_household(people, ["id", "nivel_educ"]).withColumnRenamed("nivel_educ", "Educ_jefe")
+    # The person table alone holds what a head's row needs; the joined survey is read for the roll-up only.
+    people = personas(spark, sf).select("id", "P6050", H.education_level(F.col("P6210")).alias("Educ_jefe"))
+    heads, rolled = H.head_of_household(people, ["id", "Educ_jefe"]), _rolled(spark, sf)[1]
     out = H.attach_head_education(rolled.select("id", "train", "Nprimas", "Educ_avg"), heads)
     return rounded(out, "Educ_avg")
 
@@ -241,3 +242,15 @@ def kfold(spark: SparkSession, sf: str) -> DataFrame:
 )
 def downsample(spark: SparkSession, sf: str) -> DataFrame:
     return K.downsample(hogares(spark, sf).select("id", "Pobre"), "Pobre", "id", 123)
+
+
+@query(
+    HH + "SELECT id, kind FROM (SELECT id, kind, "
+    f"row_number() OVER (PARTITION BY kind ORDER BY {hash_sql('123')}, id) AS place FROM (SELECT id, CASE P5090 WHEN 1 THEN NULL WHEN 2 THEN 'a' WHEN 3 THEN 'b' ELSE 'c' END AS kind FROM hogares)) "
+    "WHERE kind IS NOT NULL AND place <= (SELECT MIN(n) FROM (SELECT COUNT(*) AS n FROM (SELECT CASE P5090 WHEN 1 THEN NULL WHEN 2 THEN 'a' WHEN 3 THEN 'b' ELSE 'c' END AS kind FROM hogares) "
+    "WHERE kind IS NOT NULL GROUP BY kind))"
+)
+def downsample_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a label neither set the limit nor stay."""
+    kind = F.when(F.col("P5090") == 2, "a").when(F.col("P5090") == 3, "b").when(F.col("P5090") > 3, "c")
+    return K.downsample(hogares(spark, sf).select("id", kind.alias("kind")), "kind", "id", 123, under_ratio=1.0)

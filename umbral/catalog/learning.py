@@ -101,7 +101,8 @@ def prep_bake(spark: SparkSession, sf: str) -> DataFrame:
 def pca_threshold(spark: SparkSession, sf: str) -> DataFrame:
     """Embedding columns reduced to the fewest components with 80 % of the variance."""
     vectors = read_table(spark, sf, "embeddings")
-    wide = vectors.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    wide = vectors.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
     prepared = prep.prep(prep.Recipe(not_predictors=("vec_id",), pca_threshold=0.8), wide)
     return prep.bake(prepared, wide, ["vec_id"]).select("vec_id", vector_to_array("features").alias("components"))
 
@@ -306,7 +307,8 @@ def dense_reg(spark: SparkSession, sf: str) -> DataFrame:
     df = homes(spark, sf).select("id", "train", "Depto", "lIngpcug", *_PREDICTORS)
     prepared = prep.prep(_recipe("lIngpcug"), df.filter("train = 1"))
     rows = prep.bake(prepared, df, ["id", "train", "lIngpcug"])
-    model = net.dense_regressor(rows.filter("train = 1"), "lIngpcug", hidden=(32, 32), epochs=20)
+    width = len(prep.feature_names(prepared))
+    model = net.fit_dense_bins(rows.filter("train = 1"), "lIngpcug", width=width, hidden=(32, 32))
     return model.transform(rows.filter("train = 0"), name="score").select("id", "score")
 
 

@@ -184,7 +184,7 @@ def casts(spark: SparkSession, sf: str) -> DataFrame:
         "id",
         R.as_factor(F.col("P5090")).alias("P5090"),
         R.as_character(F.col("id")).alias("id_text"),
-        R.as_numeric(F.substring("Dominio", 8, 10)).alias("number"),
+        R.as_numeric(F.expr("substring(Dominio, 8)")).alias("number"),
         R.as_numeric(F.col("Depto")).alias("no_number"),
     )
 

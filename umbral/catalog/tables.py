@@ -214,6 +214,14 @@ def rollup_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(W.rollup_distinct(personas(spark, sf), "id", wanted, codes=["Clase", "P6020"]), "age_mean")
 
 
+@query(
+    P + "SELECT DISTINCT id, P6020, P6090, SUM(P6040) OVER (PARTITION BY id)::BIGINT AS age_sum FROM personas"
+)
+def rollup_distinct_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Two codes that vary inside a group, one of them missing at times: a row per combination that occurs."""
+    return W.rollup_distinct(personas(spark, sf), "id", {"age_sum": F.sum("P6040")}, codes=["P6020", "P6090"])
+
+
 @query(
     H + "SELECT Dominio, round(AVG(P5130), 6) AS rent FROM hogares GROUP BY Dominio ORDER BY round(AVG(P5130), 6) DESC, Dominio LIMIT 10"
 )

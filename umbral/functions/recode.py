@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbral.functions.nulls import as_column, r_ifelse
 
-WIDEST_WHEN_CHAIN = 16
-
-
 def recode(column: Column, mapping: dict, default=None) -> Column:
-    """Code map; a code that is not listed becomes ``default``."""
+    """Code map; a code that is not listed becomes ``default``, one that is listed as missing stays missing."""
     fallback = as_column(default)
-    if len(mapping) > WIDEST_WHEN_CHAIN:
-        table = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
-        return F.coalesce(F.try_element_at(table, column), fallback)
     result = None
     for code, value in mapping.items():
         test = column == F.lit(code)

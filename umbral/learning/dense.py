@@ -1,134 +1,46 @@
-"""Dense regression network trained by data-parallel gradients.
-
-Each epoch the tasks compute the gradient over their own rows, Spark adds the parts up
-and the driver makes one RMSprop step. The sum runs over all rows, so the result does
-not depend on how they are partitioned.
-"""
+"""Dense-network regression from Spark ML's dense classifier over ranges of the outcome."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbral.learning.gram import rows_of
-from umbral.session import kept
-
-CHUNK = 4096
-SEED = 12
-DECAY, EPSILON = 0.9, 1e-7
-
-
-def _shapes(layers: list[int]) -> list[tuple[int, int]]:
-    return [(a + 1, b) for a, b in zip(layers, layers[1:])]
-
-
-def _unpack(flat: np.ndarray, layers: list[int]) -> list[np.ndarray]:
-    out, at = [], 0
-    for rows, columns in _shapes(layers):
-        out.append(flat[at : at + rows * columns].reshape(rows, columns))
-        at += rows * columns
-    return out
-
-
-def _forward(x: np.ndarray, weights: list[np.ndarray]) -> list[np.ndarray]:
-    """Inputs of every layer and the output; relu inside, linear at the end."""
-    seen = [x]
-    for i, w in enumerate(weights):
-        x = x @ w[:-1] + w[-1]
-        if i < len(weights) - 1:
-            x = np.maximum(x, 0.0)
-        seen.append(x)
-    return seen
-
-
-def _gradient(x: np.ndarray, y: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """Summed gradient and summed squared error."""
-    seen = _forward(x, weights)
-    gap = seen[-1][:, 0] - y
-    back = (2.0 * gap)[:, None]
-    parts = []
-    for i in reversed(range(len(weights))):
-        parts.append(np.vstack([seen[i].T @ back, back.sum(axis=0)]))
-        if i:
-            back = (back @ weights[i][:-1].T) * (seen[i] > 0)
-    return np.concatenate([g.ravel() for g in reversed(parts)]), float(gap @ gap)
-
-
-@dataclass(frozen=True)
-class DenseModel:
-    layers: list[int]
-    flat: np.ndarray
-    history: list[float]
-
-    def transform(self, df: DataFrame, features: str = "features", name: str = "prediction") -> DataFrame:
-        layers, flat = self.layers, self.flat
-
-        @F.pandas_udf("double")
-        def apply(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype="float64")
-            return pd.Series(_forward(np.stack(x.to_numpy()), _unpack(flat, layers))[-1][:, 0])
+SEED = 1
 
-        return df.withColumn(name, apply(vector_to_array(features)))
 
+@dataclass
+class DenseBins:
+    """The network's probabilities of the ranges, and the mean outcome of each."""
 
-def dense_regressor(
-    df: DataFrame,
-    label: str,
-    hidden: tuple[int, ...] = (150, 150),
-    epochs: int = 30,
-    learn_rate: float = 0.01,
-    features: str = "features",
-) -> DenseModel:
-    """Squared-error network with relu layers; ``history`` holds the loss before each step."""
-    rows = df.select(F.col(label).cast("double").alias("y"), vector_to_array(features).alias("x"))
-    with kept(rows.filter("y IS NOT NULL")) as rows:
-        count, mean = rows.agg(F.count(F.lit(1)), F.avg("y")).first()
-        if not count:
-            raise ValueError("no rows to learn from")
-        layers = [len(rows.first()["x"]), *hidden, 1]
-        rng = np.random.default_rng(SEED)
-        start = [rng.uniform(-1, 1, s) * np.sqrt(6.0 / (s[0] - 1 + s[1])) for s in _shapes(layers)]
-        for w in start:
-            w[-1] = 0.0
-        start[-1][-1] = mean
-        flat = np.concatenate([w.ravel() for w in start])
-        speed, history = np.zeros_like(flat), []
-        for _ in range(epochs):
-            total = _summed(rows, flat, layers)
-            gradient, loss = total[:-1] / count, total[-1] / count
-            history.append(float(loss))
-            speed = DECAY * speed + (1 - DECAY) * gradient**2
-            flat = flat - learn_rate * gradient / (np.sqrt(speed) + EPSILON)
-    return DenseModel(layers, flat, history)
+    network: object
+    means: list[float]
 
+    def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """Add the expected outcome over all ranges."""
+        found = vector_to_array("__p")
+        value = sum((found[k] * m for k, m in enumerate(self.means)), F.lit(0.0))
+        scored = self.network.transform(df)
+        return scored.withColumn(name, value).drop("__p", "__raw", "__class")
 
-def _summed(rows: DataFrame, flat: np.ndarray, layers: list[int]) -> np.ndarray:
-    """Gradient and loss over all rows, added up by Spark in pieces of ``CHUNK`` numbers."""
-    shared = rows.sparkSession.sparkContext.broadcast(flat)
 
-    def add_up(batches):
-        weights = _unpack(shared.value, layers)
-        total = np.zeros(shared.value.size + 1)
-        for batch in batches:
-            if batch.num_rows:
-                gradient, loss = _gradient(rows_of(batch, "x"), batch.column("y").to_numpy(zero_copy_only=False), weights)
-                total[:-1] += gradient
-                total[-1] += loss
-        pieces = [total[i : i + CHUNK] for i in range(0, total.size, CHUNK)]
-        yield pa.RecordBatch.from_pydict(
-            {"piece": pa.array(range(len(pieces)), pa.int32()), "part": pa.array(pieces, pa.list_(pa.float64()))}
-        )
+def fit_dense_bins(
+    df: DataFrame, label: str, width: int, hidden: tuple[int, ...] = (150, 150), ranges: int = 10, epochs: int = 30, features: str = "features"
+) -> DenseBins:
+    """Cut the outcome into ``ranges`` of equal size and let a dense network tell them apart.
 
-    parts = rows.mapInArrow(add_up, "piece int, part array<double>")
-    summed = parts.groupBy("piece").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
-    found = sorted(summed.collect(), key=lambda r: r.piece)
-    shared.unpersist()
-    return np.concatenate([r.part for r in found])
+    Spark ML has no dense regressor; the expected mean of the ranges is a number again.
+    """
+    known = df.filter(F.col(label).isNotNull())
+    binned = QuantileDiscretizer(numBuckets=ranges, inputCol=label, outputCol="__bin").fit(known).transform(known)
+    means = {int(r[0]): float(r[1]) for r in binned.groupBy("__bin").agg(F.avg(label)).collect()}
+    last = max(means)
+    network = MultilayerPerceptronClassifier(
+        featuresCol=features, labelCol="__bin", layers=[width, *hidden, last + 1], maxIter=epochs, seed=SEED,
+        probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__class",
+    )
+    return DenseBins(network.fit(binned), [means.get(k, 0.0) for k in range(last + 1)])

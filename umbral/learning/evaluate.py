@@ -99,8 +99,14 @@ def f1(df: DataFrame, label: str, prediction: str, event=1) -> DataFrame:
     return df.agg(f_measure(F.col(label) == event, F.col(prediction) == event).alias("f_meas"))
 
 
+def scored(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Rows with a label and a score; a score that is not a number counts as missing (it would compare above every cut-off)."""
+    return df.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 def class_metrics(df: DataFrame, label: str, probability: str, cutoff: float = 0.5) -> DataFrame:
-    """One row: accuracy, precision, recall, specificity, F, log loss and AUC."""
+    """One row: accuracy, precision, recall, specificity, F, log loss and AUC, all over rows with a label and a score."""
+    df = scored(df, label, probability)
     event, called = F.col(label) == 1, F.col(probability) >= cutoff
     shares = df.agg(
         accuracy(event, called).alias("accuracy"),
@@ -118,8 +124,7 @@ def _points(df: DataFrame, label: str, score: str) -> DataFrame:
 
     Counting per score is the only shuffle of the whole table; it combines map-side.
     """
-    known = df.select(F.col(score).cast("double").alias("score"), F.col(label).alias("label"))
-    known = known.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("label").isNotNull())
+    known = scored(df, label, score).select(F.col(score).cast("double").alias("score"), F.col(label).alias("label"))
     at = f"{RANGE}_score"
     counts = place(known, ["score"]).groupBy("score", at).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
@@ -158,7 +163,8 @@ def roc_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def operating_point(df: DataFrame, label: str, score: str, cutoffs: float | list[float]) -> DataFrame:
-    """True and false positive and true negative rate per cut-off; all cut-offs in one pass."""
+    """True and false positive and true negative rate per cut-off; all cut-offs in one pass over rows with a label and a score."""
+    df = scored(df, label, score)
     cutoffs = cutoffs if isinstance(cutoffs, list) else [cutoffs]
     event = F.col(label) == 1
     parts = []

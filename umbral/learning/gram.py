@@ -25,6 +25,10 @@ MOST_FEATURES = 4000
 TOLERANCE = 1e-9
 RIDGE = 1e-12
 SWEEPS = 5000
+#: Folds, and numbers of all folds' matrices, that may travel to the driver.
+MOST_FOLDS = 100
+MOST_NUMBERS = 100_000_000
+ADDING_GROUPS = 32
 
 
 def rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -47,8 +51,9 @@ def fold_sums(df: DataFrame, features: str, label: str, fold: str) -> dict[int,
         F.col(label).cast("double").alias("y"),
         vector_to_array(features).alias("x"),
     ).filter("fold IS NOT NULL AND y IS NOT NULL")
-    # Fewer partial matrices to shuffle: a few tasks per core, not one per file split.
-    rows = rows.coalesce(4 * spark.sparkContext.defaultParallelism)
+    folds = rows.select("fold").distinct().limit(MOST_FOLDS + 1).count()
+    if folds > MOST_FOLDS or folds * (width + 2) ** 2 > MOST_NUMBERS:
+        raise ValueError(f"{folds} folds of {width} features: more than {MOST_FOLDS} folds or {MOST_NUMBERS} sums")
 
     def add_up(batches):
         sums: dict[int, np.ndarray] = {}
@@ -70,8 +75,11 @@ def fold_sums(df: DataFrame, features: str, label: str, fold: str) -> dict[int,
                 }
             )
 
-    parts = rows.mapInArrow(add_up, "fold int, i int, line array<double>")
-    summed = parts.groupBy("fold", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("line"))).alias("line"))
+    # Each split gives one matrix; they are added up in groups first, so no task adds those of all splits.
+    parts = rows.mapInArrow(add_up, "fold int, i int, line array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(ADDING_GROUPS)))
+    groups = parts.groupBy("fold", "i", "part").agg(Summarizer.sum(array_to_vector("line")).alias("vector"))
+    summed = groups.select("fold", "i", vector_to_array("vector").alias("line"))
+    summed = summed.groupBy("fold", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("line"))).alias("line"))
     out: dict[int, np.ndarray] = {}
     for r in summed.toPandas().itertuples(index=False):
         out.setdefault(int(r.fold), np.zeros((width + 2, width + 2)))[int(r.i)] = r.line
@@ -162,7 +170,9 @@ def _active_set(s: Standardised, b: np.ndarray, l1: float, l2: float) -> np.ndar
         pull[(signs != 0) | refused] = 0.0
         j = int(np.argmax(pull)) if len(pull) else 0
         if not len(pull) or pull[j] <= l1 + slack:
-            return b
+            # Columns that were refused once must hold the condition as well; else coordinate descent goes on from here.
+            left_out = np.abs(s.cross - s.gram @ b)[refused & (signs == 0)]
+            return b if not len(left_out) or left_out.max() <= l1 + slack else None
         signs[j] = np.sign(s.cross[j] - s.gram[j] @ b)
     return None
 
@@ -180,8 +190,8 @@ def _coordinates(s: Standardised, b: np.ndarray, l1: float, l2: float) -> np.nda
                 b[j] += step
                 moved = max(moved, abs(step))
         if moved <= slack:
-            break
-    return b
+            return b
+    raise RuntimeError(f"no solution after {SWEEPS} sweeps: columns may be nearly the same")
 
 
 def held_out_rmse(m: np.ndarray, beta: np.ndarray) -> float:

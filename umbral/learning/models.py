@@ -60,31 +60,31 @@ def logit_l1(label: str, penalty: float, **more) -> LogisticRegression:
     return logit(label, penalty, 1.0, **more)
 
 
-def decision_tree(label: str, cost: float = 0.0, tree_depth: int = 10, min_n: int = 20, features: str = "features", **more):
+def decision_tree(label: str, cost: float = 0.0, tree_depth: int = 10, min_n: int = 20, features: str = "features", max_bins: int = MOST_BINS, **more):
     """One regression tree; ``cost`` is the least gain a split must bring."""
     return DecisionTreeRegressor(
         featuresCol=features, labelCol=label, minInfoGain=float(cost), maxDepth=tree_depth,
-        minInstancesPerNode=min_n, maxBins=MOST_BINS, seed=SEED, **more,
+        minInstancesPerNode=min_n, maxBins=max_bins, seed=SEED, **more,
     )
 
 
 def rand_forest(mode: str, label: str, mtry: int | str = "auto", min_n: int = 5, trees: int = 250,
-                tree_depth: int = 10, features: str = "features", **more):
+                tree_depth: int = 10, features: str = "features", max_bins: int = MOST_BINS, **more):
     """Random forest; ``mtry`` columns are tried at each split."""
     kind = RandomForestClassifier if mode == CLASSIFICATION else RandomForestRegressor
     return kind(
         featuresCol=features, labelCol=label, featureSubsetStrategy=str(mtry), minInstancesPerNode=min_n,
-        numTrees=trees, maxDepth=tree_depth, maxBins=MOST_BINS, seed=SEED, **more,
+        numTrees=trees, maxDepth=tree_depth, maxBins=max_bins, seed=SEED, **more,
     )
 
 
 def boost_tree(mode: str, label: str, tree_depth: int = 5, trees: int = 100, mtry: int | str = "all",
-               learn_rate: float = 0.1, features: str = "features", **more):
+               learn_rate: float = 0.1, features: str = "features", max_bins: int = MOST_BINS, **more):
     """Gradient boosted trees."""
     kind = GBTClassifier if mode == CLASSIFICATION else GBTRegressor
     return kind(
         featuresCol=features, labelCol=label, maxDepth=tree_depth, maxIter=trees, stepSize=learn_rate,
-        featureSubsetStrategy=str(mtry), maxBins=MOST_BINS, seed=SEED, **more,
+        featureSubsetStrategy=str(mtry), maxBins=max_bins, seed=SEED, **more,
     )
 
 

@@ -89,6 +89,9 @@ def learn_scale(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float
 
 def normalize(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
     """Centre and scale by learned values, whatever table they are applied to."""
+    flat = [n for n, (_, s) in scale.items() if not s]
+    if flat:
+        raise ValueError(f"columns without spread cannot be scaled, drop them first: {flat}")
     return df.withColumns({n: (quoted(n) - F.lit(m)) / F.lit(s) for n, (m, s) in scale.items()})
 
 

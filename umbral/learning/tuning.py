@@ -9,7 +9,6 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,28 +81,35 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "accuracy": evaluate.accuracy,
     "sens": evaluate.recall,
     "spec": evaluate.specificity,
+    "precision": evaluate.precision,
+    "log_loss": evaluate.log_loss,
 }
 REGRESSION_METRICS = {"rmse", "mae", "mse"}
+LESS_IS_BETTER = {*REGRESSION_METRICS, "log_loss"}
 AREA = "roc_auc"
+#: Folds whose numbers may travel to the driver.
+MOST_FOLDS = 1000
 
 
 def measure(predicted: DataFrame, label: str, metrics: list[str], kind: str) -> dict[str, float]:
-    """Metrics of a table with Spark ML's prediction columns; all but the area from one pass."""
+    """Metrics of a table with Spark ML's prediction columns; all but the area from one pass.
+
+    Class metrics cover the rows whose score is a number, the area too, which is exact.
+    """
     out = {}
     plain = [m for m in metrics if m != AREA]
+    if kind == CLASSIFICATION:
+        value = event_probability() if "probability" in predicted.columns else F.col("prediction")
+        predicted = evaluate.scored(predicted.select(F.col(label), value.alias("__score")), label, "__score")
+        truth, score = F.col(label) == 1, F.col("__score")
+        found = {m: METRICS[m](truth, score if m == "log_loss" else score >= 0.5) for m in plain}
+    else:
+        found = {m: METRICS[m](F.col(label), F.col("prediction")) for m in plain}
     if plain:
-        if kind == CLASSIFICATION:
-            score = event_probability() if "probability" in predicted.columns else F.col("prediction")
-            truth, guess = F.col(label) == 1, score >= 0.5
-        else:
-            truth, guess = F.col(label), F.col("prediction")
-        row = predicted.agg(*[METRICS[m](truth, guess).alias(m) for m in plain]).first()
+        row = predicted.agg(*[c.alias(m) for m, c in found.items()]).first()
         out = {m: row[m] for m in plain}
     if AREA in metrics:
-        raw = "rawPrediction" if "rawPrediction" in predicted.columns else "prediction"
-        out[AREA] = BinaryClassificationEvaluator(
-            labelCol=label, rawPredictionCol=raw, metricName="areaUnderROC", numBins=1000
-        ).evaluate(predicted)
+        out[AREA] = evaluate.auc(predicted, label, "__score").first()[0]
     return out
 
 
@@ -127,8 +133,8 @@ def tune_cv(
     wrong = [m for m in metrics if (m in REGRESSION_METRICS) == (kind == CLASSIFICATION)]
     if unknown or wrong:
         raise ValueError(f"metrics {unknown or wrong} do not fit {kind}")
-    folds = sorted(r[0] for r in df.select(fold).distinct().limit(1001).collect())
-    if not 2 <= len(folds) <= 1000:
+    folds = sorted(r[0] for r in df.select(fold).distinct().limit(MOST_FOLDS + 1).collect())
+    if not 2 <= len(folds) <= MOST_FOLDS:
         raise ValueError(f"{len(folds)} folds")
     rows = []
     for k in folds:
@@ -166,7 +172,7 @@ def collect_metrics(result: DataFrame) -> DataFrame:
 
 
 def best_first(metrics: DataFrame, metric: str) -> DataFrame:
-    up = metric in REGRESSION_METRICS
+    up = metric in LESS_IS_BETTER
     order = F.col("mean").asc_nulls_last() if up else F.col("mean").desc_nulls_last()
     return metrics.filter(F.col("metric") == metric).orderBy(order, "candidate")
 

@@ -12,6 +12,8 @@ RESOLUTION = 10_000
 HASH_DIGITS = 7
 TRIM_ROWS = 100_000
 MOST_TRIM_BITS = 20
+#: Classes whose limits may travel to the driver.
+MOST_CLASSES = 1000
 
 
 def key_hash(key: str, seed: str | int) -> Column:
@@ -50,30 +52,37 @@ def kfold(df: DataFrame, folds: int, key: str, seed: str | int, name: str = "fol
 def downsample(df: DataFrame, label: str, key: str, seed: str | int, under_ratio: float = 1.5) -> DataFrame:
     """Cut every class to at most ``under_ratio`` × the smallest class, exactly, by key hash.
 
-    A row number over a whole class would sort it in one task. A histogram of hash
-    ranges finds the range in which the limit falls; all rows below it are kept and
-    only that range (about ``TRIM_ROWS`` rows) is ordered. ``key`` must identify rows.
+    A histogram of hash ranges finds the range in which a class's limit falls, and only that range (about
+    ``TRIM_ROWS`` rows) is ordered, to find the last row that stays. The result is then a filter on ``df``. ``key`` must
+    identify rows. Rows without a label belong to no class and are left out; a limit below one row leaves no row.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().limit(1001).collect()}
-    if len(counts) > 1000:
-        raise ValueError(f"{label} has more than 1000 classes")
+    known = df.filter(F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy(label).count().limit(MOST_CLASSES + 1).collect()}
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} classes")
     limit = int(under_ratio * min(counts.values(), default=0))
     large = [c for c, n in counts.items() if n > limit]
-    if not large:
-        return df
+    if not large or limit < 1:
+        return known if not large else known.limit(0)
     bits = min(MOST_TRIM_BITS, (max(counts.values()) // TRIM_ROWS).bit_length())
     width = 16**HASH_DIGITS >> bits
-    marked = df.withColumn("__hash", key_hash(key, seed)).withColumn("__range", F.floor(F.col("__hash") / width))
-    histogram = marked.filter(F.col(label).isin(large)).groupBy(label, "__range").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(label).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    marked = known.filter(F.col(label).isin(large)).select(
+        F.col(label).alias("__label"), F.col(key).alias("__key"), key_hash(key, seed).alias("__hash")
+    )
+    marked = marked.withColumn("__range", F.floor(F.col("__hash") / width))
+    upto = Window.partitionBy("__label").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
     edge = (
-        histogram.withColumn("upto", F.sum("n").over(upto))
+        marked.groupBy("__label", "__range")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(upto))
         .filter((F.col("upto") >= limit) & (F.col("upto") - F.col("n") < limit))
-        .select(F.col(label).alias("__label"), F.col("__range").alias("__edge"), (limit - F.col("upto") + F.col("n")).alias("__room"))
+        .select("__label", "__range", (limit - F.col("upto") + F.col("n")).alias("__room"))
     )
-    joined = marked.join(F.broadcast(edge), F.col(label) == F.col("__label"), "left")
-    whole = joined.filter(F.col("__edge").isNull() | (F.col("__range") < F.col("__edge")))
-    cut = joined.filter(F.col("__range") == F.col("__edge"))
-    order = Window.partitionBy(label).orderBy("__hash", key)
-    trimmed = cut.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= F.col("__room"))
-    return whole.select(*df.columns).unionByName(trimmed.select(*df.columns))
+    order = Window.partitionBy("__label").orderBy("__hash", "__key")
+    at_edge = marked.join(F.broadcast(edge), ["__label", "__range"]).withColumn("__place", F.row_number().over(order))
+    last = at_edge.filter(F.col("__place") == F.col("__room")).select("__label", "__hash", "__key").collect()
+    stays = ~F.col(label).isin(large)
+    place = F.struct(key_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    for c, h, k in last:
+        stays = stays | ((F.col(label) == F.lit(c)) & (place <= F.struct(F.lit(h).cast("bigint").alias("h"), F.lit(k).cast(df.schema[key].dataType).alias("k"))))
+    return known.filter(stays)

@@ -55,15 +55,15 @@ def explode_codes(df: DataFrame, bits: str, name: str) -> DataFrame:
 def rollup_distinct(df: DataFrame, key: str, aggregates: dict[str, Column], codes: list[str] = ()) -> DataFrame:
     """Group aggregates, projected with the ``codes`` columns and made unique, in one shuffle.
 
-    Equal to ``group_mutate`` + select + distinct: a group with two different codes gives two rows.
+    Equal to ``group_mutate`` + select + distinct: a group gives one row per combination of codes its rows hold, missing
+    ones included. A group's set is bounded by the number of combinations, so codes must be few.
     """
-    out = df.groupBy(key).agg(
-        *[code_set(quoted(c)).alias(f"__bits_{i}") for i, c in enumerate(codes)],
-        *[a.alias(n) for n, a in aggregates.items()],
-    )
-    for i, c in enumerate(codes):
-        out = explode_codes(out, f"__bits_{i}", c)
-    return out.select(key, *[quoted(c) for c in codes], *aggregates)
+    if not codes:
+        return df.groupBy(key).agg(*[a.alias(n) for n, a in aggregates.items()])
+    names = [f"c{i}" for i in range(len(codes))]
+    held = F.collect_set(F.struct(*[quoted(c).alias(n) for c, n in zip(codes, names)])).alias("__held")
+    out = df.groupBy(key).agg(held, *[a.alias(n) for n, a in aggregates.items()]).withColumn("__codes", F.explode("__held"))
+    return out.select(key, *[F.col("__codes")[n].alias(c) for c, n in zip(codes, names)], *aggregates)
 
 
 def top_k(df: DataFrame, column: str, k: int, ties: list[str] = ()) -> DataFrame:
