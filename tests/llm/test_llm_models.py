@@ -50,27 +50,40 @@ def test_base_score_with_and_without_joined_counts(llm, odd, words):
 
 
 def test_scores_are_probabilities(llm):
-    """Over all words and the unseen ones, what may follow a given word sums to one."""
+    """Over all words and the unseen ones, what may follow any class sums to one; scores are products of these."""
     train = llm.createDataFrame([("a b a c",), ("b a d e",), ("a a b",)], "text string")
     how = Brown(clustered=3, classes=2, endings=4, rounds=2)
     model, rare = fit_brown(train, how=how)
-    counts = Counter("a b a c b a d e a a b".split())
-    end = how.all_classes - 1
-    total = np.zeros(how.all_classes)
-    place = dict(zip(model.frequent.words.tolist(), model.frequent.symbols.tolist(), strict=True))
-    assert len(place) == len(counts) and rare.count() == 0
-    for h, symbol in place.items():
-        c = model.frequent.counts[model.frequent.words.tolist().index(h)]
+    one = {w: llm.createDataFrame([(1, w)], "doc_id int, text string") for w in ["a", "b", "c", "d", "e", "zzz", ""]}
+    assert rare.count() == 0 and score(one["d"], model, rare).first().n_known == 2
+    f, end = 10**model.factor, how.all_classes - 1
+    total = f[:, end] * model.texts
+    for count, symbol, word in zip(model.frequent.counts, model.frequent.symbols, model.frequent.words, strict=True):
+        assert symbol < 0 or count > 0
         if symbol >= 0:
-            total += (c + how.add) * 10 ** model.factor[:, model.classes[symbol]]
-    # Words outside the clusters share their endings' classes with one unseen word each.
-    for w in ("c", "d", "e"):
-        one = llm.createDataFrame([(1, w)], "doc_id int, text string")
-        assert score(one, model, rare).first().n_known == 2
-    tails = [(h, c) for h, c, s in zip(model.frequent.words, model.frequent.counts, model.frequent.symbols, strict=True) if s < 0]
-    share = sum(c for _, c in tails) + how.add * (len(tails) + how.endings)
-    best = total + 10 ** model.factor[:, end] * (model.texts + how.add)
-    assert (best < 1).all() and (best + share * 10 ** model.factor[:, how.classes : end].max(axis=1) > 1 - 1e-9).all()
+            total += count * f[:, model.classes[symbol]]
+    for e in range(how.endings):
+        total += model.unseen[e] * f[:, how.classes + e]
+    tails = 0.0
+    for w in ("a", "b", "c", "d", "e"):
+        found = score(one[w], model, rare).first().score
+        if 10**found < 1:
+            tails += 1
+    seen = [c for c, s in zip(model.frequent.counts, model.frequent.symbols, strict=True) if s < 0]
+    by_ending = {}
+    for w in ("c", "d", "e", "b", "a"):
+        from umbral.llm.brown import endings
+        from umbral.llm.text import SPACED as BYTES
+        from umbral.llm.text import tokens
+
+        t = tokens(__import__("pyarrow").array([w]), BYTES, lower=True)
+        place = {int(h): s for h, s in zip(model.frequent.words, model.frequent.symbols, strict=True)}
+        if place[int(t.hashes().view(np.int64)[0])] < 0:
+            by_ending.setdefault(int(endings(t, how)[0]), []).append(1 - how.discount)
+    assert len(seen) == 2 and tails == 5
+    for e, values in by_ending.items():
+        total += sum(values) * f[:, how.classes + e]
+    assert np.allclose(total, 1)
 
 
 def test_exchange_raises_the_likelihood(llm):
