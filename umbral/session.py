@@ -58,9 +58,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it is deleted when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        folder = f"{shared_folder(spark).rstrip('/')}/scratch-{app}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _SCRATCH[app] = folder
+    return _SCRATCH[app]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path nobody has used yet below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path nobody has used yet in the application's scratch folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -93,8 +109,10 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
     """
     first = df.persist(StorageLevel.MEMORY_AND_DISK)
     rows = spread(first, first.rdd.getNumPartitions())
-    if rows is not first:
+    if rows is not first:  # one copy is enough
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows.count()
+        first.unpersist()
     try:
         yield rows
     finally:
