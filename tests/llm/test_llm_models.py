@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import LOWER, ODD_TEXTS, SPACED
+from odd_tables import LOWER, ODD_TEXTS, SPACED
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F

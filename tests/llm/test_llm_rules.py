@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from conftest import LOWER, ODD_TEXTS, SPACED
+from odd_tables import LOWER, ODD_TEXTS, SPACED
 
 from umbral.llm import simhash
 from umbral.llm.decontaminate import Containment, decontaminate, without_contaminated
