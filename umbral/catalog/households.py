@@ -24,11 +24,19 @@ _SURVEY = (
     "survey AS (SELECT p.*, h.P5090, h.Nper, h.Npersug, h.Clase AS Clase_y, h.Dominio, CASE WHEN p.train = 1 THEN h.Ingpcug END AS Ingpcug, "
     "CASE WHEN p.train = 1 THEN h.Pobre END AS Pobre FROM personas p LEFT JOIN hogares h ON p.id = h.id)"
 )
+# Written out for the checking engine, not taken from the plan under test.
+_AMOUNT = {"P6545": "P6545s1", "P6580": "P6580s1", "P6585s1": "P6585s1a1", "P6585s2": "P6585s2a1", "P6585s3": "P6585s3a1", "P6585s4": "P6585s4a1"}
+_COUNT = {"P6545": "Nprimas", "P6580": "Nbonos", "P6585s1": "NauxAli", "P6585s2": "NauxTra", "P6585s3": "NauxFam", "P6585s4": "NauxEdu"}
+_TENURE = (
+    "WHEN 1 THEN 'Propia, pagada' WHEN 2 THEN 'Propia, pagando' WHEN 3 THEN 'Arriendo/subarriendo' WHEN 4 THEN 'Usufructo' "
+    "WHEN 5 THEN 'Posesión sin título' WHEN 6 THEN 'Otra'"
+)
+_SCHOOLING = "WHEN 1 THEN 'Ninguno' WHEN 2 THEN 'Preescolar' WHEN 3 THEN 'Primaria' WHEN 4 THEN 'Secundaria' WHEN 5 THEN 'Media' WHEN 6 THEN 'Superior'"
 _BONUS = ["P6545", "P6580", "P6585s1", "P6585s2", "P6585s3", "P6585s4"]
 
 
 def _stated(flag: str) -> str:
-    amount = H.BONUS_AMOUNTS[flag]
+    amount = _AMOUNT[flag]
     return f"CASE WHEN train = 0 THEN {flag} WHEN {amount} IS NULL THEN NULL WHEN {amount} = 0 THEN 2 ELSE {flag} END"
 
 
@@ -39,9 +47,9 @@ _CLEAN = (
 )
 _ROLLED = (
     "rolled AS (SELECT id, train, CASE WHEN Clase = 2 THEN 0 ELSE Clase END AS Cabecera, "
-    + ", ".join(f"COALESCE(SUM({f}), 0)::BIGINT AS {o}" for f, o in H.BONUS_COUNTS.items())
+    + ", ".join(f"COALESCE(SUM({f}), 0)::BIGINT AS {o}" for f, o in _COUNT.items())
     + ", "
-    + ", ".join(f"round(COALESCE(SUM({f}), 0)::DOUBLE / MAX(Npersug), 6) AS {o}PP" for f, o in H.BONUS_COUNTS.items())
+    + ", ".join(f"round(COALESCE(SUM({f}), 0)::DOUBLE / MAX(Npersug), 6) AS {o}PP" for f, o in _COUNT.items())
     + ", round(SUM(nivel_educ)::DOUBLE / MAX(Npersug), 6) AS Educ_avg FROM clean GROUP BY id, train, Clase)"
 )
 
@@ -56,11 +64,11 @@ def build_survey(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"{PH}, {_SURVEY} SELECT id, Orden, CASE P5090 "
-    + " ".join(f"WHEN {k} THEN '{v}'" for k, v in H.TENURE.items())
+    + _TENURE
     + " END AS vivienda, CASE P6090 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS tiene_salud, "
     "CASE WHEN P6920 IS NULL THEN NULL WHEN P6920 = 3 THEN 1 ELSE 0 END AS pensionado, CASE P6920 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS cotiza_pension, "
     "CASE WHEN P6210 = 9 THEN 1 ELSE P6210 END AS nivel_educ, CASE CASE WHEN P6210 = 9 THEN 1 ELSE P6210 END "
-    + " ".join(f"WHEN {k} THEN '{v}'" for k, v in H.EDUCATION.items())
+    + _SCHOOLING
     + " END AS nivel_educ_nombre FROM survey"
 )
 def person_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +86,7 @@ def _rolled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return people, H.job_bonus_rollup(people)
 
 
-_RATES = [f"{o}PP" for o in H.BONUS_COUNTS.values()]
+_RATES = [f"{o}PP" for o in _COUNT.values()]
 
 
 @query(f"{PH}, {_SURVEY}, {_CLEAN}, {_ROLLED} SELECT * FROM rolled")
@@ -108,7 +116,9 @@ def service_workers(spark: SparkSession, sf: str) -> DataFrame:
     return H.service_workers(personas(spark, sf))
 
 
-_ANSWERS = [*H.OTHER_INCOME, *H.ACTIVITY]
+_ANSWERS = [
+    "P7495", "P7500s2", "P7500s3", "P7505", "P7510s1", "P7510s2", "P7510s3", "P7510s5", "P7510s6", "P7510s7", "Pet", "Oc", "Des", "Ina",
+]
 _CODED = (
     "coded AS (SELECT id, Orden, Clase, P6040, P6050, "
     + ", ".join(f"CASE WHEN {c} IN (2, 9) THEN 0 ELSE {c} END AS {c}" for c in _ANSWERS)

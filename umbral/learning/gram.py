@@ -78,8 +78,8 @@ def fold_sums(df: DataFrame, features: str, label: str, fold: str) -> dict[int,
     # Each split gives one matrix; they are added up in groups first, so no task adds those of all splits.
     parts = rows.mapInArrow(add_up, "fold int, i int, line array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(ADDING_GROUPS)))
     groups = parts.groupBy("fold", "i", "part").agg(Summarizer.sum(array_to_vector("line")).alias("vector"))
-    summed = groups.select("fold", "i", vector_to_array("vector").alias("line"))
-    summed = summed.groupBy("fold", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("line"))).alias("line"))
+    lines = groups.select("fold", "i", vector_to_array("vector").alias("line"))
+    summed = lines.groupBy("fold", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("line"))).alias("line"))
     out: dict[int, np.ndarray] = {}
     for r in summed.toPandas().itertuples(index=False):
         out.setdefault(int(r.fold), np.zeros((width + 2, width + 2)))[int(r.i)] = r.line
