@@ -39,7 +39,6 @@ def rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 def fold_sums(df: DataFrame, features: str, label: str, fold: str) -> dict[int, np.ndarray]:
     """ZᵀZ of Z = [1, X, y] for each fold; the driver receives folds × (p + 2)² numbers."""
-    spark = df.sparkSession
     first = df.select(features).first()
     if first is None:
         raise ValueError("no rows to learn from")
@@ -51,9 +50,7 @@ def fold_sums(df: DataFrame, features: str, label: str, fold: str) -> dict[int,
         F.col(label).cast("double").alias("y"),
         vector_to_array(features).alias("x"),
     ).filter("fold IS NOT NULL AND y IS NOT NULL")
-    folds = rows.select("fold").distinct().limit(MOST_FOLDS + 1).count()
-    if folds > MOST_FOLDS or folds * (width + 2) ** 2 > MOST_NUMBERS:
-        raise ValueError(f"{folds} folds of {width} features: more than {MOST_FOLDS} folds or {MOST_NUMBERS} sums")
+    most = min(MOST_FOLDS, MOST_NUMBERS // (width + 2) ** 2)
 
     def add_up(batches):
         sums: dict[int, np.ndarray] = {}
@@ -65,6 +62,8 @@ def fold_sums(df: DataFrame, features: str, label: str, fold: str) -> dict[int,
             for k in np.unique(folds):
                 part = z[folds == k]
                 sums[int(k)] = sums.get(int(k), 0.0) + part.T @ part
+            if len(sums) > most:
+                raise ValueError(f"{len(sums)} folds of {width} features; at most {most} can be kept")
         for k, m in sums.items():
             size = m.shape[0]
             yield pa.RecordBatch.from_pydict(
