@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from umbral.llm.alike import one_of_each
 from umbral.llm.decontaminate import without_contaminated
 from umbral.llm.importance import keep_sampled
 from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import keep_unrepeated
-from umbral.llm.simhash import first_of_each
 from umbral.llm.text import small_batches
 from umbral.session import scratch_path
 from umbral.sources.views import read_table
@@ -35,9 +35,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least number of every group of near copies."""
+    """The document with the least number of every group of near copies, by fingerprints or by five-word shingles."""
     small_batches(spark)
-    return first_of_each(docs)
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from umbral.session import scratch_path
 
 U64 = np.uint64
 _MULTIPLIER, _FINISH, _STEP = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -24,6 +28,13 @@ def small_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written once with a number ``__row`` for every row, which does not change when a task runs again."""
+    path = scratch_path(df.sparkSession, "numbered")
+    df.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
