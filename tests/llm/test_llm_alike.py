@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from umbral.llm.alike import Alike, one_of_each
+from umbral.llm.decontaminate import without_contaminated
 from umbral.llm.simhash import near_copies
 
 
@@ -45,3 +46,18 @@ def test_near_copies_stage_finds_five_word_copies(llm):
     assert len(want) < len(texts) - 80
     assert {r.doc_id for r in corpus_pipeline.near_copies(llm, df, "").collect()} == want
     assert {r.doc_id for r in one_of_each(df, how=Alike(slots=2)).collect()} == want
+
+
+def test_rows_are_decided_by_row_and_not_by_key(llm):
+    item = "the quick brown fox jumps over the lazy dog while seven silent owls watch"
+    rows = [(None, f"before {item} after"), (None, "a clean text without a number"), (7, f"{item} again"), (7, "a clean text under the same number"), (8, item)]
+    bench = llm.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = llm.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.text for r in without_contaminated(docs, bench).collect()} == {rows[1][1], rows[3][1]}
+
+
+def test_one_row_of_each_group_stays_whatever_the_keys(llm):
+    rows = [(1, "same text here"), (1, "another text altogether"), (2, "another text altogether"), (3, "twice the same row"), (3, "twice the same row")]
+    rows += [(None, "no number at all"), (None, "no number at all"), (None, "same text here"), (1, "")]
+    kept = corpus_pipeline.near_copies(llm, llm.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, "same text here"), (1, "another text altogether"), (3, "twice the same row"), (0, "no number at all"), (1, "")])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from umbral.llm.text import ALPHANUMERIC, U64, Tokens, rolling, tokens, within_texts
+from umbral.llm.text import ALPHANUMERIC, U64, Tokens, numbered, rolling, tokens, within_texts
 from umbral.session import scratch_path
 
 
@@ -238,7 +238,8 @@ def decontaminate(
     )
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", how: Containment = Containment()) -> DataFrame:
-    """Rows of ``docs`` whose key has no contaminated text; all columns stay."""
-    bad = decontaminate(docs, benchmark, key=key, how=how).filter("contaminated").select(F.col(key).alias("__bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, how: Containment = Containment()) -> DataFrame:
+    """Rows of ``docs`` whose own text is not contaminated; all columns stay. Rows are told apart by their number, keys may repeat or be missing."""
+    rows = numbered(docs)
+    bad = decontaminate(rows, benchmark, key="__row", how=how).filter("contaminated").select("__row")
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
