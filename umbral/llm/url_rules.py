@@ -5,8 +5,8 @@ more item, finds token combinations that go with a verdict; those below the supp
 part of them already says as surely. A URL is matched through an inverted index from a rule's rarest token: only rules whose rarest token the
 URL has are looked at. The most confident (then best supported) matching rule decides.
 
-Mining uses combinations of the ``items`` tokens of a URL that tell most; this bounds the number of combinations, and the number of
-rules is bounded by ``most_rules``, so rules may go to every task. Every URL is judged on all its tokens, in one scan.
+Mining uses whole token sets; of tokens that the same URLs have, one stands for all, and rules are written out for each. Supersets go before rules leave Spark, and there is no other
+bound on rules than ``support`` and ``confidence``. Every URL is judged on all its tokens, in one scan.
 
 Defined cases: a missing URL or one without ``://`` has an empty host and path, no rule and the default verdict; so has a URL
 no rule matches; without labelled URLs of both verdicts no rule is mined. Repeated rows are judged one by one; other columns stay.
@@ -14,7 +14,8 @@ no rule matches; without labelled URLs of both verdicts no rule is mined. Repeat
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import product
 
 import pyarrow as pa
 import regex
@@ -22,6 +23,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbral.session import scratch_path
+
 ALLOW, BLOCK = "allow", "block"
 WORD = regex.compile(r"[a-z]+|[0-9]+|[^\x00-\x7F]+")
 
@@ -43,8 +46,6 @@ class ListedRule:
 class Mining:
     support: float = 0.002
     confidence: float = 0.9
-    items: int = 10
-    most_rules: int = 5000
     default: str = ALLOW
 
 
@@ -112,38 +113,49 @@ def mine(labelled: DataFrame, url: str, verdict: str, how: Mining = Mining()) ->
     def all_tokens(urls: pa.Array) -> pa.Array:
         return pa.array([sorted(url_tokens(u)) for u in urls.to_pylist()], pa.list_(pa.string()))
 
-    # Tokens frequent enough to be in a rule: at most (tokens of a URL) / support of them.
-    each = rows.select("verdict", F.explode(all_tokens("url")).alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("verdict") == BLOCK).cast("int")).alias("blocked")
-    )
-    share = n.get(BLOCK, 0) / total
-    telling = {r["token"]: abs(r["blocked"] / r["n"] - share) * r["n"] ** 0.5 for r in each.filter(F.col("n") >= how.support * total).collect()}
-    shared = spark.sparkContext.broadcast(telling)
+    # Tokens frequent enough to be in a rule, one of those that the same URLs have: at most (tokens of a URL) / support of them.
+    marks = [F.sum(F.xxhash64("url", F.lit(k)).cast("decimal(38,0)")).alias(f"mark{k}") for k in (1, 2)]
+    each = rows.select("url", F.explode(all_tokens("url")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *marks)
+    same = each.filter(F.col("n") >= how.support * total).groupBy("n", "mark1", "mark2").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    equal = {r[0][0]: r[0] for r in same.select("tokens").collect()}
+    shared = spark.sparkContext.broadcast(set(equal))
 
     @F.arrow_udf("array<string>")
     def transactions(urls: pa.Array, verdicts: pa.Array) -> pa.Array:
-        out = []
-        for u, v in zip(urls.to_pylist(), verdicts.to_pylist(), strict=True):
-            known = sorted((t for t in url_tokens(u) if t in shared.value), key=lambda t: (-shared.value[t], t))
-            out.append([*known[: how.items], f"={v}"])
-        return pa.array(out, pa.list_(pa.string()))
+        pairs = zip(urls.to_pylist(), verdicts.to_pylist(), strict=True)
+        return pa.array([[*sorted(url_tokens(u) & shared.value), f"={v}"] for u, v in pairs], pa.list_(pa.string()))
 
     baskets = rows.select(transactions("url", "verdict").alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=how.support, minConfidence=how.confidence).fit(baskets)
-    found = (
-        model.associationRules.filter(F.size("consequent") == 1)
-        .filter(F.col("consequent")[0].startswith("="))
-        .filter(~F.exists("antecedent", lambda t: t.startswith("=")))
-        .orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join(F.array_sort("antecedent"), " "))
-        .limit(how.most_rules)
-        .select("antecedent", F.substring(F.col("consequent")[0], 2, 100).alias("verdict"), "confidence", "support")
-        .collect()
-    )
-    rules = sorted((MinedRule(frozenset(r[0]), r[1], r[2], r[3]) for r in found), key=lambda r: (len(r.tokens), r.order()))
+    path = scratch_path(spark, "token-sets")
+    FPGrowth(itemsCol="items", minSupport=how.support, minConfidence=how.confidence).fit(baskets).freqItemsets.write.parquet(path)
+    sets = spark.read.parquet(path).select(
+        F.array_sort(F.filter("items", lambda t: ~t.startswith("="))).alias("tokens"), F.filter("items", lambda t: t.startswith("=")).alias("verdicts"), "freq"
+    ).filter("size(tokens) > 0")
+    alone = sets.filter("size(verdicts) = 0").select("tokens", F.col("freq").alias("n"))
+    confidence = F.col("freq") / F.col("n")
+    path = scratch_path(spark, "rules")
+    sets.filter("size(verdicts) = 1").join(alone, "tokens").filter(confidence >= how.confidence).select(
+        "tokens", F.substring(F.col("verdicts")[0], 2, 100).alias("verdict"), confidence.alias("confidence"), (F.col("freq") / F.lit(total)).alias("support")
+    ).write.parquet(path)
+    kept = without_supersets(spark.read.parquet(path))
+    # What is said of a token holds for every token that the same URLs have.
+    return [replace(r, tokens=frozenset(c)) for r in kept for c in product(*(equal[t] for t in sorted(r.tokens)))]
+
+
+def without_supersets(found: DataFrame) -> list[MinedRule]:
+    """Rules that no part of them says as surely, smaller ones first; each size is tested against the smaller rules that are kept."""
+    spark = found.sparkSession
     kept: list[MinedRule] = []
-    for r in rules:
-        if not any(k.verdict == r.verdict and k.confidence >= r.confidence and k.tokens <= r.tokens for k in kept):
-            kept.append(r)
+    for size in sorted(r[0] for r in found.select(F.size("tokens")).distinct().collect()):
+        shared = spark.sparkContext.broadcast(Index(kept))
+
+        @F.arrow_udf("boolean")
+        def new(tokens: pa.Array, verdicts: pa.Array, confidences: pa.Array) -> pa.Array:
+            rows = zip(tokens.to_pylist(), verdicts.to_pylist(), confidences.to_pylist(), strict=True)
+            return pa.array([not any(k.verdict == v and k.confidence >= c for k in shared.value.fitting(set(t))) for t, v, c in rows])
+
+        own = found.filter(F.size("tokens") == size).filter(new.asNondeterministic()("tokens", "verdict", "confidence")).collect()
+        kept += sorted((MinedRule(frozenset(r[0]), r[1], r[2], r[3]) for r in own), key=MinedRule.order)
     return kept
 
 
@@ -159,9 +171,11 @@ class Index:
         for r in rules:
             self.by_token.setdefault(min(r.tokens, key=lambda t: (counts[t], t)), []).append(r)
 
+    def fitting(self, tokens: set[str]) -> list[MinedRule]:
+        return [r for t in tokens for r in self.by_token.get(t, ()) if r.tokens <= tokens]
+
     def decide(self, url: str | None) -> MinedRule | None:
-        tokens = url_tokens(url)
-        found = [r for t in tokens for r in self.by_token.get(t, ()) if r.tokens <= tokens]
+        found = self.fitting(url_tokens(url))
         return min(found, key=MinedRule.order) if found else None
 
 
