@@ -3,9 +3,10 @@
 import numpy as np
 
 import corpus_pipeline
+from umbral.llm import simhash
 from umbral.llm.alike import Alike, one_of_each
 from umbral.llm.decontaminate import without_contaminated
-from umbral.llm.simhash import near_copies
+from umbral.llm.simhash import Near, near_copies
 
 
 def shingles(text, size=5):
@@ -61,3 +62,10 @@ def test_one_row_of_each_group_stays_whatever_the_keys(llm):
     rows += [(None, "no number at all"), (None, "no number at all"), (None, "same text here"), (1, "")]
     kept = corpus_pipeline.near_copies(llm, llm.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, "same text here"), (1, "another text altogether"), (3, "twice the same row"), (0, "no number at all"), (1, "")])
+
+
+def test_crowded_buckets_with_a_radius_of_one(llm):
+    """4 - 6 - 7 - 3 is a chain of single bits, but 6 and 7 share no neighbour whose least value is one bit from both."""
+    df = llm.createDataFrame([(v,) for v in (3, 4, 6, 7)], "value bigint")
+    rows = simhash.components(simhash.links(df, Near(radius=1, bucket=3))).collect()
+    assert {tuple(r) for r in rows} == {(3, 3), (4, 3), (6, 3), (7, 3)}

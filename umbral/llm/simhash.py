@@ -202,10 +202,14 @@ def _bucket_links(members: DataFrame, how: Near) -> DataFrame:
     return rows.repartition("table", "key").sortWithinPartitions("table", "key", "value").mapInArrow(run, "a bigint, b bigint")
 
 
-def _flip_links(values: DataFrame) -> DataFrame:
-    """Links of values at most two bits apart, through the values one bit away from both."""
+def _flip_links(values: DataFrame, radius: int) -> DataFrame:
+    """Links of values at most two bits apart, through the values one bit away from both; up to one bit, values that are one bit away themselves."""
     near = F.concat(F.array("value"), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda k: F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k))))
     spread = values.select("value", F.explode(near).alias("between"))
+    if radius < 2:
+        other = values.select(F.col("value").alias("between"))
+        apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+        return spread.join(other, "between").filter("value > between").select(F.col("value").alias("a"), F.col("between").alias("b")).filter(apart)
     heads = spread.groupBy("between").agg(F.min("value").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return spread.join(heads, "between").filter("value != head").select(F.col("value").alias("a"), F.col("head").alias("b")).distinct()
 
@@ -219,9 +223,7 @@ def links(values: DataFrame, how: Near) -> DataFrame:
     keyed.join(shared, ["table", "key"]).write.parquet(path)
     members = spark.read.parquet(path)
     small = _bucket_links(members.filter(F.col("n") <= how.bucket), how)
-    large = _flip_links(members.filter(F.col("n") > how.bucket).select("value").distinct())
-    if how.radius < 2:
-        large = large.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= how.radius)
+    large = _flip_links(members.filter(F.col("n") > how.bucket).select("value").distinct(), how.radius)
     return small.unionByName(large)
 
 
