@@ -13,7 +13,7 @@ NAMES = [n for n in entry.queries() if n[:2] == "op" and n[2].isdigit()]
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 12)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in entry.oracle_sql()])

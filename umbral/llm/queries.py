@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from umbral.catalog.registry import query as register
 from umbral.llm import oracles
@@ -17,8 +16,10 @@ from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import with_repetition
 from umbral.llm.simhash import near_copies
 from umbral.llm.text import small_batches
+from umbral.llm.token_files import public_token_files, read_token_files, write_token_files
 from umbral.llm.toxicity import fit_toxicity, with_toxicity
 from umbral.llm.url_rules import ALLOW, BLOCK, ListedRule, judge, mine, with_listed_verdict
+from umbral.session import scratch_path
 from umbral.sources.views import read_table
 
 
@@ -123,3 +124,11 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to files of zstandard frames in order of its number, and read back from them."""
+    folder = scratch_path(spark, "token-ids")
+    write_token_files(read_table(spark, sf_dir, "documents"), folder, public_token_files())
+    return read_token_files(spark, folder)
