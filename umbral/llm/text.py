@@ -6,6 +6,7 @@ batch's bytes with numpy, so no Python object is made for a word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -163,6 +164,19 @@ def slices(texts: pa.Array, most_bytes: int = 1 << 22) -> list[tuple[int, int]]:
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes (or one longer row): equal words are then met once in more text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def joined_words(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words with one space after each, and where each begins and ends there."""
     sizes = t.end - t.start + 1

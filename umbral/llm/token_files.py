@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbral.llm.frames import FrameReader, FrameWriter
+from umbral.llm.text import gathered
 from umbral.llm.word_ids import encoder
 
 MANIFEST = "file int, path string, n_docs bigint, n_ids bigint, least bigint, greatest bigint, no_key bigint"
@@ -51,19 +52,6 @@ def public_token_files(name: str = "word_bpe_49k", **options) -> TokenFiles:
     return TokenFiles(public_tokenizers.path(f"{name}.json"), **options)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes: equal words are then met once in more text."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if size:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def encoded(batches: Iterator[pa.RecordBatch], how: TokenFiles) -> Iterator[tuple[int | None, np.ndarray]]:
     """``(key, ids with the end id)`` of each row."""
     for batch in gathered(batches, how.batch_bytes):
