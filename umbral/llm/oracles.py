@@ -120,3 +120,37 @@ forms AS (
 up AS (SELECT word, coalesce(form, word) AS root, form IS NULL AS done FROM forms UNION ALL SELECT up.word, coalesce(f.form, f.word), f.form IS NULL FROM up JOIN forms AS f ON f.word = up.root WHERE NOT done)
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM up WHERE done) AS r USING (word)
 """.replace("@lower@", LOWER)
+
+PHRASES = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS r, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(@lower@, '[.,;:!?\x0A-\x0D]')) AS p FROM documents) AS s
+),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+runs AS (
+  SELECT lang, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS phrase FROM (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m) AS sizes WHERE len(w) >= m) AS x
+),
+counts AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY lang, m, phrase HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, m, phrase, f, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, m), ' ') AS tail
+  FROM (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM counts WHERE m > 1) AS c
+),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, c.f AS a, k, h.f AS l, t.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.f // (h.f + t.f) AS BIGINT) AS score
+  FROM cuts AS c JOIN counts AS h ON h.lang = c.lang AND h.phrase = c.head JOIN counts AS t ON t.lang = c.lang AND t.phrase = c.tail
+),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, part, max(f) AS longer FROM (
+    SELECT lang, f, array_to_string(list_slice(w, k, k + size - 1), ' ') AS part FROM (
+      SELECT lang, f, w, size, unnest(range(1, m - size + 2)) AS k FROM (
+        SELECT lang, f, m, string_split(phrase, ' ') AS w, unnest(range(2, m)) AS size FROM counts WHERE m > 2) AS a) AS b) AS c
+  GROUP BY lang, part
+),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM weakest AS s LEFT JOIN inside AS i ON i.lang = s.lang AND i.part = s.phrase WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""".replace("@lower@", LOWER)

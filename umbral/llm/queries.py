@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from umbral.catalog.registry import query as register
 from umbral.llm import oracles
 from umbral.llm.brown import fit_brown, score
+from umbral.llm.collocations import mine_phrases
 from umbral.llm.decontaminate import decontaminate
 from umbral.llm.html_tree import extract
 from umbral.llm.importance import resample
@@ -139,3 +140,9 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word with its near words counted, its more frequent form and the root of its group."""
     return spelling_groups(read_table(spark, sf_dir, "documents"), Spelling(drop=199))
+
+
+@query(oracles.PHRASES)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of each language whose words keep together most."""
+    return mine_phrases(read_table(spark, sf_dir, "documents"))
