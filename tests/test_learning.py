@@ -107,8 +107,9 @@ def test_discriminants_follow_the_formula(table, data, pooled):
     x, _ = data
     names = ["x0", "x1", "x2"]
     c = np.array([r.c for r in table.orderBy("id").select("c").collect()])
-    fit = discriminant.fit_discriminant(table, "c", names, pooled)
-    got = [r.probability for r in fit.transform(table, event=1).orderBy("id").select("probability").collect()]
+    rows = prep.design_matrix(table.drop("features"), names)
+    fit = discriminant.DiagonalDiscriminant("c", pooled).fit(rows)
+    got = [r.score for r in models.predict(fit, rows, "prob").orderBy("id").collect()]
     z = x[:, :3]
     var = [z[c == k].var(0) for k in (0, 1)]
     if pooled:

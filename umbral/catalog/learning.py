@@ -13,6 +13,7 @@ from umbral.learning import discriminant, evaluate, gram, models, prep, scoring,
 from umbral.learning import dense as net
 from umbral.operators.sampling import kfold
 from umbral.plans.households import exclude_domain, final_base
+from umbral.plans.learners import lasso_path, net_path
 from umbral.plans.workflow import RunConfig, end_to_end as run_classifier, end_to_end_income as run_income
 from umbral.session import scratch_path
 from umbral.sources import tables as S
@@ -246,15 +247,15 @@ _POSTERIOR = (
 
 @query(f"{H}, {_TWO}, spread AS (SELECT Pobre, n, ma, mb, (SELECT SUM(n * va) / SUM(n) FROM k) AS va, (SELECT SUM(n * vb) / SUM(n) FROM k) AS vb FROM k), {_POSTERIOR}")
 def lda_diag(spark: SparkSession, sf: str) -> DataFrame:
-    df = hogares(spark, sf).select("id", "P5130", "Npersug", "Pobre")
-    out = discriminant.lda_diag(df, "Pobre", ["P5130", "Npersug"]).transform(df, event=1)
+    df = _vector(hogares(spark, sf), "P5130", "Npersug")
+    out = models.predict(discriminant.lda_diag("Pobre").fit(df), df, "prob", "probability")
     return rounded(out.select("id", "probability"), "probability")
 
 
 @query(f"{H}, {_TWO}, spread AS (SELECT * FROM k), {_POSTERIOR}")
 def qda_diag(spark: SparkSession, sf: str) -> DataFrame:
-    df = hogares(spark, sf).select("id", "P5130", "Npersug", "Pobre")
-    out = discriminant.qda_diag(df, "Pobre", ["P5130", "Npersug"]).transform(df, event=1)
+    df = _vector(hogares(spark, sf), "P5130", "Npersug")
+    out = models.predict(discriminant.qda_diag("Pobre").fit(df), df, "prob", "probability")
     return rounded(out.select("id", "probability"), "probability")
 
 
@@ -299,7 +300,7 @@ def boost_class(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def dense_class(spark: SparkSession, sf: str) -> DataFrame:
-    return _test_scores(spark, sf, "Pobre", lambda label, **m: models.dense_classifier(label, **m), "prob", width=8, hidden=(16, 16), epochs=30)
+    return _test_scores(spark, sf, "Pobre", models.dense_classifier, "prob", hidden=(16, 16), epochs=30)
 
 
 @query()
@@ -347,7 +348,7 @@ def importance_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- tuning ----------------------------------------------------------------------------------
 
-_CUTS = tuning.Range(-3, 0).levels(5)
+_CUTS = [-3, -2.25, -1.5, -0.75, 0]
 
 
 def _values(rows: list[tuple]) -> str:
@@ -573,7 +574,7 @@ def bases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     """Lasso classifier from persons and households to ``(id, pobre)``."""
     train, test = bases(spark, sf)
-    return run_classifier(train, test, RunConfig(penalties=tuning.PENALTY.levels(50))).submission
+    return run_classifier(train, test, RunConfig(), lasso_path()).submission
 
 
 @query()
@@ -581,8 +582,5 @@ def end_to_end_income(spark: SparkSession, sf: str) -> DataFrame:
     """Elastic-net income model compared with the poverty line."""
     train, test = bases(spark, sf)
     skipped = ("id", "Lp", "Ingpcug", "lIngpcug", "Pobre", "train", "Clase", "Dominio", "fold")
-    config = RunConfig(
-        label="lIngpcug", not_predictors=skipped, interact_factor="Depto",
-        penalties=tuning.PENALTY.levels(10), mixtures=tuning.MIXTURE.levels(5),
-    )
-    return run_income(train, test, config).submission
+    config = RunConfig(label="lIngpcug", not_predictors=skipped, interact_factor="Depto")
+    return run_income(train, test, config, net_path()).submission

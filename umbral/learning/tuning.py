@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
@@ -9,12 +10,12 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbral.learning import evaluate
 from umbral.learning.models import CLASSIFICATION, event_probability
-from umbral.learning.prep import Recipe, bake, prep
+from umbral.learning.prep import Recipe, bake, feature_names, prep
 from umbral.session import kept
 
 
@@ -68,11 +69,6 @@ def grid_expand(**lists: list) -> Grid:
     return [dict(zip(lists, values)) for values in product(*lists.values())]
 
 
-def grid_table(spark: SparkSession, grid: Grid) -> DataFrame:
-    """The grid as a table with a ``candidate`` number."""
-    return spark.createDataFrame([{"candidate": i, **g} for i, g in enumerate(grid)])
-
-
 METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "rmse": evaluate.rmse,
     "mae": evaluate.mae,
@@ -113,6 +109,13 @@ def measure(predicted: DataFrame, label: str, metrics: list[str], kind: str) ->
     return out
 
 
+def built(build: Callable[..., Estimator], prepared: PipelineModel, label: str, params: dict) -> Estimator:
+    """The estimator for prepared rows; a builder that asks for ``width`` gets the length of their vector."""
+    if "width" in inspect.signature(build).parameters and "width" not in params:
+        params = {**params, "width": len(feature_names(prepared))}
+    return build(label=label, **params)
+
+
 def tune_cv(
     df: DataFrame,
     recipe: Recipe,
@@ -144,7 +147,7 @@ def tune_cv(
 
             def try_one(numbered):
                 i, params = numbered
-                model = build(label=label, **params).fit(a)
+                model = built(build, prepared, label, params).fit(a)
                 return [
                     {"candidate": i, **params, "fold": int(k), "metric": m, "value": v if v is None else float(v)}
                     for m, v in measure(model.transform(b), label, metrics, kind).items()
@@ -190,7 +193,7 @@ def finalize_fit(df: DataFrame, recipe: Recipe, build: Callable[..., Estimator],
     params = {k: v for k, v in best.items() if k != "candidate"}
     prepared = prep(recipe, df)
     with kept(bake(prepared, df, [label])) as rows:
-        model = build(label=label, **params).fit(rows)
+        model = built(build, prepared, label, params).fit(rows)
     return PipelineModel([*prepared.stages, model])
 
 

@@ -1,90 +1,97 @@
-"""The whole run: split, prepare, tune, refit, choose a cut-off and score."""
+"""The whole run: split, prepare, tune, refit, choose a cut-off and score, whatever the model."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbral.learning.evaluate import coefficients, roc_threshold
-from umbral.learning.gram import tune_linear_path
-from umbral.learning.models import linear_reg, predict
-from umbral.learning.prep import Recipe, bake, feature_names, prep
+from umbral.learning.evaluate import dropped_names, roc_threshold
+from umbral.learning.models import predict
+from umbral.learning.prep import Recipe
 from umbral.learning.scoring import score_income, score_threshold
-from umbral.learning.tuning import MIXTURE, PENALTY, collect_metrics, select_best
-from umbral.operators.sampling import kfold, split_validation
-from umbral.session import cut_lineage, kept, write_through
+from umbral.operators.sampling import downsample, kfold, split_validation
+from umbral.plans.learners import Learned, Learner, LinearPath, lasso_path
+from umbral.session import cut_lineage, write_through
 
 
 @dataclass(frozen=True)
 class RunConfig:
-    """What a linear run needs; the defaults are the lasso classifier."""
+    """Columns, preparation and splits of a run.
+
+    ``numeric`` and ``factors`` name the predictors (all others that ``not_predictors`` does not name, if left out). ``chosen_by`` fits that linear model first and
+    drops the terms it sets to 0. ``under_ratio`` cuts every class of the fitting rows to that multiple of the smallest one.
+    """
 
     label: str = "Pobre"
     id: str = "id"
     not_predictors: tuple[str, ...] = ("id", "Lp", "Ingpcug", "lIngpcug", "Pobre", "train", "Clase", "Depto", "fold")
+    numeric: tuple[str, ...] | None = None
+    factors: tuple[str, ...] | None = None
     interact_numeric: tuple[str, ...] = ("P5130", "Educ_avg", "tasa_ocupados", "tasa_inactivos", "P5000", "edad_pet")
     interact_factor: str | None = "Dominio"
     removed: tuple[str, ...] = ()
+    chosen_by: LinearPath | None = None
+    under_ratio: float | None = None
+    pca_threshold: float | None = None
     validation: float = 0.15
     folds: int = 5
     seed: int = 123
-    penalties: list[float] = field(default_factory=lambda: PENALTY.levels(50))
-    mixtures: list[float] = field(default_factory=lambda: [1.0])
     missing_as: int | None = 0
 
-
-LASSO_GRID = PENALTY.levels(50)
-NET_GRID = (PENALTY.levels(30), MIXTURE.levels(30))
+    def recipe(self) -> Recipe:
+        return Recipe(
+            label=self.label,
+            not_predictors=self.not_predictors,
+            numeric=None if self.numeric is None else list(self.numeric),
+            factors=None if self.factors is None else list(self.factors),
+            interact_numeric=self.interact_numeric,
+            interact_factor=self.interact_factor,
+            removed=self.removed,
+            pca_threshold=self.pca_threshold,
+        )
 
 
 @dataclass(frozen=True)
 class Run:
     model: PipelineModel
-    terms: DataFrame
-    metrics: DataFrame
+    terms: DataFrame | None
+    metrics: DataFrame | None
     best: dict
     cutoff: float | None
     submission: DataFrame
 
 
-def _fit_linear(train: DataFrame, config: RunConfig) -> tuple[PipelineModel, DataFrame, DataFrame, dict]:
-    spark = train.sparkSession
-    recipe = Recipe(
-        label=config.label,
-        not_predictors=config.not_predictors,
-        interact_numeric=config.interact_numeric,
-        interact_factor=config.interact_factor,
-        removed=config.removed,
-    )
+def learn(train: DataFrame, config: RunConfig, learner: Learner) -> Learned:
+    """The learner's model from ``train``, on the terms a first model chose and on a balanced table if the run asks for that."""
     folded = kfold(train, config.folds, config.id, config.seed)
-    prepared = prep(recipe, folded)
-    with kept(bake(prepared, folded, [config.label, "fold"])) as rows:
-        result = tune_linear_path(rows, "features", config.label, "fold", config.penalties, config.mixtures)
-        metrics = spark.createDataFrame(collect_metrics(result).collect())
-        best = select_best(metrics, "rmse")
-        model = linear_reg(config.label, best["penalty"], best["mixture"]).fit(rows)
-    terms = coefficients(spark, feature_names(prepared), model)
-    return PipelineModel([*prepared.stages, model]), terms, metrics, best
-
-
-def end_to_end(train: DataFrame, test: DataFrame, config: RunConfig = RunConfig()) -> Run:
-    """Classifier run: cut-off from held-out rows, then ``(id, pobre)`` for the test table."""
+    if config.chosen_by is not None:
+        # Components mix all terms, so the choice is made before them.
+        first = config.chosen_by.learn(folded, replace(config, pca_threshold=None).recipe(), config.label)
+        config = replace(config, removed=(*config.removed, *dropped_names(first.terms)))
+    if config.under_ratio is not None:
+        folded = write_through(downsample(folded, config.label, config.id, config.seed, config.under_ratio), "balanced")
+    return learner.learn(folded, config.recipe(), config.label)
+
+
+def end_to_end(train: DataFrame, test: DataFrame, config: RunConfig = RunConfig(), learner: Learner | None = None) -> Run:
+    """Classifier run: cut-off from held-out rows, then ``(id, pobre)`` for the test table. Without a learner, the lasso path."""
+    learner = learner or lasso_path()
     # Learning reads the table several times; the joins behind it run once.
     train = write_through(train, "train")
     fitting, held_out = split_validation(train, config.validation, config.id, config.seed)
-    model, terms, metrics, best = _fit_linear(fitting, config)
+    found = learn(fitting, config, learner)
     # The curve reads the scores several times; written once, they are not computed again.
-    judged = cut_lineage(predict(model, held_out).select(F.col(config.label).alias("real"), "score"))
+    judged = cut_lineage(predict(found.model, held_out, learner.score).select(F.col(config.label).alias("real"), "score"))
     cutoff = roc_threshold(judged, "real", "score").first()["threshold"]
-    submission = score_threshold(predict(model, test), "score", cutoff, config.missing_as)
-    return Run(model, terms, metrics, best, cutoff, submission)
+    submission = score_threshold(predict(found.model, test, learner.score), "score", cutoff, config.missing_as)
+    return Run(found.model, found.terms, found.metrics, found.best, cutoff, submission)
 
 
-def end_to_end_income(train: DataFrame, test: DataFrame, config: RunConfig) -> Run:
+def end_to_end_income(train: DataFrame, test: DataFrame, config: RunConfig, learner: Learner | None = None) -> Run:
     """Income run: no validation rows; predicted income is compared with the poverty line."""
-    model, terms, metrics, best = _fit_linear(write_through(train, "train"), config)
-    submission = score_income(predict(model, test), "score", "Lp", config.missing_as)
-    return Run(model, terms, metrics, best, None, submission)
+    found = learn(write_through(train, "train"), config, learner or lasso_path())
+    submission = score_income(predict(found.model, test), "score", "Lp", config.missing_as)
+    return Run(found.model, found.terms, found.metrics, found.best, None, submission)
