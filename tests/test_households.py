@@ -88,7 +88,7 @@ def test_heads_lost_and_doubled(spark):
 @pytest.mark.parametrize("hot_rows", [50, 10_000_000])
 def test_group_mutate_with_a_hot_group(spark, hot_rows):
     df = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i % 20}", i) for i in range(100)] + [(None, 1)], "k string, x int")
-    out = group_mutate(df, "k", {"s": F.sum("x"), "n": F.count(F.lit(1))}, hot_rows=hot_rows).collect()
+    out = group_mutate(df, "k", {"s": F.sum("x"), "n": F.count(F.lit(1))}, rows_per_salt=hot_rows).collect()
     assert len(out) == 601
     sums = {}
     for r in df.collect():

@@ -7,6 +7,7 @@ import pytest
 
 from umbral.learning import evaluate
 from umbral.operators import sampling as K
+from umbral.operators import running
 from umbral.operators.running import exact_quantiles, place, running_totals
 
 
@@ -81,6 +82,20 @@ def test_exact_quantiles(spark):
             assert got[name, p] == pytest.approx(np.quantile(data, p)), (name, p)
 
 
+@pytest.mark.parametrize("accuracy,near", [(10_000, 5), (50, 40), (3, 1_000_000)])
+def test_quantiles_are_exact_however_coarse_the_sketch(spark, monkeypatch, accuracy, near):
+    monkeypatch.setattr(running, "ACCURACY", accuracy)
+    monkeypatch.setattr(running, "MOST_NEAR", near)
+    rng = np.random.default_rng(5)
+    a, b = rng.pareto(0.5, 4000), np.where(rng.random(4000) < 0.6, 3.0, rng.normal(size=4000))
+    rows = [(float(x), float(y), None, 2) for x, y in zip(a, b, strict=True)] + [(float("nan"), None, None, 2)]
+    df = spark.createDataFrame(rows, "a double, b double, none double, one int").repartition(5)
+    at = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    got = {(r.name, r.probability): r.quantile for r in exact_quantiles(df, ["a", "b", "none", "one"], at).collect()}
+    want = {(n, p): pytest.approx(np.quantile(x, p)) for n, x in (("a", a), ("b", b), ("one", [2.0])) for p in at}
+    assert got == want
+
+
 def brute_roc(rows):
     pos = sum(y for y, _ in rows)
     neg = len(rows) - pos

@@ -38,10 +38,19 @@ def test_hot_household_is_split_in_the_join(spark, tiny_thresholds):
     assert "skew=true" in plan
 
 
-def test_hot_group_needs_no_shuffle_of_its_rows(spark):
+def test_a_hot_household_is_dealt_over_tasks(spark):
+    """Nine rows of ten in one household, some without a key: same rows as a window, no task with a whole group."""
     from umbral.operators.windows import group_mutate
 
-    persons = spark.range(0, 3000).selectExpr("IF(id % 3 = 0, 7, id) AS id", "id AS x")
-    out = group_mutate(persons, "id", {"s": F.sum("x")}, hot_rows=500)
-    assert out.count() == 3000
-    assert {r.s for r in out.filter("id = 7").collect()} == {sum(i for i in range(3000) if i % 3 == 0 or i == 7)}
+    persons = spark.range(0, 20_000, 1, 4).selectExpr("IF(id % 10 > 0, 7, IF(id % 20 = 0, NULL, id)) AS id", "id AS x", "id % 3 AS __c")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = group_mutate(persons, "id", {"s": F.sum("x"), "n": F.count(F.lit(1))}, rows_per_salt=500)
+        per_task = [r.n for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        rows = {r.x: (r.id, r.s, r.n) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert out.columns == ["id", "x", "__c", "s", "n"] and len(rows) == 20_000 and sum(per_task) == 20_000 and max(per_task) < 8000
+    for key, group in (7, [x for x in range(20_000) if x % 10]), (None, range(0, 20_000, 20)), (10, [10]):
+        want = (key, sum(group), len(group))
+        assert all(rows[x] == want for x in group)

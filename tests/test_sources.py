@@ -37,3 +37,14 @@ def test_submission_is_id_and_flag(spark):
     path = scratch_path(spark, "submission")
     S.write_submission(spark.createDataFrame([("a", 1.0, 9), ("b", None, 9)], "id string, pobre double, x int"), path)
     assert sorted(tuple(r) for r in S.read_survey(spark, path, SUBMISSION).collect()) == [("a", 1), ("b", None)]
+
+
+def test_unreadable_entries_are_reported_by_column(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,other,n,x\na,1,5,1.5\nb,2,abc,NA\nc,3, ,"1,5"\nd,4,7.5,x\ne,5,8\n')
+    path = str(tmp_path / "a.csv")
+    rejects = S.survey_rejects(spark, path, SMALL)
+    assert sorted(tuple(r) for r in rejects.collect()) == [("b,2,abc,NA", "n", "abc"), ('c,3, ,"1,5"', "x", "1,5"), ("d,4,7.5,x", "n", "7.5"), ("d,4,7.5,x", "x", "x")]
+    assert {tuple(r) for r in S.reject_counts(rejects, SMALL).collect()} == {("n", 2), ("x", 2)}
+    (tmp_path / "b.csv").write_text("id,n,x\na,1,2.0\n")
+    clean = S.survey_rejects(spark, str(tmp_path / "b.csv"), SMALL)
+    assert clean.collect() == [] and {r.n for r in S.reject_counts(clean, SMALL).collect()} == {0}

@@ -81,9 +81,9 @@ def clean_bonuses(spark: SparkSession, sf: str) -> DataFrame:
     return H.clean_job_bonuses(survey(spark, sf)).select("id", "Orden", "Pet", "Oc", "DiffNper", *_BONUS)
 
 
-def _rolled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    people = H.clean_job_bonuses(H.person_status_vars(survey(spark, sf)))
-    return people, H.job_bonus_rollup(people)
+def _rolled(spark: SparkSession, sf: str) -> DataFrame:
+    answers = personas(spark, sf).withColumn("nivel_educ", H.education_level(F.col("P6210")))
+    return H.job_bonus_rollup(H.clean_bonus_answers(answers), hogares(spark, sf))
 
 
 _RATES = [f"{o}PP" for o in _COUNT.values()]
@@ -91,7 +91,7 @@ _RATES = [f"{o}PP" for o in _COUNT.values()]
 
 @query(f"{PH}, {_SURVEY}, {_CLEAN}, {_ROLLED} SELECT * FROM rolled")
 def bonus_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_rolled(spark, sf)[1], *_RATES, "Educ_avg")
+    return rounded(_rolled(spark, sf), *_RATES, "Educ_avg")
 
 
 @query(
@@ -99,9 +99,8 @@ def bonus_rollup(spark: SparkSession, sf: str) -> DataFrame:
     "RIGHT JOIN (SELECT id, nivel_educ FROM clean WHERE P6050 = 1) h ON r.id = h.id"
 )
 def head_education(spark: SparkSession, sf: str) -> DataFrame:
-    # The person table alone holds what a head's row needs; the joined survey is read for the roll-up only.
     people = personas(spark, sf).select("id", "P6050", H.education_level(F.col("P6210")).alias("Educ_jefe"))
-    heads, rolled = H.head_of_household(people, ["id", "Educ_jefe"]), _rolled(spark, sf)[1]
+    heads, rolled = H.head_of_household(people, ["id", "Educ_jefe"]), _rolled(spark, sf)
     out = H.attach_head_education(rolled.select("id", "train", "Nprimas", "Educ_avg"), heads)
     return rounded(out, "Educ_avg")
 
@@ -163,12 +162,11 @@ def household_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def packs(spark: SparkSession, sf: str, part) -> tuple[list[DataFrame], DataFrame]:
-    """Household-grain slices of one file pair, and its households."""
+    """Household table of one file pair with everything its persons give, from one aggregate over them; and its households."""
     people, homes = part(personas(spark, sf)), part(hogares(spark, sf))
     base = homes.select("id", "Clase", "Dominio", "Depto", "P5000", "P5090", "P5130", "Nper", "Li", "Lp", "Fex_c", "Fex_dpto")
-    schooling = people.groupBy("id").agg(F.avg(H.education_level(F.col("P6210"))).alias("Educ_avg"))
-    bonuses = people.groupBy("id").agg(F.count_if(F.col("P6545") == 1).alias("Nprimas"))
-    return [base, schooling, H.household_pack(people), bonuses], homes
+    more = {"Educ_avg": F.avg(H.education_level(F.col("P6210"))), "Nprimas": F.count_if(F.col("P6545") == 1)}
+    return [H.attach_measures(base, H.household_measures(people, more))], homes
 
 
 _BASE = (

@@ -30,6 +30,22 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return S.read_survey(spark, path, T.StructType([PERSONS[n] for n in names]))
 
 
+@query(
+    P + "SELECT 'Orden' AS name, COUNT(*) FILTER (WHERE P6040 % 7 = 0) AS n FROM personas "
+    "UNION ALL SELECT 'P6545s1', COUNT(*) FILTER (WHERE P6040 % 5 = 0 AND P6545s1 IS NOT NULL) FROM personas UNION ALL SELECT 'P6040', 0"
+)
+def survey_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries that are not numbers, written into a file and reported by column."""
+    people = personas(spark, sf).select("id", "Orden", "P6040", "P6545s1")
+    spoiled = people.withColumns({
+        "Orden": F.when(F.col("P6040") % 7 == 0, F.concat(F.lit("no "), "Orden")).otherwise(F.col("Orden").cast("string")),
+        "P6545s1": F.when(F.col("P6040") % 5 == 0, F.concat("P6545s1", F.lit(" pesos"))).otherwise(F.col("P6545s1").cast("string")),
+    })
+    path, schema = scratch_path(spark, "spoiled"), T.StructType([PERSONS[n] for n in people.columns])
+    S.write_table_csv(spoiled, path)
+    return S.reject_counts(S.survey_rejects(spark, path, schema), schema)
+
+
 @query(H + "SELECT id, Dominio, CAST(dense_rank() OVER (ORDER BY Dominio) AS BIGINT) AS level FROM hogares")
 def parquet_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "snapshot")

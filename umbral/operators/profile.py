@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from umbral.functions.nulls import is_missing
 from umbral.operators.columns import quoted
-from umbral.operators.running import exact_quantiles
+from umbral.operators.running import exact_quantiles, known_value, quantile_sketch
 
 
 def null_profile(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -54,35 +54,31 @@ def consistency_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counts.select(F.inline(F.array(*entries)))
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 def column_summary(df: DataFrame, numeric: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Min, quartiles, mean, max and missing per numeric column.
 
-    ``exact=False`` takes the quartiles from a fixed-size sketch in the same pass.
+    One pass gives everything but the quartiles, and the ranges they lie in; a second pass counts only the values in these ranges. ``exact=False``
+    leaves the second pass out and takes the quartiles of the sketch.
     """
     numeric = numeric or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    value = [F.when(~is_missing(df, c), quoted(c).cast("double")) for c in numeric]
     parts = []
-    for i, (c, v) in enumerate(zip(numeric, value)):
-        parts += [F.min(v).alias(f"lo{i}"), F.avg(v).alias(f"mean{i}"), F.max(v).alias(f"hi{i}")]
-        parts.append(F.count_if(is_missing(df, c)).alias(f"na{i}"))
-        if not exact:
-            parts.append(F.percentile_approx(v, [0.25, 0.5, 0.75], 100_000).alias(f"q{i}"))
-    fields = lambda i: [
-        F.col(f"lo{i}").alias("min"),
-        F.col(f"mean{i}").alias("mean"),
-        F.col(f"hi{i}").alias("max"),
-        F.col(f"na{i}").alias("missing"),
-        *([] if exact else [F.col(f"q{i}")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))]),
-    ]
-    entries = [F.struct(F.lit(c).alias("name"), *fields(i)) for i, c in enumerate(numeric)]
-    moments = df.agg(*parts).select(F.inline(F.array(*entries)))
+    for i, c in enumerate(numeric):
+        v = known_value(quoted(c))
+        parts += [F.min(v).alias(f"lo{i}"), F.avg(v).alias(f"mean{i}"), F.max(v).alias(f"hi{i}"), F.count_if(is_missing(df, c)).alias(f"na{i}")]
+        parts.append(quantile_sketch(v, QUARTILES).alias(f"s{i}") if exact else F.percentile_approx(v, QUARTILES, 100_000).alias(f"q{i}"))
+    found = df.agg(*parts).first()
+    places = range(len(numeric))
     if exact:
-        pick = lambda p: F.max(F.when(F.col("probability") == p, F.col("quantile")))
-        quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]).groupBy("name").agg(
-            pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3")
-        )
-        moments = moments.join(quartiles, "name", "left")
-    return moments.select("name", "min", "q1", "median", "mean", "q3", "max", "missing")
+        quartiles = {(r.name, r.probability): r.quantile for r in exact_quantiles(df, numeric, QUARTILES, [found[f"s{i}"] for i in places]).collect()}
+        cuts = [[quartiles.get((c, p)) for p in QUARTILES] for c in numeric]
+    else:
+        cuts = [found[f"q{i}"] or [None] * 3 for i in places]
+    rows = [(c, found[f"lo{i}"], *cuts[i][:2], found[f"mean{i}"], cuts[i][2], found[f"hi{i}"], found[f"na{i}"]) for i, c in enumerate(numeric)]
+    schema = "name string, min double, q1 double, median double, mean double, q3 double, max double, missing bigint"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def level_counts(df: DataFrame, names: list[str]) -> DataFrame:

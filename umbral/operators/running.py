@@ -8,7 +8,7 @@ the totals of the ranges before it are added from a table with one row per range
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_RANGES = 20_000
@@ -80,29 +80,91 @@ def running_totals(
     return out.drop(at, "__next_first", *[f"__before_{s}" for s in sums])
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
-    """Exact quantiles by linear interpolation between order statistics, for all columns at once.
+#: Entries of a sketch, and values near a wanted rank that are counted one by one.
+ACCURACY = 10_000
+MOST_NEAR = 1_000_000
 
-    Returns ``(name, probability, quantile)``. Values are counted per distinct value
-    first, so repeated values cost nothing and no task holds a whole column.
+
+def known_value(column: Column) -> Column:
+    """The number, missing where it is not one."""
+    number = column.cast("double")
+    return F.when(~F.isnan(number), number)
+
+
+def quantile_sketch(value: Column, probabilities: list[float]) -> Column:
+    """How many values there are, and a value safely below and above each wanted quantile: part of any aggregate."""
+    slack = 2 / ACCURACY
+    at = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-slack, slack)]
+    return F.struct(F.count(value).alias("n"), F.percentile_approx(value, at, ACCURACY).alias("near"))
+
+
+def _bounds(near: list[float] | None, k: int, low: float, high: float, at: float, slack: float) -> tuple[float, float]:
+    """The range of one quantile within ``low..high``; beyond either end of the values it stays open."""
+    if near is None:
+        return low, high
+    return (near[2 * k] if at - slack > 0 else low), (near[2 * k + 1] if at + slack < 1 else high)
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], sketches: list | None = None) -> DataFrame:
+    """Exact quantiles by linear interpolation between order statistics, for all columns at once: ``(name, probability, quantile)``.
+
+    A sketch (``quantile_sketch``; given, or from one pass) names a narrow range around each quantile. A second pass counts what lies below it and the distinct
+    values inside it: only those are shuffled, a few thousandths of the table. Ranges that would still hold more than ``MOST_NEAR`` values are sketched again first. The sketch
+    only saves work: a range that misses its rank is noticed, and its column is counted as a whole.
     """
-    names = [f"v{i}" for i in range(len(columns))]
-    wide = place(df.select(*[F.col(f"`{c}`").cast("double").alias(v) for c, v in zip(columns, names)]), names)
-    entries = [
-        F.struct(F.lit(c).alias("name"), F.col(v).alias("value"), F.col(f"{RANGE}_{v}").alias(RANGE))
-        for c, v in zip(columns, names)
-    ]
-    long = wide.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy("name", "value", RANGE).agg(F.count(F.lit(1)).alias("n"))
-    ordered = running_totals(counts, "value", ["n"], by="name", neighbour="next_value", at=RANGE)
-    # The value at 0-based rank r is the one whose count range covers r.
-    wanted = []
-    for p in probabilities:
-        position = (F.col("all_n") - 1) * F.lit(float(p))
-        rank = F.floor(position).cast("bigint")
-        upper = F.when(rank + 1 < F.col("cum_n"), F.col("value")).otherwise(F.coalesce("next_value", "value"))
-        quantile = F.col("value") + (position - rank) * (upper - F.col("value"))
-        covered = (rank >= F.col("cum_n") - F.col("n")) & (rank < F.col("cum_n"))
-        wanted.append(F.when(covered, F.struct(F.lit(float(p)).alias("probability"), quantile.alias("quantile"))))
-    hits = F.filter(F.array(*wanted), lambda x: x.isNotNull())
-    return ordered.select("name", F.inline(hits))
+    values = [known_value(F.col(f"`{c}`")) for c in columns]
+    if sketches is None:
+        found = df.agg(*[quantile_sketch(v, probabilities).alias(f"s{i}") for i, v in enumerate(values)]).first()
+        sketches = list(found)
+    slack, ends = 2 / ACCURACY, (float("-inf"), float("inf"))
+    wanted, ranges = {}, {}
+    for i, s in enumerate(sketches):
+        for k, p in enumerate(probabilities):
+            if s["n"]:
+                wanted[i, k] = (s["n"] - 1) * float(p)
+                ranges[i, k] = _bounds(s["near"], k, *ends, p, slack)
+    near = {key: 2 * slack * sketches[key[0]]["n"] for key in ranges}
+    while any(n > MOST_NEAR for n in near.values()):
+        keys = [key for key, n in near.items() if n > MOST_NEAR]
+        parts = []
+        for j, (i, k) in enumerate(keys):
+            low, high = ranges[i, k]
+            inside = values[i].between(low, high)
+            parts += [F.count_if(values[i] < low).alias(f"b{j}"), F.count_if(inside).alias(f"n{j}")]
+            parts.append(F.percentile_approx(F.when(inside, values[i]), [x / 1000 for x in range(1001)], ACCURACY).alias(f"q{j}"))
+        found = df.agg(*parts).first()
+        for j, key in enumerate(keys):
+            n, q = found[f"n{j}"], found[f"q{j}"]
+            at = (wanted[key] - found[f"b{j}"]) / max(1, n) * 1000
+            low, high = max(0, int(at) - 1), min(1000, int(at) + 2)
+            narrower = (q[low] if low > 0 else ranges[key][0], q[high] if high < 1000 else ranges[key][1]) if q else ranges[key]
+            settled = not 0 <= at <= 1000 or narrower == ranges[key] or n <= MOST_NEAR
+            ranges[key], near[key] = narrower if 0 <= at <= 1000 else ends, 0 if settled else 3 * n / 1000
+    rows = _ranked(df, values, wanted, ranges)
+    missed = [key for key in wanted if key not in rows]
+    if missed:
+        rows |= _ranked(df, values, {key: wanted[key] for key in missed}, dict.fromkeys(missed, ends))
+    table = [(columns[i], float(probabilities[k]), rows[i, k]) for i, k in wanted]
+    return df.sparkSession.createDataFrame(table, "name string, probability double, quantile double")
+
+
+def _ranked(df: DataFrame, values: list[Column], wanted: dict, ranges: dict) -> dict:
+    """The interpolated value at each wanted position, for the keys whose range holds it."""
+    if not wanted:
+        return {}
+    entries = []
+    for (i, k), (low, high) in ranges.items():
+        inside = F.when(values[i] >= low, values[i])
+        entry = F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(wanted[i, k]).alias("position"), inside.alias("value"))
+        entries.append(F.when(values[i] <= high, entry))
+    kept = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    counts = df.select(F.inline(kept)).groupBy("i", "k", "position", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("i", "k").orderBy(F.asc_nulls_first("value"))
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumns({"upto": upto, "following": F.lead("value").over(order)})
+    rank = F.floor("position").cast("bigint")
+    hit = placed.filter(F.col("value").isNotNull() & (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")))
+    share = F.col("position") - rank
+    above = F.when((share == 0) | (rank + 1 < F.col("upto")), F.col("value")).otherwise(F.col("following"))
+    found = hit.select("i", "k", (F.col("value") + share * (above - F.col("value"))).alias("quantile")).collect()
+    return {(r["i"], r["k"]): r["quantile"] for r in found if r["quantile"] is not None}

@@ -7,28 +7,25 @@ from pyspark.sql import functions as F
 
 from umbral.operators.columns import quoted
 
-HOT_GROUP_ROWS = 5_000_000
+ROWS_PER_SALT = 100_000
 LARGEST_CODE = 62
 
 
-def group_mutate(df: DataFrame, key: str, aggregates: dict[str, Column], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Copy group aggregates to every member.
+def group_mutate(df: DataFrame, key: str, aggregates: dict[str, Column], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Copy group aggregates to every member; a missing key is a group of its own.
 
-    A window would sort a whole group in one task. The aggregates are computed with
-    map-side combine and joined back instead. Groups above ``hot_rows`` rows are
-    joined by broadcast, so their rows never meet in one task; there can be at most
-    rows ÷ ``hot_rows`` of them, which bounds the broadcast table.
+    A window would sort a whole group in one task. The aggregates are computed with map-side combine and joined back: a group gets one salt
+    for every ``rows_per_salt`` of its measured rows, its aggregates are copied once per salt, and its rows are dealt over the salts, so no task gets more than about
+    that many rows of one group. Only the groups with several salts are broadcast, as key and number of salts; there are at most rows ÷ ``rows_per_salt`` of them.
     """
-    stats = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("__rows"), *[a.alias(n) for n, a in aggregates.items()]
-    )
-    keyed = stats.withColumnRenamed(key, "__key")
-    hot = keyed.filter(F.col("__rows") >= hot_rows).drop("__rows")
-    cold = keyed.filter(F.col("__rows") < hot_rows).drop("__rows")
-    same = F.col(key).eqNullSafe(F.col("__key"))
-    big = df.join(F.broadcast(hot), same, "inner")
-    small = df.join(F.broadcast(hot.select("__key")), same, "left_anti").join(cold, same, "inner")
-    return small.unionByName(big).drop("__key")
+    stats = df.groupBy(quoted(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows"), *[a.alias(n) for n, a in aggregates.items()])
+    salts = F.ceil(F.col("__rows") / rows_per_salt).cast("bigint")
+    several = stats.filter(F.col("__rows") > rows_per_salt).select(F.col("__key").alias("__hot"), salts.alias("__salts"))
+    copies = stats.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("__rows")
+    dealt = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__salts")), F.lit(0).cast("bigint"))
+    rows = df.join(F.broadcast(several), quoted(key).eqNullSafe(F.col("__hot")), "left").withColumn("__salt", dealt)
+    out = rows.join(copies, quoted(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__copy")))
+    return out.drop("__key", "__copy", "__hot", "__salts", "__salt")
 
 
 def code_set(column: Column, where: Column | None = None) -> Column:

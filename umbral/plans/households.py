@@ -10,7 +10,7 @@ from umbral.functions.recode import as_character, as_factor, recode, to_factor,
 from umbral.operators.aggregates import any_flag, mean_where, sum_or_zero
 from umbral.operators.columns import align_columns, drop_cols, mutate_across, quoted, select_all_of, tag
 from umbral.operators.joins import assemble_packs, left_join_key, left_join_project, right_join
-from umbral.operators.windows import code_set, explode_codes, rollup_distinct, union_by_name
+from umbral.operators.windows import LARGEST_CODE, code_set, explode_codes, rollup_distinct, union_by_name
 
 # Survey codes and their labels.
 TENURE = {
@@ -73,12 +73,16 @@ def person_status_vars(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_job_bonuses(df: DataFrame) -> DataFrame:
-    """Fill activity flags; amount 0 means no (train rows); yes/no codes to 0/1; size difference."""
+def clean_bonus_answers(df: DataFrame) -> DataFrame:
+    """Fill activity flags; amount 0 means no (train rows); yes/no codes to 0/1."""
     df = replace_na(df, dict.fromkeys(ACTIVITY, 0))
     stated = {f: zero_amount_means_no(F.col(f), F.col(a), F.col("train") == 1) for f, a in BONUS_AMOUNTS.items()}
-    df = yes_no_family(df.withColumns(stated), list(BONUS_AMOUNTS))
-    return df.withColumn("DiffNper", F.col("Nper") - F.col("Npersug"))
+    return yes_no_family(df.withColumns(stated), list(BONUS_AMOUNTS))
+
+
+def clean_job_bonuses(df: DataFrame) -> DataFrame:
+    """Cleaned answers of the joined survey, and the size difference."""
+    return clean_bonus_answers(df).withColumn("DiffNper", F.col("Nper") - F.col("Npersug"))
 
 
 def urban_flag(column: Column) -> Column:
@@ -86,15 +90,19 @@ def urban_flag(column: Column) -> Column:
     return r_ifelse(column == 2, 0, column)
 
 
-def job_bonus_rollup(df: DataFrame, clase: str = "Clase.x") -> DataFrame:
-    """Counts of job bonuses and their rates per head, one row per household."""
-    size = F.max("Npersug")
+def job_bonus_rollup(people: DataFrame, households: DataFrame, clase: str = "Clase") -> DataFrame:
+    """Counts of job bonuses and their rates per head, one row per household (and ``train``, class).
+
+    ``people`` are cleaned answers with ``nivel_educ``; they are added up by household before the sizes are joined, so no person row is.
+    """
     counts = {out: sum_or_zero(F.col(c)) for c, out in BONUS_COUNTS.items()}
-    rates = {f"{out}PP": safe_divide(sum_or_zero(F.col(c)), size) for c, out in BONUS_COUNTS.items()}
-    schooling = {"Educ_avg": safe_divide(sum_or_zero(F.col("nivel_educ")), size)}
-    rolled = rollup_distinct(df, "id", {**counts, **rates, **schooling}, codes=["train", clase])
-    rolled = rolled.withColumnRenamed(clase, "Cabecera")
-    return rolled.withColumn("Cabecera", urban_flag(F.col("Cabecera")))
+    rolled = rollup_distinct(people, "id", {**counts, "Educ_avg": sum_or_zero(F.col("nivel_educ"))}, codes=["train", clase])
+    sizes = households.groupBy("id").agg(F.max("Npersug").alias("__size"))
+    rolled = rolled.withColumnRenamed(clase, "Cabecera").join(sizes, "id", "left")
+    rates = {f"{out}PP": safe_divide(F.col(out), F.col("__size")) for out in BONUS_COUNTS.values()}
+    rates["Educ_avg"] = safe_divide(F.col("Educ_avg"), F.col("__size"))
+    out = rolled.withColumns({**rates, "Cabecera": urban_flag(F.col("Cabecera"))})
+    return out.select("id", "train", "Cabecera", *BONUS_COUNTS.values(), *[f"{o}PP" for o in BONUS_COUNTS.values()], "Educ_avg")
 
 
 def head_of_household(df: DataFrame, names: list[str]) -> DataFrame:
@@ -163,22 +171,38 @@ def labour_rollup(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(*[e.alias(n) for n, e in _labour(F.lit(True)).items()])
 
 
-def household_pack(df: DataFrame) -> DataFrame:
-    """Other income, labour and service workers per household, in one aggregate and one shuffle.
+PACK_MEASURES = (
+    "pensiones", "pension_alimenticia", "remesas_internas", "remesas_externas", "ayuda_instituciones", "inversiones", "cesantias", "otros_ingresos",
+    "prop_pet", "edad_pet", "tasa_ocupados", "tasa_inactivos", "servicio_trabajadores",
+)
+
 
-    Conditions inside the aggregates stand for the spending-unit filter, so the persons
-    are read once and nothing is joined. Households with nobody in the unit are left out.
+def household_measures(df: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """One row per household from one aggregate and one shuffle: the pack's measures, and ``more`` aggregates over all its persons.
+
+    Conditions inside the aggregates stand for the spending-unit filter, so the persons are read once and nothing is joined. ``__bits`` holds the classes of
+    the members; it is missing where nobody is in the spending unit.
     """
     answers = [*OTHER_INCOME, *ACTIVITY]
-    people = select_all_of(df, ["id", "Clase", "P6040", "P6050", *answers])
-    people = mutate_across(people, answers, yes_no).withColumn("__member", in_spending_unit())
+    people = mutate_across(df, answers, yes_no).withColumn("__member", in_spending_unit())
     member = F.col("__member")
-    size = F.count_if(member)
-    measures = {**_transfers(member, size), **_labour(member), "servicio_trabajadores": _service(F.col("P6050"))}
-    rolled = people.groupBy("id").agg(
-        code_set(F.col("Clase"), where=member).alias("__bits"), *[e.alias(n) for n, e in measures.items()]
-    )
-    return explode_codes(rolled.filter(F.col("__bits").isNotNull()), "__bits", "Clase").select("id", "Clase", *measures)
+    measures = {**_transfers(member, F.count_if(member)), **_labour(member), "servicio_trabajadores": _service(F.col("P6050"))}
+    every = {**measures, **(more or {})}
+    return people.groupBy("id").agg(code_set(F.col("Clase"), where=member).alias("__bits"), *[e.alias(n) for n, e in every.items()])
+
+
+def household_pack(df: DataFrame) -> DataFrame:
+    """Other income, labour and service workers per household and class. Households with nobody in the spending unit are left out."""
+    rolled = household_measures(df).filter(F.col("__bits").isNotNull())
+    return explode_codes(rolled, "__bits", "Clase").select("id", "Clase", *PACK_MEASURES)
+
+
+def attach_measures(base: DataFrame, rolled: DataFrame) -> DataFrame:
+    """``household_measures`` next to a household table; the pack's measures count where members have the household's class."""
+    joined = base.join(rolled, "id", "left")
+    place = F.coalesce(F.col("Clase"), F.lit(LARGEST_CODE + 1)).cast("int")
+    same = F.call_function("shiftright", F.col("__bits"), place).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    return joined.withColumns({m: F.when(same, F.col(m)) for m in PACK_MEASURES}).drop("__bits")
 
 
 def final_base(packs: list[DataFrame], households: DataFrame, role: str) -> DataFrame:

@@ -14,26 +14,63 @@ LEVELS = "levels"
 MOST_LEVELS = 10_000
 
 
-def read_survey(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header, matched to ``schema`` by name; ``NA`` and blank are missing.
+REJECTED = "__rejected"
 
-    The file may hold more columns, in any order. Only its first line is read up front.
-    """
+
+def _reader(spark: SparkSession, path: str, schema: T.StructType):
+    """A reader for the file's own columns in its own order, and their names."""
     header = spark.read.option("header", True).csv(path).columns
     types = {f.name: f.dataType for f in schema}
     absent = [n for n in types if n not in header]
     if absent:
         raise ValueError(f"columns not found in {path}: {absent}")
-    in_file = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-    reader = spark.read.schema(in_file).option("header", True).option("nullValue", "NA").option("emptyValue", "")
-    df = reader.option("enforceSchema", False).csv(path).select(*[quoted(n) for n in types])
-    blank = {n: F.nullif(F.nullif(F.trim(quoted(n)), F.lit("")), F.lit("NA")) for n, t in types.items() if t == T.StringType()}
+    in_file = [T.StructField(c, types.get(c, T.StringType())) for c in header]
+    reader = spark.read.option("header", True).option("nullValue", "NA").option("emptyValue", "").option("enforceSchema", False)
+    return reader, in_file
+
+
+def _named(df: DataFrame, schema: T.StructType) -> DataFrame:
+    df = df.select(*[quoted(f.name) for f in schema])
+    blank = {f.name: F.nullif(F.nullif(F.trim(quoted(f.name)), F.lit("")), F.lit("NA")) for f in schema if f.dataType == T.StringType()}
     return df.withColumns(blank) if blank else df
 
 
-def infer_schema(spark: SparkSession, path: str) -> T.StructType:
-    """For exploration only: a full pass over the file to guess its types."""
-    return spark.read.option("header", True).option("nullValue", "NA").option("inferSchema", True).csv(path).schema
+def read_survey(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV with a header, matched to ``schema`` by name; ``NA`` and blank are missing.
+
+    The file may hold more columns, in any order. Only its first line is read up front. An entry that cannot be read as its type is missing as well:
+    ``survey_rejects`` lists these.
+    """
+    reader, in_file = _reader(spark, path, schema)
+    return _named(reader.schema(T.StructType(in_file)).csv(path), schema)
+
+
+def survey_rejects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``(record, name, value)``: every entry of the file that ``read_survey`` could not read as its type, with its whole line.
+
+    The reader itself marks such lines; only these are looked at again, field by field. Fields a short line lacks are missing, not unreadable.
+    """
+    reader, in_file = _reader(spark, path, schema)
+    marked = T.StructType([*in_file, T.StructField(REJECTED, T.StringType())])
+    bad = reader.schema(marked).option("columnNameOfCorruptRecord", REJECTED).csv(path).filter(F.col(REJECTED).isNotNull())
+    texts = T.StructType([T.StructField(f"t{i}", T.StringType()) for i in range(len(in_file))])
+    bad = bad.withColumn("__texts", F.from_csv(REJECTED, texts.simpleString()[7:-1].replace(":", " ")))
+    entries = [F.lit(None).cast("struct<name:string,value:string>")]
+    for i, f in enumerate(in_file):
+        if f.dataType != T.StringType():
+            text = F.trim(F.col("__texts")[f"t{i}"])
+            given = text.isNotNull() & ~text.isin("", "NA") & quoted(f.name).isNull()
+            entries.append(F.when(given, F.struct(F.lit(f.name).alias("name"), text.alias("value"))))
+    found = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return bad.select(F.col(REJECTED).alias("record"), F.inline(found))
+
+
+def reject_counts(rejects: DataFrame, schema: T.StructType) -> DataFrame:
+    """``(name, n)`` of unreadable entries for every column that is not text, those without any included."""
+    names = [f.name for f in schema if f.dataType != T.StringType()]
+    counts = rejects.agg(*[F.count_if(F.col("name") == n).alias(f"c{i}") for i, n in enumerate(names)])
+    entries = [F.struct(F.lit(n).alias("name"), F.col(f"c{i}").alias("n")) for i, n in enumerate(names)]
+    return counts.select(F.inline(F.array(*entries)))
 
 
 def write_table_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
