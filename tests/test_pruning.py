@@ -152,3 +152,26 @@ def test_a_balanced_table_is_fitted(rows):
     found = learn(few, config, Fixed(discriminant.lda_diag))
     n = found.model.stages[-1].getOrDefault(found.model.stages[-1].counts)
     assert n[0] == n[1] == few.filter("c = 1").count()
+
+
+def test_a_path_learned_from_sums_is_that_of_prepared_rows(rows):
+    """Columns far from zero, a flat one and a factor: same terms, coefficients and scores as preparation and refit by Spark ML."""
+    df = rows.withColumns({"far": F.col("x1") * 3 + 1e6, "flat": F.lit(7.0), "f": F.concat(F.lit("l"), F.col("id") % 3)})
+    recipe = prep.Recipe(label="y", not_predictors=("id", "y", "c", "fold", "x1"))
+    path = lasso_path(4)
+    found = type(path)([0.001, 0.05, 0.3], [0.5, 1.0]).learn(df, recipe, "y")
+    slow = tuning.finalize_fit(df, recipe, lambda label, **m: models.linear_reg(label, tol=1e-12, solver="l-bfgs", **m), found.best, "y")
+    terms = {r.term: r.estimate for r in found.terms.collect()}
+    assert list(terms) == ["(Intercept)", *prep.feature_names(slow)] and "flat" not in terms
+    want = [slow.stages[-1].intercept, *slow.stages[-1].coefficients.toArray()]
+    assert list(terms.values()) == pytest.approx(want, abs=1e-5)
+    both = models.predict(found.model, df, name="a").select("id", "a").join(models.predict(slow, df, name="b").select("id", "b"), "id")
+    assert both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-4
+
+
+def test_a_learned_path_is_saved(spark, rows, tmp_path):
+    found = lasso_path(3).learn(rows, prep.Recipe(label="y", not_predictors=("id", "y", "c", "fold")), "y")
+    S.save_model(found.model, str(tmp_path / "m"))
+    missing = rows.withColumn("x0", F.when(F.col("id") != 5, F.col("x0")))
+    a, b = (models.predict(m, missing).select("id", "score").toPandas().sort_values("id").score for m in (found.model, S.load_model(str(tmp_path / "m"))))
+    assert a.equals(b) and a.isna().sum() == 1

@@ -16,9 +16,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector, Vectors
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_FEATURES = 4000
@@ -37,8 +42,11 @@ def rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def fold_sums(df: DataFrame, features: str, label: str, fold: str) -> dict[int, np.ndarray]:
-    """ZᵀZ of Z = [1, X, y] for each fold; the driver receives folds × (p + 2)² numbers."""
+def fold_sums(df: DataFrame, features: str, label: str, fold: str, shift: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """ZᵀZ of Z = [1, X − shift, y] for each fold; the driver receives folds × (p + 2)² numbers.
+
+    Any row's values are a good ``shift``: without it, variances of columns far from zero lose digits.
+    """
     first = df.select(features).first()
     if first is None:
         raise ValueError("no rows to learn from")
@@ -58,7 +66,8 @@ def fold_sums(df: DataFrame, features: str, label: str, fold: str) -> dict[int,
             if batch.num_rows == 0:
                 continue
             folds = batch.column("fold").to_numpy(zero_copy_only=False)
-            z = np.column_stack([np.ones(batch.num_rows), rows_of(batch, "x"), batch.column("y").to_numpy(zero_copy_only=False)])
+            x = rows_of(batch, "x")
+            z = np.column_stack([np.ones(batch.num_rows), x if shift is None else x - shift, batch.column("y").to_numpy(zero_copy_only=False)])
             for k in np.unique(folds):
                 part = z[folds == k]
                 sums[int(k)] = sums.get(int(k), 0.0) + part.T @ part
@@ -207,8 +216,11 @@ def tune_linear_path(
     Equal to fitting each candidate on each fold, at the cost of one pass. The small
     solves run as Spark tasks, one per fold and mixture.
     """
-    spark = df.sparkSession
-    sums = fold_sums(df, features, label, fold)
+    return tune_sums(df.sparkSession, fold_sums(df, features, label, fold), penalties, mixtures)
+
+
+def tune_sums(spark: SparkSession, sums: dict[int, np.ndarray], penalties: list[float], mixtures: list[float]) -> DataFrame:
+    """The same from the sums."""
     if len(sums) < 2:
         raise ValueError("need rows in at least two folds")
     shared = spark.sparkContext.broadcast(sums)
@@ -247,3 +259,39 @@ def fit_path(sums: dict[int, np.ndarray], penalty: float, mixture: float) -> np.
     total = sum(sums.values())
     s = Standardised.of(total)
     return s.raw(solve_path(s, mixture, [penalty])[penalty], total.shape[0] - 2)
+
+
+class ScaledLinearModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """A linear model of centred and scaled columns that reads them as they are; saved and loaded like any other stage."""
+
+    means = Param(Params._dummy(), "means", "centre of each column", TypeConverters.toListFloat)
+    deviations = Param(Params._dummy(), "deviations", "sample deviation of each column", TypeConverters.toListFloat)
+    slopes = Param(Params._dummy(), "slopes", "coefficients of the scaled columns", TypeConverters.toListFloat)
+    level = Param(Params._dummy(), "level", "prediction at the centre", TypeConverters.toFloat)
+
+    def __init__(self, means=(), deviations=(), slopes=(), level: float = 0.0, features: str = "features"):
+        super().__init__()
+        self._set(means=list(means), deviations=list(deviations), slopes=list(slopes), level=float(level), featuresCol=features)
+
+    @property
+    def coefficients(self) -> DenseVector:
+        """Of the scaled columns."""
+        return Vectors.dense(self.getOrDefault(self.slopes))
+
+    @property
+    def intercept(self) -> float:
+        return self.getOrDefault(self.level)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        slopes, means = self.coefficients.toArray(), np.array(self.getOrDefault(self.means))
+        weights = slopes / np.array(self.getOrDefault(self.deviations))
+        parts = F.zip_with(vector_to_array(self.getFeaturesCol()), F.lit(weights.tolist()), lambda x, w: x * w)
+        total = F.aggregate(parts, F.lit(float(self.intercept - weights @ means)), lambda a, b: a + b) if len(weights) else F.lit(self.intercept)
+        return df.withColumn(self.getPredictionCol(), total)
+
+
+def fit_scaled(sums: dict[int, np.ndarray], shift: np.ndarray, penalty: float, mixture: float, features: str) -> tuple[list[int], ScaledLinearModel]:
+    """Columns that vary, and the model of one candidate on them, from sums over ``X − shift``."""
+    s = Standardised.of(sum(sums.values()))
+    slopes = solve_path(s, mixture, [penalty])[penalty]
+    return s.kept.tolist(), ScaledLinearModel((s.mean + shift[s.kept]).tolist(), s.sd.tolist(), slopes.tolist(), s.y_mean, features)

@@ -214,16 +214,22 @@ class Recipe(Estimator):
             blocks.append(interaction_block(crossed, self.interact_factor, own))
         return DesignVector(terms, blocks, list(dict.fromkeys([*numeric, *factors, *crossed])), output)
 
-    def _fit(self, df: DataFrame) -> PipelineModel:
-        raw, varied = f"{self.output}_raw", f"{self.output}_varied"
+    def columns(self, df: DataFrame) -> tuple[list[Transformer], str]:
+        """The stages that make the vector of all terms that are not removed, and its name; only factor levels are learned."""
+        raw = f"{self.output}_raw"
         design = self.design(df, raw)
         terms = design.getOrDefault(design.terms)
         kept = [i for i, t in enumerate(terms) if t not in self.removed]
-        made = [design]
-        if len(kept) < len(terms):
-            made.append(VectorSlicer(inputCol=raw, outputCol=f"{raw}_kept", indices=kept))
-        last = f"{raw}_kept" if len(made) > 1 else raw
-        rows = PipelineModel(made).transform(df.filter(design.complete(df))).select(last)
+        if not kept:
+            raise ValueError("no predictor is left")
+        if len(kept) == len(terms):
+            return [design], raw
+        return [design, VectorSlicer(inputCol=raw, outputCol=f"{raw}_kept", indices=kept)], f"{raw}_kept"
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        varied = f"{self.output}_varied"
+        made, last = self.columns(df)
+        rows = PipelineModel(made).transform(df.filter(made[0].complete(df))).select(last)
         tail = [VarianceThresholdSelector(varianceThreshold=0.0, featuresCol=last, outputCol=varied)]
         if self.scale:
             last = f"{self.output}_scaled" if self.pca_threshold else self.output

@@ -10,15 +10,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame
 
 from umbral.learning.evaluate import coefficients
-from umbral.learning.gram import tune_linear_path
-from umbral.learning.models import CLASSIFICATION, linear_reg
+from umbral.learning.gram import fit_scaled, fold_sums, tune_sums
+from umbral.learning.models import CLASSIFICATION
 from umbral.learning.prep import Recipe, bake, feature_names, prep
 from umbral.learning.pruning import pruned_tree, tune_pruned_tree
 from umbral.learning.tuning import COST_COMPLEXITY, MIXTURE, PENALTY, Grid, collect_metrics, finalize_fit, select_best, tune_cv
-from umbral.session import kept
 
 #: What a score is: the event's probability, or the predicted number.
 PROBABILITY, NUMBER = "prob", "numeric"
@@ -46,20 +46,32 @@ def _small(metrics: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LinearPath:
-    """Penalised linear models, all candidates from one pass over the prepared rows. For a 0/1 label the predicted number is the score."""
+    """Penalised linear models, all candidates from one pass. For a 0/1 label the predicted number is the score.
+
+    That pass adds up products of columns per fold; which columns vary, how they are scaled, every candidate's error and the final fit all
+    follow from these sums, so besides factor levels the training table is read once. Components (PCA) are learned by the general preparation first.
+    """
 
     penalties: list[float] = field(default_factory=lambda: PENALTY.levels(50))
     mixtures: list[float] = field(default_factory=lambda: [1.0])
     score: str = NUMBER
 
     def learn(self, folded: DataFrame, recipe: Recipe, label: str) -> Learned:
-        prepared = prep(recipe, folded)
-        with kept(bake(prepared, folded, [label, "fold"])) as rows:
-            result = tune_linear_path(rows, "features", label, "fold", self.penalties, self.mixtures)
-            metrics = _small(collect_metrics(result))
-            best = select_best(metrics, "rmse")
-            model = linear_reg(label, best["penalty"], best["mixture"]).fit(rows)
-        whole = PipelineModel([*prepared.stages, model])
+        if recipe.pca_threshold:
+            stages = prep(recipe, folded).stages
+            rows, last = bake(PipelineModel(stages), folded, [label, "fold"]), recipe.output
+        else:
+            stages, last = recipe.columns(folded)
+            rows = bake(PipelineModel(stages), folded, [label, "fold"], last)
+        first = rows.select(last).first()
+        if first is None:
+            raise ValueError("no rows to learn from")
+        shift = first[0].toArray()
+        sums = fold_sums(rows, last, label, "fold", shift)
+        metrics = _small(collect_metrics(tune_sums(folded.sparkSession, sums, self.penalties, self.mixtures)))
+        best = select_best(metrics, "rmse")
+        varied, model = fit_scaled(sums, shift, best["penalty"], best["mixture"], f"{recipe.output}_varied")
+        whole = PipelineModel([*stages, VectorSlicer(inputCol=last, outputCol=f"{recipe.output}_varied", indices=varied), model])
         return Learned(whole, metrics, best, _terms(whole, folded))
 
 
