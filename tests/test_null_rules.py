@@ -111,5 +111,5 @@ def test_scores_that_are_no_numbers_are_no_calls(spark):
     m = evaluate.class_metrics(df, "y", "s").first()
     assert (m.recall, m.specificity, m.precision, m.auc) == (0.5, 1.0, 1.0, 1.0)
     assert tuple(evaluate.operating_point(df, "y", "s", 0.5).first()) == (0.5, 0.5, 0.0, 1.0)
-    found = tuning.measure(df.withColumnRenamed("s", "prediction"), "y", ["roc_auc", "sens", "precision", "log_loss"], CLASSIFICATION)
+    found = tuning.measure_scores(df.select(F.col("y").alias("label"), F.col("s").alias("s0")), 1, ["roc_auc", "sens", "precision", "log_loss"], CLASSIFICATION)[0]
     assert found["roc_auc"] == 1.0 and found["sens"] == 0.5 and found["precision"] == 1.0 and 0 < found["log_loss"] < 1

@@ -92,7 +92,7 @@ def f_measure(event: Column, called: Column) -> Column:
 
 def log_loss(event: Column, probability: Column) -> Column:
     p = F.least(F.greatest(probability, F.lit(LOG_FLOOR)), F.lit(1 - LOG_FLOOR))
-    return -F.avg(F.when(event, F.log(p)).otherwise(F.log1p(-p)))
+    return -F.avg(F.when(event, F.log(p)).when(~event, F.log1p(-p)))
 
 
 def f1(df: DataFrame, label: str, prediction: str, event=1) -> DataFrame:
@@ -155,6 +155,18 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return p.agg(safe_divide(F.sum(strip), F.max(F.col("all_pos").cast("double") * F.col("all_neg"))).alias("auc"))
 
 
+def auc_by(df: DataFrame, by: str, label: str, score: str) -> DataFrame:
+    """``(by, auc)``: the area for every value of a column (a few: candidates, folds), from one set of counts."""
+    known = scored(df, label, score).select(F.col(by), F.col(score).cast("double").alias("score"), F.col(label).alias("label"))
+    at = f"{RANGE}_score"
+    counts = place(known, ["score"]).groupBy(by, "score", at).agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
+    )
+    p = running_totals(counts, "score", ["pos", "neg"], by=by, descending=True, at=at)
+    strip = F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)
+    return p.groupBy(by).agg(safe_divide(F.sum(strip), F.max(F.col("all_pos").cast("double") * F.col("all_neg"))).alias("auc"))
+
+
 def roc_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
     """The curve's point closest to the top-left corner; ties go to the lowest cut-off."""
     gap = F.pow(1 - F.col("sensitivity"), F.lit(2.0)) + F.pow(1 - F.col("specificity"), F.lit(2.0))

@@ -9,8 +9,8 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml import Estimator, PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbral.learning import evaluate
@@ -87,25 +87,44 @@ AREA = "roc_auc"
 MOST_FOLDS = 1000
 
 
-def measure(predicted: DataFrame, label: str, metrics: list[str], kind: str) -> dict[str, float]:
-    """Metrics of a table with Spark ML's prediction columns; all but the area from one pass.
+def side_by_side(models: list[Model], held: DataFrame, label: str, kind: str) -> DataFrame:
+    """The label and one score column per model, ``s0, s1, …``: the event's probability (or the predicted number where there is none)."""
+    out, scores = held, []
+    for i, model in enumerate(models):
+        names = {model.getParam(p): f"__{p}{i}" for p in ("predictionCol", "probabilityCol", "rawPredictionCol") if model.hasParam(p)}
+        out = model.copy(names).transform(out)
+        probability = kind == CLASSIFICATION and f"__probabilityCol{i}" in out.columns
+        scores.append((event_probability(f"__probabilityCol{i}") if probability else F.col(f"__predictionCol{i}")).alias(f"s{i}"))
+    return out.select(F.col(label).alias("label"), *scores)
+
+
+def measure_all(models: list[Model], held: DataFrame, label: str, metrics: list[str], kind: str) -> list[dict[str, float]]:
+    """Metrics of every model on the same rows."""
+    return measure_scores(side_by_side(models, held, label, kind), len(models), metrics, kind)
+
+
+def measure_scores(table: DataFrame, n: int, metrics: list[str], kind: str) -> list[dict[str, float]]:
+    """Metrics of the scores ``s0 …`` against ``label``: all of them from one pass, all areas from one set of counts.
 
     Class metrics cover the rows whose score is a number, the area too, which is exact.
     """
-    out = {}
     plain = [m for m in metrics if m != AREA]
-    if kind == CLASSIFICATION:
-        value = event_probability() if "probability" in predicted.columns else F.col("prediction")
-        predicted = evaluate.scored(predicted.select(F.col(label), value.alias("__score")), label, "__score")
-        truth, score = F.col(label) == 1, F.col("__score")
-        found = {m: METRICS[m](truth, score if m == "log_loss" else score >= 0.5) for m in plain}
-    else:
-        found = {m: METRICS[m](F.col(label), F.col("prediction")) for m in plain}
-    if plain:
-        row = predicted.agg(*[c.alias(m) for m, c in found.items()]).first()
-        out = {m: row[m] for m in plain}
+    parts = []
+    for i in range(n):
+        score = F.col(f"s{i}")
+        if kind == CLASSIFICATION:
+            valid = F.col("label").isNotNull() & score.isNotNull() & ~F.isnan(score)
+            truth = F.when(valid, F.col("label") == 1)
+            parts += [METRICS[m](truth, score if m == "log_loss" else score >= 0.5).alias(f"{m}{i}") for m in plain]
+        else:
+            parts += [METRICS[m](F.col("label"), score).alias(f"{m}{i}") for m in plain]
+    row = table.agg(*parts).first() if parts else None
+    out = [{m: row[f"{m}{i}"] for m in plain} for i in range(n)]
     if AREA in metrics:
-        out[AREA] = evaluate.auc(predicted, label, "__score").first()[0]
+        entries = [F.struct(F.lit(i).alias("model"), F.col(f"s{i}").alias("score")) for i in range(n)]
+        areas = evaluate.auc_by(table.select("label", F.inline(F.array(*entries))), "model", "label", "score")
+        found = {r["model"]: r["auc"] for r in areas.collect()}
+        out = [{**o, AREA: found.get(i)} for i, o in enumerate(out)]
     return out
 
 
@@ -126,11 +145,13 @@ def tune_cv(
     kind: str,
     fold: str = "fold",
     parallelism: int = 4,
+    results: str | None = None,
 ) -> DataFrame:
     """Fit every candidate on every fold: ``(candidate, parameters…, fold, metric, value)``.
 
-    Preparation is learned once per fold, on its training rows only, and the prepared
-    rows are kept for all candidates of that fold.
+    Preparation is learned once per fold, on its training rows only, and the prepared rows are kept for all candidates of that fold, which
+    are judged together. With ``results``, a folder of the shared storage, each fold's rows are written there when they are known, and a run
+    that finds them (after the driver was lost) goes on with the next fold.
     """
     unknown = [m for m in metrics if m not in METRICS and m != AREA]
     wrong = [m for m in metrics if (m in REGRESSION_METRICS) == (kind == CLASSIFICATION)]
@@ -139,24 +160,33 @@ def tune_cv(
     folds = sorted(r[0] for r in df.select(fold).distinct().limit(MOST_FOLDS + 1).collect())
     if not 2 <= len(folds) <= MOST_FOLDS:
         raise ValueError(f"{len(folds)} folds")
-    rows = []
-    for k in folds:
+
+    def judged(k) -> list[dict]:
         train, held = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
         prepared = prep(recipe, train)
-        with kept(bake(prepared, train, [label])) as a, kept(bake(prepared, held, [label])) as b:
-
-            def try_one(numbered):
-                i, params = numbered
-                model = built(build, prepared, label, params).fit(a)
-                return [
-                    {"candidate": i, **params, "fold": int(k), "metric": m, "value": v if v is None else float(v)}
-                    for m, v in measure(model.transform(b), label, metrics, kind).items()
-                ]
-
-            with ThreadPool(parallelism) as pool:
-                for found in pool.map(try_one, list(enumerate(grid))):
-                    rows += found
-    return df.sparkSession.createDataFrame(rows)
+        with kept(bake(prepared, train, [label])) as rows, ThreadPool(parallelism) as pool:
+            models = pool.map(lambda params: built(build, prepared, label, params).fit(rows), grid)
+        found = measure_all(models, bake(prepared, held, [label]), label, metrics, kind)
+        return [
+            {"candidate": i, **params, "fold": int(k), "metric": m, "value": v if v is None else float(v)}
+            for i, (params, values) in enumerate(zip(grid, found, strict=True))
+            for m, v in values.items()
+        ]
+
+    spark = df.sparkSession
+    if results is None:
+        return spark.createDataFrame([r for k in folds for r in judged(k)])
+    for k in folds:
+        path = f"{results}/part-{k}"
+        if not _written(spark, path):
+            spark.createDataFrame(judged(k)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(*[f"{results}/part-{k}" for k in folds])
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """True if a table was written there to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def cv_class_metrics(df: DataFrame, recipe: Recipe, build: Callable[..., Estimator], grid: Grid, label: str, **more) -> DataFrame:
