@@ -128,12 +128,21 @@ def test_trees_beat_the_mean(table, build):
     assert out.e < 0.5 * out.v
 
 
-def test_dense_ranges_beat_the_mean(table):
-    scaled = prep.prep(prep.Recipe(numeric=[f"x{i}" for i in range(P)], factors=[]), table.drop("features"))
-    rows = prep.bake(scaled, table.drop("features"), ["id", "y"])
-    model = dense.fit_dense_bins(rows, "y", width=P, hidden=(8,), epochs=40)
-    out = model.transform(rows).select(F.avg(F.pow(F.col("y") - F.col("prediction"), 2)).alias("e"), F.var_pop("y").alias("v")).first()
-    assert out.e < 0.7 * out.v
+def test_dense_ranges_beat_the_mean_and_are_saved(table, tmp_path):
+    names = [f"x{i}" for i in range(P)]
+    df = table.drop("features")
+    model = tuning.finalize_fit(df, prep.Recipe(numeric=names, factors=[]), dense.dense_regressor, {"hidden": (8,), "epochs": 40}, "y")
+    S.save_model(model, str(tmp_path / "m"))
+    for fitted in (model, S.load_model(str(tmp_path / "m"))):
+        out = models.predict(fitted, df).select(F.avg(F.pow(F.col("y") - F.col("score"), 2)).alias("e"), F.var_pop("y").alias("v")).first()
+        assert out.e < 0.7 * out.v
+
+
+def test_pairs_are_judged_as_in_the_whole_grid(table):
+    whole = {(r.penalty, r.mixture, r.fold): r.value for r in gram.tune_linear_path(table, "features", "y", "fold", [0.01, 0.2], [0.3, 1.0]).collect()}
+    some = gram.tune_linear_path(table, "features", "y", "fold", [], [], [(0.2, 0.3), (0.01, 1.0), (0.2, 0.3)]).collect()
+    assert len(some) == 6 and {r.candidate for r in some} == {0, 1}
+    assert all(r.value == pytest.approx(whole[r.penalty, r.mixture, r.fold]) for r in some)
 
 
 def test_recipe_terms_levels_and_missing(spark):

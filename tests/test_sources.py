@@ -48,3 +48,30 @@ def test_unreadable_entries_are_reported_by_column(spark, tmp_path):
     (tmp_path / "b.csv").write_text("id,n,x\na,1,2.0\n")
     clean = S.survey_rejects(spark, str(tmp_path / "b.csv"), SMALL)
     assert clean.collect() == [] and {r.n for r in S.reject_counts(clean, SMALL).collect()} == {0}
+
+
+def test_bucketed_snapshots_join_where_they_lie(spark):
+    from umbral.operators.joins import assemble_packs
+
+    tables = {
+        "base": spark.range(300).selectExpr("id", "CAST(IF(id % 9 = 0, NULL, id % 2) AS INT) AS Clase", "CAST(id % 3 AS STRING) AS f"),
+        "size": spark.range(0, 300, 2).selectExpr("id", "id * 2 AS n"),
+        "pack": spark.range(300).selectExpr("id", "CAST(IF(id % 9 = 0, NULL, id % 4) AS INT) AS Clase", "id + 1 AS m"),
+        "rate": spark.range(0, 300, 3).selectExpr("id", "id / 7 AS r"),
+    }
+    loaded = []
+    for name, df in tables.items():
+        path = scratch_path(spark, name)
+        S.save_bucketed(df, path, "id", 4, factors=["f"] if name == "base" else [])
+        loaded.append(S.load_bucketed(spark, path, "id", 4))
+    assert S.levels_of(loaded[0], "f") == ["0", "1", "2"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = assemble_packs(*loaded)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        key = lambda r: r.id
+        assert sorted(joined.collect(), key=key) == sorted(assemble_packs(*tables.values()).collect(), key=key)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

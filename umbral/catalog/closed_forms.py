@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from umbral.catalog.learning import homes
 from umbral.catalog.registry import query, r6, rounded
 from umbral.learning import evaluate, models, prep
+from umbral.session import scratch_path
+from umbral.sources import tables as S
 from umbral.sources.views import view_sql
 
 _ROWS = view_sql("hogares") + (
@@ -82,13 +84,25 @@ def pca_two(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("id", r6(F.pow(F.col("p")[0], 2)).alias("first"), r6(F.pow(F.col("p")[1], 2)).alias("second"))
 
 
-@query(
+_GAINS = (
+
     _ROWS + ", gains AS (SELECT 'x' AS name, SUM(n * m * m) AS gain FROM (SELECT COUNT(*) AS n, AVG(y) AS m FROM t GROUP BY x) AS i UNION ALL "
     "SELECT 'w', SUM(n * m * m) FROM (SELECT COUNT(*) AS n, AVG(y) AS m FROM t GROUP BY w) AS j) "
     "SELECT name AS \"Variable\", CASE WHEN gain = (SELECT MAX(gain) FROM gains) THEN 1.0e0 ELSE 0.0e0 END AS \"Importance\" FROM gains"
 )
+
+
+@query(_GAINS)
 def importance_stump(spark: SparkSession, sf: str) -> DataFrame:
     """One split: all importance is on the column it uses."""
     df = prep.design_matrix(_table(spark, sf), ["x", "w"])
     model = models.decision_tree("y", tree_depth=1, min_n=1).fit(df)
     return evaluate.importance(spark, ["x", "w"], model)
+
+
+@query(_GAINS)
+def importance_file_stump(spark: SparkSession, sf: str) -> DataFrame:
+    """The same table written as a file and read back."""
+    path = scratch_path(spark, "importance")
+    S.write_importance(importance_stump(spark, sf), path)
+    return spark.read.schema("Variable string, Importance double").option("header", True).csv(path)

@@ -70,15 +70,6 @@ def normalize(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(prep.normalize(df, prep.learn_scale(df, ["P5130", "P5000"])), "P5130", "P5000")
 
 
-@query(H + "SELECT id, P5000, P5130 FROM hogares")
-def remove_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Drops what a term table holds at 0, here columns not linked to the rent by construction."""
-    df = hogares(spark, sf).select("id", "P5000", "P5130", "Fex_c")
-    linked = df.agg(F.max("P5000").alias("P5000"), F.max("P5130").alias("P5130"), (F.min("Fex_c") - F.min("Fex_c")).alias("Fex_c"))
-    terms = linked.select(*[F.col(c).cast("double").alias(c) for c in linked.columns]).unpivot([], linked.columns, "term", "estimate")
-    return prep.remove_terms(df, [*evaluate.dropped_names(terms), "unknown"])
-
-
 @query(H + "SELECT id, P5130::DOUBLE AS x0, P5000::DOUBLE AS x1, Npersug::DOUBLE AS x2 FROM hogares")
 def design_matrix(spark: SparkSession, sf: str) -> DataFrame:
     df = prep.design_matrix(hogares(spark, sf), ["P5130", "P5000", "Npersug"]).withColumn("x", vector_to_array("features"))
@@ -170,6 +161,38 @@ def _one_predictor_sql(penalty: float, mixture: float) -> str:
     )
 
 
+_STAYS = ["P5000", "P5130", "Fex_c"]
+
+
+@query(
+    f"{_HOMES} SELECT id, name, value FROM ("
+    + " UNION ALL ".join(
+        f"SELECT id, '{c}' AS name, {c}::DOUBLE AS value, (SELECT abs(covar_pop({c}, lIngpcug) / stddev_samp({c})) > 0.05 FROM homes) AS stays FROM homes" for c in _STAYS
+    )
+    + ") u WHERE stays"
+)
+def remove_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Drops the columns on which a lasso alone has slope 0: those whose pull is below the penalty."""
+    df = homes(spark, sf)
+    fits = [_terms(spark, [c], models.lasso("lIngpcug", 0.05, solver="l-bfgs", tol=1e-12).fit(_vector(df, c))) for c in _STAYS]
+    terms = fits[0].unionByName(fits[1]).unionByName(fits[2]).filter("term != '(Intercept)'")
+    left = prep.remove_terms(df.select("id", *_STAYS), [*evaluate.dropped_names(terms), "unknown"])
+    names = [c for c in left.columns if c != "id"]
+    return left.select("id", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["id"], names, "name", "value")
+
+
+@query(
+    H + "SELECT id, P5000::DOUBLE AS x0, P5130::DOUBLE AS x1, "
+    + ", ".join(f"CASE WHEN Depto = '{v}' THEN 1 ELSE 0 END::DOUBLE AS x{i + 2}" for i, v in enumerate(_REGIONS)) + " FROM hogares WHERE P5140 IS NOT NULL"
+)
+def formula_default(spark: SparkSession, sf: str) -> DataFrame:
+    """Every number and text that has no other role is a predictor; incomplete rows are left out."""
+    df = hogares(spark, sf).filter("P5140 IS NOT NULL").select("id", "Pobre", "P5000", "Depto", "P5130")
+    prepared = prep.prep(prep.Recipe(label="Pobre", scale=False), df)
+    rows = prep.bake(prepared, df, ["id"]).withColumn("x", vector_to_array("features"))
+    return rows.select("id", *[F.col("x")[i].alias(f"x{i}") for i in range(6)])
+
+
 def _one_predictor(spark: SparkSession, sf: str, model) -> DataFrame:
     return _terms(spark, ["P5130"], model.fit(_vector(homes(spark, sf).filter("train = 1"), "P5130")))
 
@@ -208,6 +231,37 @@ def logit(spark: SparkSession, sf: str) -> DataFrame:
     return _terms(spark, ["large"], models.logit("Pobre", tol=1e-12, maxIter=500).fit(_vector(df, "large")))
 
 
+_TWO_FITS = [("lIngpcug", 0.05, 1.0), ("lIngpcug", 0.5, 0.0), ("lIngpcug", 0.2, 0.3), ("lIngpcug", 0.6, 1.0), ("Pobre", 0.02, 1.0), ("Pobre", 0.1, 0.5), ("Pobre", 0.3, 0.0)]
+
+
+@query(
+    f"{_HOMES}, t AS (SELECT P5130 AS x1, P5130 / 50 + Npersug AS x2, lIngpcug, Pobre::DOUBLE AS Pobre FROM homes), "
+    "long AS (SELECT x1, x2, 'lIngpcug' AS label, lIngpcug AS y FROM t UNION ALL SELECT x1, x2, 'Pobre', Pobre FROM t), "
+    "s AS (SELECT label, (COUNT(*) - 1.0::DOUBLE) / COUNT(*) AS g, AVG(x1) AS m1, AVG(x2) AS m2, AVG(y) AS my, stddev_samp(x1) AS d1, stddev_samp(x2) AS d2, stddev_samp(y) AS sy, "
+    "covar_pop(x1, x2) / stddev_samp(x1) / stddev_samp(x2) AS r, covar_pop(x1, y) / stddev_samp(x1) AS c1, covar_pop(x2, y) / stddev_samp(x2) AS c2 FROM long GROUP BY label), "
+    f"f(label, penalty, mixture) AS (VALUES {', '.join(f"('{a}', {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in _TWO_FITS)}), "
+    "k AS (SELECT *, penalty * mixture AS l1, g + penalty * (1 - mixture) / sy AS h FROM s JOIN f USING (label)), "
+    "signs(s1, s2) AS (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)), "
+    "tried AS (SELECT k.*, 0 AS kind, (h * (c1 - l1 * s1) - r * (c2 - l1 * s2)) / (h * h - r * r) AS b1, (h * (c2 - l1 * s2) - r * (c1 - l1 * s1)) / (h * h - r * r) AS b2, s1, s2 FROM k, signs "
+    "UNION ALL SELECT k.*, 1, sign(c1) * greatest(abs(c1) - l1, 0) / h, 0, 0, 0 FROM k UNION ALL SELECT k.*, 2, 0, sign(c2) * greatest(abs(c2) - l1, 0) / h, 0, 0 FROM k), "
+    "fit AS (SELECT * FROM tried WHERE CASE kind WHEN 0 THEN sign(b1) = s1 AND sign(b2) = s2 WHEN 1 THEN abs(c2 - r * b1) <= l1 ELSE abs(c1 - r * b2) <= l1 END "
+    "QUALIFY row_number() OVER (PARTITION BY label, penalty, mixture ORDER BY kind) = 1) "
+    "SELECT label, penalty, mixture, term, round(CASE term WHEN 'x1' THEN b1 / d1 WHEN 'x2' THEN b2 / d2 ELSE my - b1 / d1 * m1 - b2 / d2 * m2 END, 3) + 0.0 AS estimate "
+    "FROM fit, (VALUES ('(Intercept)'), ('x1'), ('x2')) v(term)"
+)
+def penalised_two(spark: SparkSession, sf: str) -> DataFrame:
+    """Lasso, ridge, elastic net and linear probability on two predictors that go together."""
+    df = homes(spark, sf).withColumns({"x1": F.col("P5130"), "x2": F.col("P5130") / 50 + F.col("Npersug")})
+    rows = _vector(df, "x1", "x2")
+    out = None
+    for label, penalty, mixture in _TWO_FITS:
+        build = models.linear_probability if label == "Pobre" else models.elastic_net
+        terms = evaluate.coefficients(spark, ["x1", "x2"], build(label, penalty, mixture, solver="l-bfgs", tol=1e-12, maxIter=1000).fit(rows))
+        named = terms.select(F.lit(label).alias("label"), F.lit(penalty).alias("penalty"), F.lit(mixture).alias("mixture"), "term", r6("estimate", 3).alias("estimate"))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 _PREDICTORS = ["P5000", "P5090", "P5130", "Npersug"]
 
 
@@ -305,12 +359,7 @@ def dense_class(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def dense_reg(spark: SparkSession, sf: str) -> DataFrame:
-    df = homes(spark, sf).select("id", "train", "Depto", "lIngpcug", *_PREDICTORS)
-    prepared = prep.prep(_recipe("lIngpcug"), df.filter("train = 1"))
-    rows = prep.bake(prepared, df, ["id", "train", "lIngpcug"])
-    width = len(prep.feature_names(prepared))
-    model = net.fit_dense_bins(rows.filter("train = 1"), "lIngpcug", width=width, hidden=(32, 32))
-    return model.transform(rows.filter("train = 0"), name="score").select("id", "score")
+    return _test_scores(spark, sf, "lIngpcug", net.dense_regressor, "numeric", hidden=(32, 32))
 
 
 @query(H + "SELECT COUNT(*) AS n_rows, 0::BIGINT AS n_different FROM hogares WHERE train = 0")
@@ -457,11 +506,10 @@ def grid_random(spark: SparkSession, sf: str) -> DataFrame:
     """Random penalties and mixtures, all judged from one pass over the data."""
     df = kfold(homes(spark, sf).filter("train = 1"), 5, "id", 123)
     prepared = prep.prep(_recipe("lIngpcug"), df)
-    grid = tuning.grid_random(6, 123, penalty=tuning.PENALTY, mixture=tuning.MIXTURE)
+    grid = tuning.grid_random(50, 123, penalty=tuning.PENALTY, mixture=tuning.MIXTURE)
     rows = prep.bake(prepared, df, ["lIngpcug", "fold"])
-    out = gram.tune_linear_path(rows, "features", "lIngpcug", "fold", [g["penalty"] for g in grid], [g["mixture"] for g in grid])
-    drawn = F.concat(*[F.array(*[F.struct(F.lit(g["penalty"]).alias("penalty"), F.lit(g["mixture"]).alias("mixture")) for g in grid])])
-    return tuning.collect_metrics(out.filter(F.array_contains(drawn, F.struct("penalty", "mixture"))))
+    pairs = [(g["penalty"], g["mixture"]) for g in grid]
+    return tuning.collect_metrics(gram.tune_linear_path(rows, "features", "lIngpcug", "fold", [], [], pairs))
 
 
 @query()

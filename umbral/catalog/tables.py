@@ -211,6 +211,23 @@ def assemble_packs(spark: SparkSession, sf: str) -> DataFrame:
     return J.assemble_packs(hogares(spark, sf).select("id", "Clase", "Dominio"), sizes, bonuses)
 
 
+@query(
+    PH + "SELECT h.id, h.Clase, h.Dominio, s.n_people, b.n_primas FROM hogares h LEFT JOIN (SELECT id, COUNT(*) AS n_people FROM personas GROUP BY id) s ON h.id = s.id "
+    "LEFT JOIN (SELECT id, Clase, COUNT(*) FILTER (WHERE P6545 = 1) AS n_primas FROM personas GROUP BY id, Clase) b ON h.id = b.id AND h.Clase = b.Clase"
+)
+def bucketed_packs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same star over snapshots that lie by household, which join without a shuffle."""
+    people = personas(spark, sf)
+    sizes = people.groupBy("id").agg(F.count(F.lit(1)).alias("n_people"))
+    bonuses = people.groupBy("id", "Clase").agg(F.count_if(F.col("P6545") == 1).alias("n_primas"))
+    loaded, buckets = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, table in (("base", hogares(spark, sf).select("id", "Clase", "Dominio")), ("sizes", sizes), ("bonuses", bonuses)):
+        path = scratch_path(spark, name)
+        S.save_bucketed(table, path, "id", buckets)
+        loaded.append(S.load_bucketed(spark, path, "id", buckets))
+    return J.assemble_packs(*loaded)
+
+
 @query(
     P + "SELECT id, Orden, P6040, SUM(P6040) OVER (PARTITION BY id)::BIGINT AS age_sum, round(AVG(P6040) OVER (PARTITION BY id), 6) AS age_mean, "
     "COUNT(*) OVER (PARTITION BY id) AS members FROM personas"

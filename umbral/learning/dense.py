@@ -2,45 +2,55 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 1
 
 
-@dataclass
-class DenseBins:
-    """The network's probabilities of the ranges, and the mean outcome of each."""
+class ExpectedOutcome(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """The mean outcome over all ranges, weighted by the network's probabilities."""
+
+    means = Param(Params._dummy(), "means", "mean outcome of each range", TypeConverters.toListFloat)
+    output = Param(Params._dummy(), "output", "name of the prediction", TypeConverters.toString)
 
-    network: object
-    means: list[float]
+    def __init__(self, means=(), output: str = "prediction"):
+        super().__init__()
+        self._set(means=list(means), output=output)
 
-    def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        """Add the expected outcome over all ranges."""
-        found = vector_to_array("__p")
-        value = sum((found[k] * m for k, m in enumerate(self.means)), F.lit(0.0))
-        scored = self.network.transform(df)
-        return scored.withColumn(name, value).drop("__p", "__raw", "__class")
+    def _transform(self, df: DataFrame) -> DataFrame:
+        parts = F.zip_with(vector_to_array("__p"), F.lit(self.getOrDefault(self.means)), lambda p, m: p * m)
+        value = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
+        return df.withColumn(self.getOrDefault(self.output), value).drop("__p", "__raw", "__class")
 
 
-def fit_dense_bins(
-    df: DataFrame, label: str, width: int, hidden: tuple[int, ...] = (150, 150), ranges: int = 10, epochs: int = 30, features: str = "features"
-) -> DenseBins:
-    """Cut the outcome into ``ranges`` of equal size and let a dense network tell them apart.
+class DenseRegressor(Estimator):
+    """Cut the outcome into ``ranges`` of equal size and let a dense network of Spark ML tell them apart.
 
-    Spark ML has no dense regressor; the expected mean of the ranges is a number again.
+    Spark ML has no dense regressor; the expected mean of the ranges is a number again. The fitted stages are saved and loaded like any others.
     """
-    known = df.filter(F.col(label).isNotNull())
-    binned = QuantileDiscretizer(numBuckets=ranges, inputCol=label, outputCol="__bin").fit(known).transform(known)
-    means = {int(r[0]): float(r[1]) for r in binned.groupBy("__bin").agg(F.avg(label)).collect()}
-    last = max(means)
-    network = MultilayerPerceptronClassifier(
-        featuresCol=features, labelCol="__bin", layers=[width, *hidden, last + 1], maxIter=epochs, seed=SEED,
-        probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__class",
-    )
-    return DenseBins(network.fit(binned), [means.get(k, 0.0) for k in range(last + 1)])
+
+    def __init__(self, label: str, width: int, hidden: tuple[int, ...] = (150, 150), ranges: int = 10, epochs: int = 30, features: str = "features"):
+        super().__init__()
+        self.label, self.layers, self.ranges, self.epochs, self.features = label, (width, *hidden), ranges, epochs, features
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        known = df.filter(F.col(self.label).isNotNull())
+        binned = QuantileDiscretizer(numBuckets=self.ranges, inputCol=self.label, outputCol="__bin").fit(known).transform(known)
+        means = {int(r[0]): float(r[1]) for r in binned.groupBy("__bin").agg(F.avg(self.label)).collect()}
+        last = max(means)
+        network = MultilayerPerceptronClassifier(
+            featuresCol=self.features, labelCol="__bin", layers=[*self.layers, last + 1], maxIter=self.epochs, seed=SEED,
+            probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__class",
+        )
+        return PipelineModel([network.fit(binned), ExpectedOutcome([means.get(k, 0.0) for k in range(last + 1)])])
+
+
+def dense_regressor(label: str, width: int, **more) -> DenseRegressor:
+    return DenseRegressor(label, width, **more)

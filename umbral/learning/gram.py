@@ -209,23 +209,29 @@ def held_out_rmse(m: np.ndarray, beta: np.ndarray) -> float:
 
 
 def tune_linear_path(
-    df: DataFrame, features: str, label: str, fold: str, penalties: list[float], mixtures: list[float]
+    df: DataFrame, features: str, label: str, fold: str, penalties: list[float], mixtures: list[float], pairs: list[tuple[float, float]] | None = None
 ) -> DataFrame:
     """Held-out RMSE of every (penalty, mixture) on every fold: ``(candidate, penalty, mixture, fold, metric, value)``.
 
     Equal to fitting each candidate on each fold, at the cost of one pass. The small
     solves run as Spark tasks, one per fold and mixture.
     """
-    return tune_sums(df.sparkSession, fold_sums(df, features, label, fold), penalties, mixtures)
+    return tune_sums(df.sparkSession, fold_sums(df, features, label, fold), penalties, mixtures, pairs)
 
 
-def tune_sums(spark: SparkSession, sums: dict[int, np.ndarray], penalties: list[float], mixtures: list[float]) -> DataFrame:
-    """The same from the sums."""
+def tune_sums(
+    spark: SparkSession, sums: dict[int, np.ndarray], penalties: list[float], mixtures: list[float], pairs: list[tuple[float, float]] | None = None
+) -> DataFrame:
+    """The same from the sums. ``pairs`` of penalty and mixture stand for every penalty with every mixture."""
     if len(sums) < 2:
         raise ValueError("need rows in at least two folds")
     shared = spark.sparkContext.broadcast(sums)
-    pairs = [(p, m) for m in mixtures for p in penalties]
+    pairs = pairs if pairs is not None else [(p, m) for m in mixtures for p in penalties]
+    pairs = list(dict.fromkeys((float(p), float(m)) for p, m in pairs))
     number = {pair: i for i, pair in enumerate(pairs)}
+    paths: dict[float, list[float]] = {}
+    for p, m in pairs:
+        paths.setdefault(m, []).append(p)
 
     def solve(batches):
         parts = shared.value
@@ -234,7 +240,7 @@ def tune_sums(spark: SparkSession, sums: dict[int, np.ndarray], penalties: list[
             for job in pdf.itertuples(index=False):
                 train, held = total - parts[job.fold], parts[job.fold]
                 s = Standardised.of(train)
-                path = solve_path(s, job.mixture, penalties)
+                path = solve_path(s, job.mixture, paths[job.mixture])
                 width = train.shape[0] - 2
                 yield pd.DataFrame(
                     {
@@ -247,8 +253,8 @@ def tune_sums(spark: SparkSession, sums: dict[int, np.ndarray], penalties: list[
                     }
                 )
 
-    jobs = spark.createDataFrame([(k, float(m)) for m in mixtures for k in sums], "fold int, mixture double")
-    spread = jobs.repartition(min(len(sums) * len(mixtures), 4 * spark.sparkContext.defaultParallelism))
+    jobs = spark.createDataFrame([(k, m) for m in paths for k in sums], "fold int, mixture double")
+    spread = jobs.repartition(min(len(sums) * len(paths), 4 * spark.sparkContext.defaultParallelism))
     return spread.mapInPandas(
         solve, "candidate int, penalty double, mixture double, fold int, metric string, value double"
     )

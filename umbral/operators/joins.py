@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import warnings
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,20 +27,20 @@ def join_indicator(left: DataFrame, right: DataFrame, on: list[str], name: str =
 
 
 def left_join_natural(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join on every shared name; outside the row keys a missing value matches a missing one."""
+    """Join on every shared name; outside the row keys a missing value matches a missing one.
+
+    Rows meet by the row keys alone, the other names are compared on the pair: tables that lie by their row key stay where they are.
+    """
     shared = [c for c in left.columns if c in right.columns]
+    keys, extra = [c for c in shared if c in ROW_KEYS], [c for c in shared if c not in ROW_KEYS]
     if not shared:
         raise ValueError("the two tables share no column")
-    extra = [c for c in shared if c not in ROW_KEYS]
-    if extra:
-        warnings.warn(f"natural join also matches on {extra}", stacklevel=2)
     renamed = right.withColumnsRenamed({c: f"__right_{c}" for c in shared})
-    condition = None
-    for c in shared:
-        a, b = quoted(c), quoted(f"__right_{c}")
-        test = a.eqNullSafe(b) if c in extra else a == b
-        condition = test if condition is None else condition & test
-    return left.join(renamed, condition, "left").drop(*[f"__right_{c}" for c in shared])
+    pairs = {c: (quoted(c), quoted(f"__right_{c}")) for c in shared}
+    tests = [pairs[c][0] == pairs[c][1] for c in keys]
+    # Without a row key the rows must meet by what they share.
+    tests += [F.when(a.isNull(), b.isNull()).otherwise(F.coalesce(a == b, F.lit(False))) if keys else a.eqNullSafe(b) for a, b in (pairs[c] for c in extra)]
+    return left.join(renamed, reduce(lambda x, y: x & y, tests), "left").drop(*[f"__right_{c}" for c in shared])
 
 
 def left_join_project(left: DataFrame, right: DataFrame, columns: list[str], on: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +105,32 @@ def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_bucketed(df: DataFrame, path: str, key: str, buckets: int, factors: list[str] = ()) -> None:
+    """A snapshot whose rows lie by ``key``: one sorted file for each of ``buckets``, so that tables with as many buckets join without a shuffle.
+
+    A key that holds very many rows fills its bucket's file; household tables have one row per key.
+    """
+    for name, values in learn_levels(df, list(factors)).items():
+        df = df.withMetadata(name, {**df.schema[name].metadata, LEVELS: values})
+    table = f"bucketed_{uuid.uuid4().hex}"
+    placed = df.repartition(buckets, quoted(key)).write.bucketBy(buckets, key).sortBy(key)
+    placed.option("path", path).saveAsTable(table)
+    df.sparkSession.sql(f"DROP TABLE {table}")  # the files stay: a table with a path of its own
+
+
+def load_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """The snapshot with its layout, which a session has to be told."""
+    plain = spark.read.parquet(path)
+    table = f"bucketed_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    df = spark.table(table)
+    for f in plain.schema:
+        if f.metadata:
+            df = df.withMetadata(f.name, f.metadata)
+    return df
+
+
 def levels_of(df: DataFrame, name: str) -> list[str]:
     """Levels stored with a factor, in order; empty for a plain column."""
     return list(df.schema[name].metadata.get(LEVELS, []))
