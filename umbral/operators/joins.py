@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -26,8 +27,8 @@ def join_indicator(left: DataFrame, right: DataFrame, on: list[str], name: str =
     return marked.withColumn(name, F.when(quoted(name).isNull(), "left_only").otherwise("both"))
 
 
-def left_join_natural(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join on every shared name; outside the row keys a missing value matches a missing one.
+def left_join_natural(left: DataFrame, right: DataFrame, meant: bool = False) -> DataFrame:
+    """Join on every shared name; outside the row keys a missing value matches a missing one, with a warning unless that is ``meant``.
 
     Rows meet by the row keys alone, the other names are compared on the pair: tables that lie by their row key stay where they are.
     """
@@ -35,6 +36,8 @@ def left_join_natural(left: DataFrame, right: DataFrame) -> DataFrame:
     keys, extra = [c for c in shared if c in ROW_KEYS], [c for c in shared if c not in ROW_KEYS]
     if not shared:
         raise ValueError("the two tables share no column")
+    if extra and not meant:
+        warnings.warn(f"natural join also matches on {extra}", stacklevel=2)
     renamed = right.withColumnsRenamed({c: f"__right_{c}" for c in shared})
     pairs = {c: (quoted(c), quoted(f"__right_{c}")) for c in shared}
     tests = [pairs[c][0] == pairs[c][1] for c in keys]
@@ -61,5 +64,5 @@ def assemble_packs(base: DataFrame, *packs: DataFrame, on: str = "id") -> DataFr
     """Star of left joins on the household key; other names two tables share must match too."""
     for pack in packs:
         shared = [c for c in pack.columns if c in base.columns and c != on]
-        base = left_join_natural(base, pack) if shared else base.join(pack, on, "left")
+        base = left_join_natural(base, pack, meant=True) if shared else base.join(pack, on, "left")
     return base
