@@ -21,6 +21,12 @@ _KIND[65:91] = _KIND[97:123] = _LETTER
 _KIND[48:58] = _DIGIT
 _UNSAFE = np.zeros(256, bool)
 _UNSAFE[128:] = _UNSAFE[39] = _UNSAFE[60] = True
+#: The letters U+00C0 to U+00FF (but two signs among them) are this byte and one of the others.
+_LEAD = 0xC3
+_FOLLOWS = np.zeros(256, bool)
+_FOLLOWS[0x80:0xC0] = True
+_FOLLOWS[0x97] = _FOLLOWS[0xB7] = False
+_LAST_LETTER = "\u00ff"
 
 
 def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,10 +38,15 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before, after = np.r_[False, inside[:-1]][: len(data)], np.r_[inside[1:], False][: len(data)]
     start = np.flatnonzero(inside & (~before | cuts[:-1]))
     end = np.flatnonzero(inside & (~after | cuts[1:])) + 1
-    unsafe = np.r_[0, np.cumsum(_UNSAFE[data])]
+    unsafe, kinds = _UNSAFE[data], _KIND[data]
+    lead = np.flatnonzero(data[:-1] == _LEAD)
+    lead = lead[_FOLLOWS[data[lead + 1]]]
+    unsafe[lead] = unsafe[lead + 1] = False
+    kinds[lead] = kinds[lead + 1] = _LETTER
+    unsafe = np.r_[0, np.cumsum(unsafe, dtype=np.int32)]
     whole = np.repeat(unsafe[end] > unsafe[start], end - start)
     kind = np.zeros(len(data), np.uint8)
-    kind[inside] = np.where(whole, _WHOLE, _KIND[data[inside]])
+    kind[inside] = np.where(whole, _WHOLE, kinds[inside])
     data = np.where(kind == _WHOLE, data, LOWER[data])
     first = inside & (cuts[:-1] | (kind != np.r_[np.uint8(0), kind[:-1]][: len(data)]) | (kind == _DIGIT))
     begin = np.flatnonzero(first)
@@ -43,7 +54,10 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class WordIds:
-    """Encoder with a memory of at most ``most`` pieces (and those of one batch, which holds less than 2 GB of text)."""
+    """Encoder with a memory of at most ``most`` pieces (and those of one batch, which holds less than 2 GB of text).
+
+    When the memory is full, pieces that were met in one batch only are forgotten.
+    """
 
     def __init__(self, tokenizer: str, most: int = 1 << 19, together: int = 512):
         from tokenizers import Tokenizer
@@ -52,41 +66,49 @@ class WordIds:
         self.most, self.together = most, together
         size = self.model.get_vocab_size()
         self.closes = np.array([(self.model.id_to_token(k) or "").endswith("</w>") for k in range(size)])
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.at, self.size, self.met = (np.zeros(1 << 12, np.int64) for _ in range(3))
 
-    def _learn(self, piece: bytes, ids) -> None:
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.met[: len(self.known)] > 1)
+        if len(keep) > self.most // 2:
+            keep = keep[:0]
+        size, names = self.size[keep], list(self.known)
+        ids = self.pool[np.arange(size.sum()) + np.repeat(self.at[keep] - np.r_[0, np.cumsum(size)][:-1], size)]
+        self.known, self.used = {}, 0
+        self._store([names[k] for k in keep.tolist()], ids, size)
+
+    def _store(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        """New pieces with their ids, one piece's after another's."""
         k, n = len(self.known), len(ids)
         while self.used + n > len(self.pool):
             self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-        if k == len(self.at):
-            self.at, self.size = np.r_[self.at, np.zeros_like(self.at)], np.r_[self.size, np.zeros_like(self.size)]
+        while k + len(pieces) > len(self.at):
+            self.at, self.size, self.met = (np.r_[x, np.zeros_like(x)] for x in (self.at, self.size, self.met))
         self.pool[self.used : self.used + n] = ids
-        self.at[k], self.size[k] = self.used, n
+        new = slice(k, k + len(pieces))
+        self.at[new], self.size[new], self.met[new] = self.used + np.cumsum(size) - size, size, 0
         self.used += n
-        self.known[piece] = k
+        self.known.update(zip(pieces, range(k, k + len(pieces)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_all(self, new: list[bytes]) -> None:
-        plain = [p for p in new if p.isalpha() and p.isascii()]
-        for low in range(0, len(plain), self.together):
-            some = plain[low : low + self.together]
-            ids = np.array(self._ids([b" ".join(some).decode()])[0], np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(some):  # a vocabulary whose words do not close
-                ids = np.concatenate(one := [np.array(i, np.uint32) for i in self._ids([p.decode() for p in some])])
-                ends = np.cumsum([len(i) for i in one])
-            for piece, a, b in zip(some, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
-                self._learn(piece, ids[a:b])
-        rest = [p for p in new if not (p.isalpha() and p.isascii())]
-        for piece, ids in zip(rest, self._ids([p.decode() for p in rest]), strict=True):
-            self._learn(piece, ids)
+    def _learn(self, new: list[bytes]) -> None:
+        spelled = [p.decode() for p in new]
+        words = [k for k, s in enumerate(spelled) if s.isalpha() and max(s) <= _LAST_LETTER]
+        rest = sorted(set(range(len(new))).difference(words))
+        for low in range(0, len(words), self.together):
+            some = words[low : low + self.together]
+            ids = np.array(self._ids([" ".join([spelled[k] for k in some])])[0], np.uint32)
+            size = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+            if len(size) != len(some):  # a vocabulary whose words do not close
+                rest += some
+            else:
+                self._store([new[k] for k in some], ids, size)
+        found = self._ids([spelled[k] for k in rest])
+        self._store([new[k] for k in rest], np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (one more entry at the end). Null is empty."""
@@ -99,9 +121,11 @@ class WordIds:
         entries = [self.known.get(p) for p in different]
         new = [p for p, k in zip(different, entries, strict=True) if k is None]
         if new:
-            self._learn_all(new)
+            self._learn(new)
             entries = [self.known[p] for p in different]
-        entry = np.array(entries, np.int64)[coded.indices.to_numpy()]
+        entries = np.array(entries, np.int64)
+        self.met[entries] += 1
+        entry = entries[coded.indices.to_numpy()]
         size = self.size[entry]
         out = np.r_[0, np.cumsum(size)]
         ids = self.pool[np.arange(out[-1]) + np.repeat(self.at[entry] - out[:-1], size)]
