@@ -16,39 +16,44 @@ from umbral.llm.importance import keep_sampled
 from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import keep_unrepeated
 from umbral.llm.text import small_batches
-from umbral.session import scratch_path
+from umbral.session import apply_settings, scratch_path
 from umbral.sources.views import read_table
 
 ORACLE_SQL = None
 
 
+def ready(spark: SparkSession) -> None:
+    """Settings of every stage: texts go to Python in few rows, and joins split hot keys."""
+    small_batches(apply_settings(spark))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the repetition rules."""
-    small_batches(spark)
+    ready(spark)
     return keep_unrepeated(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the importance sample takes; the target is what ``labels`` calls good."""
-    small_batches(spark)
+    ready(spark)
     return keep_sampled(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least number of every group of near copies, by fingerprints or by five-word shingles."""
-    small_batches(spark)
+    ready(spark)
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    small_batches(spark)
+    ready(spark)
     return without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left as pieces of sequences of 2,048 tokens."""
-    small_batches(spark)
+    ready(spark)
     return pack_documents(docs, public_packing())
 
 
