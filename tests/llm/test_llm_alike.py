@@ -3,8 +3,8 @@
 import numpy as np
 
 import corpus_pipeline
-from umbral.llm import simhash
-from umbral.llm.alike import Alike, one_of_each
+from umbral.llm import alike, simhash
+from umbral.llm.alike import Alike, one_of_each, parity_sketch
 from umbral.llm.decontaminate import without_contaminated
 from umbral.llm.simhash import Near, near_copies
 
@@ -69,3 +69,42 @@ def test_crowded_buckets_with_a_radius_of_one(llm):
     df = llm.createDataFrame([(v,) for v in (3, 4, 6, 7)], "value bigint")
     rows = simhash.components(simhash.links(df, Near(radius=1, bucket=3))).collect()
     assert {tuple(r) for r in rows} == {(3, 3), (4, 3), (6, 3), (7, 3)}
+
+
+def test_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x = rng.integers(0, 1 << 63, int(rng.integers(0, 300))).astype(np.uint64)
+        y = np.unique(np.r_[x[: int(rng.integers(0, len(x) + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 40))).astype(np.uint64)])
+        x = np.unique(x)
+        apart = np.bitwise_xor(parity_sketch(x, 128), parity_sketch(y, 128)).view(np.uint64)
+        assert int(np.bitwise_count(apart).sum()) <= len(np.setxor1d(x, y))
+
+
+def test_texts_of_one_template_meet_no_more_than_their_number_grows(llm, monkeypatch):
+    """Own words in a common frame, less alike than the bound: no pair is compared."""
+    seen = []
+    plain = alike.alike_pairs
+    monkeypatch.setattr(alike, "alike_pairs", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    frame = [f"frame{k}" for k in range(100)]
+    counts = []
+    for n in (150, 300):
+        texts = [" ".join([*frame[:30], f"a{i}", *frame[30:60], f"b{i}", *frame[60:90], f"c{i}", *frame[90:]]) for i in range(n)]
+        df = llm.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        seen.clear()
+        assert one_of_each(df, how=Alike(near=Near(radius=0))).count() == n
+        counts.append(sum(seen))
+    assert counts[1] <= 2 * counts[0] + 50
+
+
+def test_stages_take_clashing_names_and_files(llm, tmp_path):
+    rows = [(k % 5, "a clean text of its own " + str(k % 4) * 9, k, "x", "y") for k in range(12)]
+    df = llm.createDataFrame(rows, "doc_id bigint, text string, __row int, `__file` string, `a.b` string")
+    df.repartition(3).write.parquet(str(tmp_path / "docs"))
+    bench = llm.createDataFrame([(1, "of its own 222222222")], "item_id bigint, text string")
+    for docs in (df, llm.read.parquet(str(tmp_path / "docs"))):
+        kept = one_of_each(docs)
+        assert kept.columns == docs.columns and kept.count() == 4
+        clean = without_contaminated(docs, bench)
+        assert clean.columns == docs.columns and {r.text[-9] for r in clean.collect()} == {"0", "1", "3"}
+        assert one_of_each(docs.limit(0)).collect() == []

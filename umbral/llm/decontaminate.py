@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from umbral.llm.text import ALPHANUMERIC, U64, Tokens, numbered, rolling, tokens, within_texts
+from umbral.llm.text import ALPHANUMERIC, U64, Tokens, rolling, slices, tokens, with_row_ids, within_texts
 from umbral.session import scratch_path
 
 
@@ -96,7 +96,7 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str, how: Containme
     """Distinct ``(words, size, shingles, item ids)`` of all items; a window that items share is one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (batch.slice(low, high - low) for batch in batches for low, high in slices(batch.column(1))):
             t = tokens(batch.column(1), ALPHANUMERIC, lower=True)
             hashes, ids = t.hashes(), batch.column(0).to_pylist()
             rows = []
@@ -126,8 +126,8 @@ def shingle_counts(docs: DataFrame, text: str, sizes: list[int], members: BitMap
     shared = docs.sparkSession.sparkContext.broadcast(members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = tokens(batch.column(0), ALPHANUMERIC, lower=True)
+        for texts in (batch.column(0)[low:high] for batch in batches for low, high in slices(batch.column(0))):
+            t = tokens(texts, ALPHANUMERIC, lower=True)
             hashes = t.hashes()
             for size in sizes:
                 _, grams = shingle_hashes(t, hashes, size)
@@ -149,7 +149,7 @@ def candidates(docs: DataFrame, key: str, text: str, sizes: list[int], members:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (batch.slice(low, high - low) for batch in batches for low, high in slices(batch.column(1))):
             t = tokens(batch.column(1), ALPHANUMERIC, lower=True)
             hashes, counts, found = t.hashes(), t.counts(), [[] for _ in range(t.texts)]
             for size in sizes:
@@ -238,8 +238,26 @@ def decontaminate(
     )
 
 
+def without_rows(rows: DataFrame, ids: list[str], gone: DataFrame) -> DataFrame:
+    """``rows`` but those numbered in ``gone``. Only rows that a bit map of ``gone`` lets through are shuffled."""
+    spark = rows.sparkSession
+    members = spark.sparkContext.broadcast(BitMap.of(gone.select(F.xxhash64("row").alias("h")), "h", Containment(bits_per_shingle=32)))
+
+    @F.arrow_udf("boolean")
+    def perhaps(h: pa.Array) -> pa.Array:
+        return pa.array(members.value.holds(h.to_numpy()))
+
+    number = F.struct(*ids)
+    stay = rows.filter(~perhaps(F.xxhash64(number)))
+    tested = rows.filter(perhaps(F.xxhash64(number))).withColumn(f"{ids[-1]}_struct", number)
+    tested = tested.join(gone.withColumnRenamed("row", f"{ids[-1]}_struct"), f"{ids[-1]}_struct", "left_anti").drop(f"{ids[-1]}_struct")
+    return stay.unionByName(tested)
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, how: Containment = Containment()) -> DataFrame:
-    """Rows of ``docs`` whose own text is not contaminated; all columns stay. Rows are told apart by their number, keys may repeat or be missing."""
-    rows = numbered(docs)
-    bad = decontaminate(rows, benchmark, key="__row", how=how).filter("contaminated").select("__row")
-    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` whose own text is not contaminated; all columns stay, whatever their names. Rows are told apart by their number, keys may repeat or be missing."""
+    rows, ids = with_row_ids(docs)
+    texts = rows.select(F.struct(*ids).alias("row"), F.col("text"))
+    path = scratch_path(docs.sparkSession, "gone")
+    decontaminate(texts, benchmark, key="row", how=how).filter("contaminated").select("row").write.parquet(path)
+    return without_rows(rows, ids, docs.sparkSession.read.parquet(path)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,23 @@ def small_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` written once with a number ``__row`` for every row, which does not change when a task runs again."""
-    path = scratch_path(df.sparkSession, "numbered")
-    df.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def with_row_ids(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that number its rows, and their names: the file (as a hash) and the place in it, the same in every run.
+
+    Rows that do not come from files with such places are written once and numbered.
+    """
+    names = ["__file", "__row"]
+    while set(names) & set(df.columns):
+        names = [f"_{n}" for n in names]
+    try:
+        file = df.metadataColumn("_metadata")
+        out = df.select("*", F.xxhash64(file.getField("file_path")).alias(names[0]), file.getField("row_index").alias(names[1]))
+        out.schema  # resolves the names
+        return out, names
+    except AnalysisException:
+        path = scratch_path(df.sparkSession, "numbered")
+        df.withColumn(names[1], F.monotonically_increasing_id()).write.parquet(path)
+        return df.sparkSession.read.parquet(path), names[1:]
 
 
 LOWER = np.arange(256, dtype=np.uint8)
