@@ -113,3 +113,15 @@ def test_scores_that_are_no_numbers_are_no_calls(spark):
     assert tuple(evaluate.operating_point(df, "y", "s", 0.5).first()) == (0.5, 0.5, 0.0, 1.0)
     found = tuning.measure_scores(df.select(F.col("y").alias("label"), F.col("s").alias("s0")), 1, ["roc_auc", "sens", "precision", "log_loss"], CLASSIFICATION)[0]
     assert found["roc_auc"] == 1.0 and found["sens"] == 0.5 and found["precision"] == 1.0 and 0 < found["log_loss"] < 1
+
+
+def test_rounding_halfway_values_as_the_checking_engine_does(spark):
+    """Shares of 3,600,000 rows have seven digits that end in 5; two ways to round them part there."""
+    import duckdb
+
+    from umbral.catalog.registry import r6
+
+    share = "CAST(9 * id AS DOUBLE) / 3600000"
+    got = spark.range(1, 400_000, 2).selectExpr("id", f"{share} AS x", f"1 - {share} AS y").select("id", r6("x").alias("x"), r6("y").alias("y"))
+    want = duckdb.sql(f"SELECT id, round({share}, 6) AS x, round(1 - {share}, 6) + 0.0 AS y FROM range(1, 400000, 2) t(id)").fetchall()
+    assert sorted(map(tuple, got.collect())) == want
