@@ -85,3 +85,27 @@ def test_fits_do_not_repeat_the_joins_behind_their_rows(spark, sf, monkeypatch):
     with pytest.raises(Seen):
         learning.penalised_two(spark, sf)
     assert files and not [f for f in files if "orders.parquet" in f]
+
+
+@pytest.mark.parametrize("name", ["cv_class_metrics", "logit_l1", "dense_reg"])
+def test_preparing_reads_rows_that_were_written(spark, sf, monkeypatch, name):
+    from umbral.catalog import learning
+
+    def prepare(recipe, df):
+        files.extend(df.inputFiles())
+        raise Seen
+
+    files = []
+    monkeypatch.setattr(tuning, "prep", prepare)
+    with pytest.raises(Seen):
+        getattr(learning, name)(spark, sf)
+    assert files and not [f for f in files if "orders.parquet" in f]
+
+
+def test_the_area_reads_written_scores(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(k % 2), float(k)) for k in range(20)], "y double, a double")
+    rows = prep.design_matrix(rows, ["a"])
+    model = models.logit("y").fit(rows)
+    monkeypatch.setattr(tuning, "measure_scores", lambda table, *_: table.inputFiles())
+    assert tuning.measure_all([model], rows, "y", ["roc_auc", "sens"], models.CLASSIFICATION)
+    assert not tuning.measure_all([model], rows, "y", ["sens"], models.CLASSIFICATION)
