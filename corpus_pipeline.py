@@ -16,15 +16,15 @@ from umbral.llm.importance import keep_sampled
 from umbral.llm.packing import pack_documents, public_packing
 from umbral.llm.repetition import keep_unrepeated
 from umbral.llm.text import small_batches
-from umbral.session import apply_settings, scratch_path
+from umbral.session import apply_settings, drop_shuffles, scratch_path
 from umbral.sources.views import read_table
 
 ORACLE_SQL = None
 
 
 def ready(spark: SparkSession) -> None:
-    """Settings of every stage: texts go to Python in few rows, and joins split hot keys."""
-    small_batches(apply_settings(spark))
+    """Settings of every stage: texts go to Python in few rows, joins split hot keys, and shuffled rows leave the disk when their query ends."""
+    small_batches(drop_shuffles(apply_settings(spark)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

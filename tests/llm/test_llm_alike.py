@@ -1,5 +1,8 @@
 """The pipeline's near copies and row decisions, by brute force."""
 
+import os
+import time
+
 import numpy as np
 
 import corpus_pipeline
@@ -7,6 +10,7 @@ from umbral.llm import alike, simhash
 from umbral.llm.alike import Alike, one_of_each, parity_sketch
 from umbral.llm.decontaminate import without_contaminated
 from umbral.llm.simhash import Near, near_copies
+from umbral.session import scratch_folder
 
 
 def shingles(text, size=5):
@@ -108,3 +112,30 @@ def test_stages_take_clashing_names_and_files(llm, tmp_path):
         clean = without_contaminated(docs, bench)
         assert clean.columns == docs.columns and {r.text[-9] for r in clean.collect()} == {"0", "1", "3"}
         assert one_of_each(docs.limit(0)).collect() == []
+
+
+def test_components_keep_their_last_stars_only(llm):
+    def stars():
+        return {name for name in os.listdir(scratch_folder(llm).removeprefix("file:")) if name.startswith("stars-")}
+
+    before = stars()
+    chain = [(k, k + 1) for k in range(40)]
+    found = simhash.components(llm.createDataFrame(chain, "a bigint, b bigint"))
+    assert {(r.node, r.root) for r in found.collect()} == {(k, 0) for k in range(41)}
+    assert len(stars() - before) == 1
+
+
+def test_shuffled_rows_of_a_stage_leave_the_disk(llm):
+    files = llm._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f for f in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    texts = [" ".join(f"w{(k // 3) * 50 + i}" for i in range(40 + k % 3)) for k in range(30)]
+    before = shuffles()
+    assert corpus_pipeline.near_copies(llm, llm.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "").count() == 10
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from umbral.llm.decontaminate import BitMap, Containment, without_rows
 from umbral.llm.simhash import Near, components, fingerprint, links
 from umbral.llm.text import SPACED, U64, Tokens, mix, rolling, slices, tokens, with_row_ids
-from umbral.session import scratch_path
+from umbral.session import drop_path, scratch_path
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ class _Tables:
     """Tables of one run in the shared folder, which go when it is done."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.last = spark, [], {}
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
@@ -129,11 +129,19 @@ class _Tables:
         df.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    def replaced(self, df: DataFrame, name: str) -> DataFrame:
+        """The same in place of the table of this name of the round before, which nothing reads any more."""
+        new = self.stored(df, name)
+        if name in self.last:
+            drop_path(self.spark, self.last[name])
+            self.paths.remove(self.last[name])
+        self.last[name] = self.paths[-1]
+        return new
+
     def drop(self) -> None:
-        for name in self.paths:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.paths = []
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths, self.last = [], {}
 
 
 def candidate_sets(texts: DataFrame, how: Alike, chosen: Broadcast, tables: _Tables) -> DataFrame:
@@ -181,7 +189,7 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, how: Alike, tables: _Tables)
     x, y = (sets.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
     close = apart * (100 + how.alike) <= (F.col("n_a") + F.col("n_b")) * (100 - how.alike)
-    left = tables.stored(pairs.join(x, "a").join(y, "b").filter(close).select("a", "b"), "close-pairs")
+    left = tables.replaced(pairs.join(x, "a").join(y, "b").filter(close).select("a", "b"), "close-pairs")
     if left.isEmpty():
         return left
     asked = left.select(F.explode(F.array("a", "b")).alias("set")).distinct()
@@ -208,15 +216,15 @@ def alike_groups(sets: DataFrame, group: DataFrame, how: Alike, tables: _Tables)
     while True:
         now = group if roots is None else group.join(roots, group["first"] == roots["node"], "left")
         now = now.select("set", F.col("first") if roots is None else F.coalesce("root", "first").alias("first")).withColumnRenamed("first", "group")
-        here = tables.stored(live.join(now, "set"), "placed-members")
+        here = tables.replaced(live.join(now, "set"), "placed-members")
         mixed = here.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("head").alias("head"), F.count(F.lit(1)).alias("size"))
-        here = tables.stored(here.join(mixed.filter("low < high AND head").select("shingle", "size"), "shingle"), "members")
+        here = tables.replaced(here.join(mixed.filter("low < high AND head").select("shingle", "size"), "shingle"), "members")
         if here.isEmpty():
             break
         slots = F.when(F.col("size") <= how.small_bucket, F.greatest(F.lit(heads), F.lit(how.small_bucket**2))).otherwise(F.lit(heads))
         slot = F.pmod(F.xxhash64("set", F.lit(heads)), slots)
         first = here.filter("head").groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct("n", "set", "group", "place")).alias("chosen")).select("shingle", "chosen")
-        first = tables.stored(first, "heads")
+        first = tables.replaced(first, "heads")
         n, m = F.col("n"), F.col("chosen.n")
         rest = F.least(n - F.col("place"), m - F.col("chosen.place"))
         near = (F.col("group") != F.col("chosen.group")) & (n >= m) & (m * 100 >= n * how.alike) & (rest * (100 + how.alike) >= (n + m) * how.alike)
@@ -228,7 +236,7 @@ def alike_groups(sets: DataFrame, group: DataFrame, how: Alike, tables: _Tables)
         new = tables.stored(new.distinct(), "alike")
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
-            roots = tables.stored(components(found), "roots")
+            roots = tables.replaced(components(found), "roots")
         done = first.select("shingle", F.col("chosen.set").alias("set"), F.lit(True).alias("done"))
         live = here.join(done, ["shingle", "set"], "left").select("shingle", "set", "n", "place", (F.col("head") & F.col("done").isNull()).alias("head"))
         heads *= 8

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbral.llm.text import SPACED, U64, Tokens, joined_words, slices, tokens
-from umbral.session import scratch_path
+from umbral.session import drop_path, scratch_path
 
 BITS = 64
 
@@ -235,12 +235,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
 
-    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+    def stored(df: DataFrame) -> tuple[DataFrame, tuple, str]:
         path = scratch_path(spark, "stars")
         df.write.parquet(path)
         df = spark.read.parquet(path)
         row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return df, tuple(row)
+        return df, tuple(row), path
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -255,12 +255,14 @@ def components(edges: DataFrame) -> DataFrame:
         pulled = df.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         return ordered(pulled.unionByName(least.select("a", F.col("least").alias("b"))))
 
-    now, mark = stored(ordered(edges))
+    now, mark, path = stored(ordered(edges))
     while mark[0]:
-        new, new_mark = stored(small_star(large_star(now)))
+        new, new_mark, new_path = stored(small_star(large_star(now)))
         if new_mark == mark:
+            drop_path(spark, new_path)
             break
-        now, mark = new, new_mark
+        drop_path(spark, path)
+        now, mark, path = new, new_mark, new_path
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
