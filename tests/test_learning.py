@@ -194,3 +194,41 @@ def test_grids():
                                    c=tuning.Range(1000, 2000, whole=True), d=tuning.LEARN_RATE)) == 150
     drawn = tuning.grid_random(9, 1, p=tuning.PENALTY, m=tuning.MIN_N)
     assert drawn == tuning.grid_random(9, 1, p=tuning.PENALTY, m=tuning.MIN_N) and all(2 <= g["m"] <= 40 for g in drawn)
+
+
+def test_design_entries_hold_every_kind_of_value_without_a_lambda(spark):
+    rows = [(2.0, "a"), (-3.0, "b"), (None, "c"), (0.0, None), (float("inf"), "b"), (1.5, "never seen"), (float("nan"), "a"), (4.0, "it's")]
+    levels = ["a", "b", "c", "it's"]
+    df = spark.createDataFrame(rows, "x double, f string")
+    made = prep.DesignVector(["t"], [prep.number_block(["x"]), prep.dummy_block("f", levels), prep.interaction_block(["x", "x"], "f", levels)], ["x", "f"])
+    nan = float("nan")
+    for (x, f), got in zip(rows, made.transform(df).select("features").collect(), strict=True):
+        x = nan if x is None else x
+        flags = [nan if f is None else float(f == v) for v in levels[1:]]
+        want = [x, *flags, *[x * d for d in flags], *[x * d for d in flags]]
+        np.testing.assert_array_equal(got[0].toArray(), want)
+    assert "->" not in "".join(made.getOrDefault(made.blocks))
+
+
+def test_weighted_sums_follow_the_order_of_entries_and_keep_missing_rows(spark):
+    rng = np.random.default_rng(5)
+    x, w, c = rng.normal(size=(50, 40)) * 10.0 ** rng.integers(-8, 8, 40), rng.normal(size=40), rng.normal(size=40)
+    df = spark.createDataFrame([(k, None if k % 7 == 3 else x[k].tolist()) for k in range(50)], "k int, x array<double>")
+    got = df.select("k", gram.added_up(F.col("x"), w, 0.25).alias("a"), gram.added_up(F.col("x"), w, centre=c).alias("b")).collect()
+    for k, a, b in got:
+        one, two = 0.25, 0.0
+        for j in range(40):
+            one, two = one + x[k, j] * w[j], two + (x[k, j] - c[j]) * (x[k, j] - c[j]) * w[j]
+        assert (a, b) == ((None, None) if k % 7 == 3 else (one, two))
+
+
+def test_scores_of_wide_vectors_take_no_lambda(spark, capsys):
+    df = array_features(spark)
+    for model in (discriminant.qda_diag("y").fit(df), gram.ScaledLinearModel([0.0, 0.0], [1.0, 1.0], [1.0, 2.0], 0.5)):
+        model.transform(df).select("prediction").explain(True)
+        assert "lambdafunction(((" not in (plan := capsys.readouterr().out) and "zip_with" not in plan
+
+
+def array_features(spark):
+    rows = [(float(k % 2), float(k), float(k * k % 7)) for k in range(20)]
+    return prep.design_matrix(spark.createDataFrame(rows, "y double, a double, b double"), ["a", "b"])

@@ -21,6 +21,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbral.learning.gram import added_up
+
 MOST_CLASSES = 1000
 
 
@@ -50,9 +52,7 @@ class DiagonalDiscriminantModel(Model, _Columns, DefaultParamsReadable, DefaultP
             used = spread > 0
             weight = np.where(used, 0.5 / np.where(used, spread, 1.0), 0.0)
             constant = log(n / counts.sum()) - 0.5 * float(np.log(spread[used]).sum())
-            gap = F.zip_with(F.col("__x"), F.lit(mean.tolist()), lambda x, m: (x - m) * (x - m))
-            cost = F.aggregate(F.zip_with(gap, F.lit(weight.tolist()), lambda g, w: g * w), F.lit(0.0), lambda a, b: a + b)
-            scores.append(F.lit(constant) - cost)
+            scores.append(F.lit(constant) - added_up(F.col("__x"), weight, centre=mean))
         return F.array(*scores)
 
     def _transform(self, df: DataFrame) -> DataFrame:

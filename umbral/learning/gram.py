@@ -23,8 +23,9 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 MOST_FEATURES = 4000
 TOLERANCE = 1e-9
@@ -34,6 +35,7 @@ SWEEPS = 5000
 MOST_FOLDS = 100
 MOST_NUMBERS = 100_000_000
 ADDING_GROUPS = 32
+ROWS_AT_ONCE = 1024
 
 
 def rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -42,8 +44,32 @@ def rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def added_up(features: Column, weights: np.ndarray, start: float = 0.0, centre: np.ndarray | None = None) -> Column:
+    """``start`` and, one after the other, every entry of an array times its weight, or its squared distance from ``centre`` times that.
+
+    Equal rows have equal sums wherever they lie in a batch: the entries are added in their order.
+    """
+
+    @F.arrow_udf("double")
+    def run(rows: pa.Array) -> pa.Array:
+        known = rows.drop_null()
+        x = known.flatten().to_numpy(zero_copy_only=False).reshape(len(known), -1)
+        out = np.full(len(known), start)
+        for k in range(0, len(known), ROWS_AT_ONCE):
+            part = x[k : k + ROWS_AT_ONCE]
+            terms = (part if centre is None else (part - centre) ** 2) * weights
+            terms[:, 0] += start
+            out[k : k + ROWS_AT_ONCE] = np.add.accumulate(terms, axis=1)[:, -1]
+        if len(known) == len(rows):
+            return pa.array(out)
+        valid = rows.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array(out).take(pa.array(np.cumsum(valid) - 1, mask=~valid))
+
+    return run(features)
+
+
 def fold_sums(df: DataFrame, features: str, label: str, fold: str, shift: np.ndarray | None = None) -> dict[int, np.ndarray]:
-    """ZᵀZ of Z = [1, X − shift, y] for each fold; the driver receives folds × (p + 2)² numbers.
+    """ZᵀZ of Z = [1, X − shift, y] for each fold; the driver receives folds × (p + 2)² numbers. ``features`` is a vector or an array.
 
     Any row's values are a good ``shift``: without it, variances of columns far from zero lose digits.
     """
@@ -56,7 +82,7 @@ def fold_sums(df: DataFrame, features: str, label: str, fold: str, shift: np.nda
     rows = df.select(
         F.col(fold).cast("int").alias("fold"),
         F.col(label).cast("double").alias("y"),
-        vector_to_array(features).alias("x"),
+        (F.col(features) if isinstance(df.schema[features].dataType, ArrayType) else vector_to_array(features)).alias("x"),
     ).filter("fold IS NOT NULL AND y IS NOT NULL")
     most = min(MOST_FOLDS, MOST_NUMBERS // (width + 2) ** 2)
 
@@ -291,8 +317,7 @@ class ScaledLinearModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsRe
     def _transform(self, df: DataFrame) -> DataFrame:
         slopes, means = self.coefficients.toArray(), np.array(self.getOrDefault(self.means))
         weights = slopes / np.array(self.getOrDefault(self.deviations))
-        parts = F.zip_with(vector_to_array(self.getFeaturesCol()), F.lit(weights.tolist()), lambda x, w: x * w)
-        total = F.aggregate(parts, F.lit(float(self.intercept - weights @ means)), lambda a, b: a + b) if len(weights) else F.lit(self.intercept)
+        total = added_up(vector_to_array(self.getFeaturesCol()), weights, float(self.intercept - weights @ means)) if len(weights) else F.lit(self.intercept)
         return df.withColumn(self.getPredictionCol(), total)
 
 

@@ -112,9 +112,12 @@ class DesignVector(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         super().__init__()
         self._set(terms=list(terms), blocks=list(blocks), sources=list(sources), output=output)
 
+    def entries(self) -> Column:
+        """All entries as one array."""
+        return F.concat(*[F.expr(b) for b in self.getOrDefault(self.blocks)])
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        entries = F.concat(*[F.expr(b) for b in self.getOrDefault(self.blocks)])
-        return df.withColumn(self.getOrDefault(self.output), array_to_vector(entries))
+        return df.withColumn(self.getOrDefault(self.output), array_to_vector(self.entries()))
 
     def complete(self, df: DataFrame) -> Column:
         """True where every source column is known."""
@@ -130,20 +133,26 @@ def number_block(names: list[str]) -> str:
     return "array(" + ", ".join(_known(f"CAST({_sql_name(n)} AS DOUBLE)") for n in names) + ")"
 
 
-def _is_level(factor: str, levels: list[str], times: str = "") -> str:
-    texts = ", ".join(_sql_text(v) for v in levels[1:])
-    entry = _known(f"{times}CAST(__level = CAST({_sql_name(factor)} AS STRING) AS DOUBLE)")
-    return f"transform(array({texts}), __level -> {entry})"
+def _at_level(factor: str, levels: list[str], here: str = "1D", elsewhere: str = "0D") -> str:
+    """One entry for each level but the first: ``here`` at the row's level, ``elsewhere`` at all others.
+
+    The entries are cut from a longer array at the place of the level, which takes no comparison for each entry.
+    """
+    texts, n = ", ".join(_sql_text(v) for v in levels[1:]), len(levels) - 1
+    place = f"CAST(array_position(array({texts}), CAST({_sql_name(factor)} AS STRING)) AS INT)"
+    side = f"array_repeat({elsewhere}, {n})"
+    return f"coalesce(slice(concat({side}, array({here}), {side}), {n + 2} - {place}, {n}), array_repeat(double('NaN'), {n}))"
 
 
 def dummy_block(factor: str, levels: list[str]) -> str:
     """Indicators of all levels but the first."""
-    return _is_level(factor, levels)
+    return _at_level(factor, levels)
 
 
 def interaction_block(numbers: list[str], factor: str, levels: list[str]) -> str:
     """Every number times every indicator, number by number."""
-    return f"flatten(transform({number_block(numbers)}, __number -> {_is_level(factor, levels, '__number * ')}))"
+    values = [_known(f"CAST({_sql_name(n)} AS DOUBLE)") for n in numbers]
+    return "concat(" + ", ".join(_at_level(factor, levels, f"{v} * 1D", f"{v} * 0D") for v in values) + ")"
 
 
 def complete_rows(prepared: PipelineModel, df: DataFrame) -> Column:

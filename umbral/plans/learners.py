@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame
@@ -62,11 +63,14 @@ class LinearPath:
             rows, last = bake(PipelineModel(stages), folded, [label, "fold"]), recipe.output
         else:
             stages, last = recipe.columns(folded)
-            rows = bake(PipelineModel(stages), folded, [label, "fold"], last)
+            if len(stages) == 1:  # the sums read the entries as they are
+                rows = folded.filter(stages[0].complete(folded)).select(label, "fold", stages[0].entries().alias(last))
+            else:
+                rows = bake(PipelineModel(stages), folded, [label, "fold"], last)
         first = rows.select(last).first()
         if first is None:
             raise ValueError("no rows to learn from")
-        shift = first[0].toArray()
+        shift = np.array(first[0])
         sums = fold_sums(rows, last, label, "fold", shift)
         metrics = _small(collect_metrics(tune_sums(folded.sparkSession, sums, self.penalties, self.mixtures)))
         best = select_best(metrics, "rmse")
