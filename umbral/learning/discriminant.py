@@ -1,6 +1,6 @@
 """Diagonal discriminant analysis over the prepared vector: one aggregate per class, then a closed-form score.
 
-Means and variances of all columns come from one pass of Spark's ``Summarizer``; the model holds them as arrays and scores a row by array functions, so the
+Means and variances of all columns come from one pass of Spark's ``Summarizer``; the model holds them as arrays and scores rows by sums over Arrow batches, so the
 plan has the same size for three columns and for three thousand. Model and settings are saved and loaded like those of any other stage.
 
 A column that is flat inside a class (an indicator of a place where the class does not occur) says nothing about spread there: it takes the variance that all classes
