@@ -109,3 +109,21 @@ def test_the_area_reads_written_scores(spark, monkeypatch):
     monkeypatch.setattr(tuning, "measure_scores", lambda table, *_: table.inputFiles())
     assert tuning.measure_all([model], rows, "y", ["roc_auc", "sens"], models.CLASSIFICATION)
     assert not tuning.measure_all([model], rows, "y", ["sens"], models.CLASSIFICATION)
+
+
+def test_class_cross_validation_is_the_whole_search(spark, monkeypatch):
+    """Five folds, every candidate of the survey's grid, forests of full size."""
+    from umbral.catalog import learning
+
+    rows = [(k, "a" if k % 3 else "b", int(k % 7 < 2), *[float(k % m) for m in (5, 4, 11, 6)], k % 2) for k in range(500)]
+    names = "id long, Depto string, Pobre int, P5000 double, P5090 double, P5130 double, Npersug double, train int"
+    monkeypatch.setattr(learning, "homes", lambda *_: spark.createDataFrame(rows, names))
+    seen = []
+    judge = lambda df, recipe, build, grid, label: seen.append((df, build, grid)) or spark.createDataFrame([(0, "sens", 0, 1.0)], "candidate int, metric string, fold int, value double")
+    monkeypatch.setattr(tuning, "cv_class_metrics", judge)
+    learning.cv_class_metrics(spark, "")
+    (df, build, grid), = seen
+    assert {r.fold for r in df.select("fold").distinct().collect()} == set(range(5)) and df.count() == 250
+    assert len({(g["mtry"], g["min_n"]) for g in grid}) == 15 and {g["min_n"] for g in grid} >= {150, 200, 250, 300}
+    forest = build("Pobre", **grid[0])
+    assert forest.getNumTrees() == 500 and forest.getMaxDepth() == 30
