@@ -12,7 +12,7 @@ from odd_tables import LOWER, ODD_TEXTS, SPACED
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
-from umbral.llm.brown import Brown, fit_brown, likelihood, score
+from umbral.llm.brown import Brown, Gains, fit_brown, likelihood, score
 from umbral.llm.html_tree import Tree, main_texts, marginals, trained
 from umbral.llm.importance import Importance, keep_sampled, kth_largest, resample, value_step
 from umbral.llm.labelled_pages import labelled_pages, labels
@@ -115,6 +115,73 @@ def test_brown_beats_single_words_on_held_out_texts(llm, tables):
     assert (held.score > held.base_score).mean() > 0.9
 
 
+def test_gains_are_differences_of_the_likelihood():
+    """Words in a class or still in that of their ending, also those that follow themselves or are frequent."""
+    rng = np.random.default_rng(1)
+    words, classes, extra = 12, 3, 2
+    n = rng.integers(0, 4, (words, words)) + 30 * (rng.random((words, words)) < 0.1)
+    now = rng.integers(0, classes + extra, words)
+
+    def matrix(of):
+        out = np.zeros((classes + extra,) * 2)
+        np.add.at(out, (of[:, None], of[None, :]), n)
+        return out
+
+    m = matrix(now)
+    own = np.diag(n).astype(float)
+    apart = n - np.diag(np.diag(n))
+    before, after = np.zeros((words, classes + extra)), np.zeros((words, classes + extra))
+    for w in range(words):
+        np.add.at(before[w], now, apart[:, w])
+        np.add.at(after[w], now, apart[w])
+    to, gain = Gains(m, classes).best(before, after, own, now)
+    for w in range(words):
+        found = [likelihood(matrix(np.where(np.arange(words) == w, k, now))) - likelihood(m) for k in range(classes)]
+        assert gain[w] == pytest.approx(max(found), abs=1e-8) and found[to[w]] == pytest.approx(max(found), abs=1e-8)
+
+
+def all_word_texts():
+    rng = np.random.default_rng(5)
+    return [" ".join(f"{'abc'[(k + j) % 3]}{int(60 * rng.random() ** 2)}" for j in range(40)) for k in range(40)]
+
+
+@pytest.mark.parametrize("sent", [9, 1 << 18])
+def test_every_training_word_is_clustered(llm, sent):
+    """Rare words too, whether sent to tasks or joined; scores as written down word by word."""
+    texts = all_word_texts()
+    how = Brown(classes=3, endings=8, rounds=3, broadcast_words=sent, first_words=16, more_words=2, hot=5)
+    model, rare = fit_brown(llm.createDataFrame([(t,) for t in texts], "text string"), how=how)
+    counts = Counter(w for t in texts for w in t.split())
+    assert len(model.frequent.words) + rare.count() == len(counts) and (rare.count() > 0) == (sent == 9)
+    assert (model.classes[: len(counts)] < 3).all() and rare.filter("class >= 3").count() == 0
+    ending = lambda w: (ord(w[-1]) + 31 * ord(w[-2])) % 8
+    one = [*counts, "zz9", ""]
+    scored = {r.doc_id: r for r in score(llm.createDataFrame(list(enumerate(one)), "doc_id int, text string"), model, rare).collect()}
+    kind = {}
+    f, end = 10**model.factor, how.classes + how.endings
+    for k, w in enumerate(one[:-2]):  # the class of a word is the one its own text shows
+        value, own = counts[w] - how.discount, 10 ** scored[k].score
+        fits = [c for c in range(3) if math.isclose(own, f[end, c] * value * f[c, end] * model.texts, rel_tol=1e-9)]
+        assert fits
+        kind[w] = fits[0]
+    total = sum((counts[w] - how.discount) * f[:, c] for w, c in kind.items()) + f[:, end] * model.texts
+    total += sum(model.unseen[e] * f[:, how.classes + e] for e in range(8))
+    assert np.allclose(total, 1)
+    rng = np.random.default_rng(7)
+    odd = [*texts[:5], "zz9 a1 a1 zz9 zz8", *(" ".join(rng.choice([*counts, "zz9"], 30)) for _ in range(5)), "", None]
+    got = {r.doc_id: r.score for r in score(llm.createDataFrame(list(enumerate(odd)), "doc_id int, text string"), model, rare).collect()}
+    for k, text in enumerate(odd):
+        at, want = end, 0.0
+        for w in (text or "").split():
+            to = kind.get(w, how.classes + ending(w))
+            want += math.log10(f[at, to] * (counts[w] - how.discount if w in counts else model.unseen[ending(w)]))
+            at = to
+        assert got[k] == pytest.approx(want + math.log10(f[at, end] * model.texts), rel=1e-9)
+    # Words of one kind follow one another, so they share a class, rare ones too.
+    share = sum(Counter(kind[w] for w in counts if w[0] == c).most_common(1)[0][1] for c in "abc") / len(counts)
+    assert share > 0.9
+
+
 def test_language_on_held_out_texts(llm, tables):
     sf, docs, _ = tables
     got = entry.queries()["op6_language"](llm, sf).toPandas().merge(docs, on="doc_id")
